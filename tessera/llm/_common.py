@@ -53,11 +53,7 @@ def salted_lookup(left: DataFrame, right: DataFrame, key: str, salt_from: Column
 
 def input_bytes(df: DataFrame) -> int:
     """Bytes that the planner expects ``df`` to have; used only to choose numbers of partitions."""
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - a plan without statistics
-        return 1 << 30
-    return size
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def parallelism(df: DataFrame, bytes_each: int = 16 << 20, least: int = 12, most: int = 100_000) -> int:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,7 +18,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(_read(spark, sf_dir, "documents"), "doc_id", "text", ids=False, digests=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe}
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint over three-word shingles and the component that it belongs to."""
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"), "doc_id", "text", words=3, radius=3)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash}
 
 #: DuckDB SQL for those that SQL can express; the tests hold the others against brute force.
 ORACLES: dict[str, str] = {}
