@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash
+from . import ann, bpe, simhash, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,7 +23,19 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"), "doc_id", "text", words=3, radius=3)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash}
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest vectors found for each vector whose id is divisible by 50."""
+    vectors = _read(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), "vec_id", "embedding", k=5)
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten largest integer inner products of each vector whose id is divisible by 100."""
+    vectors = _read(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), "vec_id", "embedding", k=10, scale=1024)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op9_ann": op9_ann, "op10_topk": op10_topk}
 
 #: DuckDB SQL for those that SQL can express; the tests hold the others against brute force.
 ORACLES: dict[str, str] = {}
