@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, bpe, simhash, topk
+from . import ann, bpe, langid, simhash, topk, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +24,20 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"), "doc_id", "text", words=3, radius=3)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learnt from labels outside of the held-out fifth."""
+    docs, held = _read(spark, sf_dir, "documents"), toxicity.held_out("doc_id", 5, 0)
+    index = toxicity.fit(docs, _read(spark, sf_dir, "labels"), "doc_id", "text", "toxic", learn=~held)
+    return toxicity.score(docs, index, "doc_id", "text").select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's main language, learnt from documents outside of the held-out quarter."""
+    docs, held = _read(spark, sf_dir, "documents"), toxicity.held_out("doc_id", 4, 2)
+    model = langid.fit(docs, "doc_id", "text", "lang", learn=~held)
+    return langid.predict(docs, model, "doc_id", "text").select("doc_id", held.alias("held_out"), "lang_pred", F.round("score", 9).alias("score"))
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five nearest vectors found for each vector whose id is divisible by 50."""
     vectors = _read(spark, sf_dir, "embeddings")
@@ -35,7 +50,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), "vec_id", "embedding", k=10, scale=1024)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op9_ann": op9_ann, "op10_topk": op10_topk}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op7_toxicity": op7_toxicity, "op8_language": op8_language, "op9_ann": op9_ann, "op10_topk": op10_topk}
 
 #: DuckDB SQL for those that SQL can express; the tests hold the others against brute force.
 ORACLES: dict[str, str] = {}
