@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, simhash, substrings, topk, toxicity
+from . import ann, bpe, langid, simhash, substrings, topk, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(_read(spark, sf_dir, "documents"), "doc_id", "text", ids=False, digests=True)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives written from all pages hold of each page."""
+    captures = warc.round_trip(_read(spark, sf_dir, "pages"))
+    return captures.select(
+        warc.page_of(F.col("record_id")).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("response.record_type").alias("record_type"),
+        warc.page_of(F.col("refers_to")).alias("refers_to"),
+    )
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint over three-word shingles and the component that it belongs to."""
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"), "doc_id", "text", words=3, radius=3)
@@ -55,7 +67,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), "vec_id", "embedding", k=10, scale=1024)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op6_substrings": op6_substrings, "op7_toxicity": op7_toxicity, "op8_language": op8_language, "op9_ann": op9_ann, "op10_topk": op10_topk}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op4_simhash": op4_simhash, "op6_substrings": op6_substrings, "op7_toxicity": op7_toxicity, "op8_language": op8_language, "op9_ann": op9_ann, "op10_topk": op10_topk}
 
 #: DuckDB SQL for those that SQL can express; the tests hold the others against brute force.
 ORACLES: dict[str, str] = {}
