@@ -40,7 +40,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def salted_lookup(left: DataFrame, right: DataFrame, key: str, salt_from: Column, salts: int = 16) -> DataFrame:
+def salted_lookup(left: DataFrame, right: DataFrame, key: str | list[str], salt_from: Column, salts: int = 16) -> DataFrame:
     """Left join on ``key`` where one key of ``left`` may hold a large share of the rows.
 
     ``right`` has at most one row a key. The rows of a key of ``left`` are dealt over ``salts``
@@ -48,7 +48,7 @@ def salted_lookup(left: DataFrame, right: DataFrame, key: str, salt_from: Column
     """
     spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"))
-    return salted.join(spread, [key, "_salt"], "left").drop("_salt")
+    return salted.join(spread, [*([key] if isinstance(key, str) else key), "_salt"], "left").drop("_salt")
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, simhash, substrings, topk, toxicity, warc
+from . import ann, bpe, langid, lines, simhash, substrings, topk, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"), "doc_id", "text", words=3, radius=3)
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat an earlier one, exactly or within one edit."""
+    return lines.remove_repeats(_read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document once 50-byte strings of earlier documents are cut."""
     return substrings.remove_repeats(_read(spark, sf_dir, "documents"), "doc_id", "text", length=50)
@@ -67,7 +72,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), "vec_id", "embedding", k=10, scale=1024)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op4_simhash": op4_simhash, "op6_substrings": op6_substrings, "op7_toxicity": op7_toxicity, "op8_language": op8_language, "op9_ann": op9_ann, "op10_topk": op10_topk}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op4_simhash": op4_simhash, "op5_lines": op5_lines, "op6_substrings": op6_substrings, "op7_toxicity": op7_toxicity, "op8_language": op8_language, "op9_ann": op9_ann, "op10_topk": op10_topk}
 
 #: DuckDB SQL for those that SQL can express; the tests hold the others against brute force.
 ORACLES: dict[str, str] = {}
