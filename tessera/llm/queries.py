@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, lines, simhash, substrings, topk, toxicity, warc
+from . import ann, bpe, langid, lines, mixing, simhash, substrings, topk, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +31,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampled documents of a mixture raked to source, language and topic shares, with their rates and copies."""
+    feats = mixing.features(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    return mixing.mixture(feats).where("copies > 0").select(F.col("_id").alias("doc_id"), *mixing.DIMENSIONS, "tokens", "rate", "copies")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint over three-word shingles and the component that it belongs to."""
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"), "doc_id", "text", words=3, radius=3)
@@ -72,7 +78,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), "vec_id", "embedding", k=10, scale=1024)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op4_simhash": op4_simhash, "op5_lines": op5_lines, "op6_substrings": op6_substrings, "op7_toxicity": op7_toxicity, "op8_language": op8_language, "op9_ann": op9_ann, "op10_topk": op10_topk}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op5_lines": op5_lines, "op6_substrings": op6_substrings, "op7_toxicity": op7_toxicity, "op8_language": op8_language, "op9_ann": op9_ann, "op10_topk": op10_topk}
 
 #: DuckDB SQL for those that SQL can express; the tests hold the others against brute force.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.oracle()}

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Labelled rows that are learnt from, of each label: the bound of the sample.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
@@ -187,24 +188,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     return Index(vocabulary, examples, (counts.get(0, 0) / max(1, total[0] - 1), counts.get(1, 0) / max(1, total[1] - 1)))
 
 
-def score(docs: DataFrame, index: Index, id_col: str, text_col: str, evidence: bool = False) -> DataFrame:
-    """``id_col``, ``score`` (0 to 1), ``predicted`` and, with ``evidence``, the examples' ids and cosines.
+def score(docs: DataFrame, index: Index, id_col: str, text_col: str, evidence: bool = False, keep_columns: bool = False) -> DataFrame:
+    """``id_col`` (with ``keep_columns`` all columns), ``score`` (0 to 1), ``predicted`` and, with ``evidence``, the examples' ids and cosines.
 
     Only the text is an input. Null counts as empty; a text without known terms gets the rate of such examples. Repeated rows
-    each get a row. Other columns are ignored; an empty table gives an empty table. No shuffle: the index is bounded and broadcast.
+    each get a row. An empty table gives an empty table. No shuffle: the index is bounded and broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    names = ["_id", "score"] + ["evidence_ids", "evidence_cosines"] * evidence
+    rows = docs if keep_columns else docs.select(id_col)
+    fields = [T.StructField("_score", T.DoubleType())]
+    if evidence:
+        fields += [T.StructField("evidence_ids", T.ArrayType(T.LongType())), T.StructField("evidence_cosines", T.ArrayType(T.DoubleType()))]
+    schema = T.StructType([*rows.schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            found = [index.score(x.as_py() or "") for x in batch.column(1)]
-            columns = [batch.column(0), pa.array([min(1.0, max(0.0, s)) for s, _, _ in found], pa.float64())]
+            found = [index.score(x.as_py() or "") for x in batch.column(batch.num_columns - 1)]
+            columns = [*batch.columns[:-1], pa.array([min(1.0, max(0.0, s)) for s, _, _ in found], pa.float64())]
             if evidence:
                 columns += [pa.array([index.keys[r] for _, r, _ in found], pa.list_(pa.int64())), pa.array([c for _, _, c in found], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], *(f.name for f in fields)])
 
-    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    schema = f"_id {dict(docs.dtypes)['_id']}, score double" + ", evidence_ids array<bigint>, evidence_cosines array<double>" * evidence
-    return docs.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).withColumnRenamed("_id", id_col)
+    out = docs.select(*(F.col(f"`{c}`") for c in rows.columns), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return out.withColumn("predicted", (F.col("_score") >= 0.5).cast("int")).withColumnRenamed("_score", "score")
