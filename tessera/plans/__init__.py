@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import catalogue, containers
+
+QUERIES = catalogue.QUERIES | containers.QUERIES
+ORACLES = catalogue.ORACLES | containers.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
