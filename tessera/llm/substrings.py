@@ -92,7 +92,7 @@ class Anchors:
         self.at = self.anchor[np.flatnonzero(np.r_[True, self.anchor[1:] != self.anchor[:-1]])]
         self.gram = grams[self.at]
         # Before the anchor wide - 1 bytes, after its start length bytes; absent ones count as none of the 256.
-        self.context = _mix(_rolling(values, wide - 1 + length)[self.at]) if len(self.at) else self.gram
+        self.context = (_mix(_rolling(values, wide - 1 + length)[self.at]) if len(self.at) else self.gram) >> np.uint64(16)
 
 
 def context(data: bytes, at: int, length: int) -> tuple[bytes, int]:
@@ -106,6 +106,15 @@ def _bytes(value) -> bytes:
     return x if isinstance(x, bytes) else (x or "").encode("utf-8", "surrogatepass")
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of the numbers, all first ones together, then all second ones and so on: what is alike compresses."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _from_planes(raw: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 _ROWS = pa.schema([("_bucket", pa.int32()), ("_kind", pa.int8()), ("_doc", pa.binary()), ("_gram", pa.binary()), ("_ctx", pa.binary()), ("_at", pa.binary()), ("_mask", pa.binary())])
 _ROWS_SQL = "_bucket int, _kind tinyint, _doc binary, _gram binary, _ctx binary, _at binary, _mask binary"
 LISTED, SETTLED, OPEN = 0, 1, 2
@@ -127,7 +136,7 @@ def _pack(kind: int, bucket: np.ndarray, doc, gram, ctx, at, mask=None) -> pa.Re
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    pieces = lambda x, kind_: [y.astype(kind_).tobytes() for y in np.split(x[order], cuts[1:])]
+    pieces = lambda x, kind_: [_planes(y) for y in np.split(x[order].astype(kind_), cuts[1:])]
     none = [None] * len(cuts)
     columns = [pa.array(bucket[cuts].astype(np.int32)), pa.array(np.full(len(cuts), kind, np.int8)), pa.array(pieces(doc, "<i8"), pa.binary())]
     columns += [pa.array(none if x is None else pieces(x, t), pa.binary()) for x, t in ((gram, "<u8"), (ctx, "<u4" if kind == SETTLED else "<u8"), (at, "<i4"), (mask, "<u8"))]
@@ -135,7 +144,7 @@ def _pack(kind: int, bucket: np.ndarray, doc, gram, ctx, at, mask=None) -> pa.Re
 
 
 def _unpack(batch: pa.RecordBatch, rows: list[int]):
-    return [np.frombuffer(b"".join(batch.column(c)[r].as_py() for r in rows), t) for c, t in ((2, "<i8"), (3, "<u8"), (4, "<u8"), (5, "<i4"))]
+    return [np.concatenate([_from_planes(batch.column(c)[r].as_py(), t) for r in rows]) for c, t in ((2, "<i8"), (3, "<u8"), (4, "<u8"), (5, "<i4"))]
 
 
 def _scan(length: int, buckets: int):
@@ -169,8 +178,13 @@ def _scan(length: int, buckets: int):
     return run
 
 
-def _group(length: int, split: int):
-    """Step 2: a bucket's rows in, settled anchors and the contexts that are still open out, by document."""
+def _together(x: np.ndarray) -> np.ndarray:
+    """One bucket for all: what follows deals rows to documents itself."""
+    return np.zeros(len(x), np.int64)
+
+
+def _group(length: int):
+    """Step 2: a bucket's rows in, settled anchors and the contexts that are still open out."""
     full = np.uint64((1 << (length - K + 1)) - 1)
 
     def bucket_of(parts):
@@ -178,7 +192,7 @@ def _group(length: int, split: int):
         order, first, own = _settle(doc, gram, ctx, at)
         doc, gram, ctx, at = doc[order], gram[order], ctx[order], at[order]
         late = ~own
-        yield _pack(SETTLED, doc[late] % split, doc[late], None, ctx[late], at[late], np.full(int(late.sum()), full))
+        yield _pack(SETTLED, _together(doc[late]), doc[late], None, ctx[late], at[late], np.full(int(late.sum()), full))
         # A K-gram of several contexts, not all in one document.
         new = np.r_[True, gram[1:] != gram[:-1]]
         run = np.cumsum(new) - 1
@@ -186,7 +200,7 @@ def _group(length: int, split: int):
         starts = np.flatnonzero(new)
         varied = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
         open_ = own & ((contexts > 1) & varied)[run]
-        yield _pack(OPEN, doc[open_] % split, doc[open_], gram[open_], ctx[open_], at[open_])
+        yield _pack(OPEN, _together(doc[open_]), doc[open_], gram[open_], ctx[open_], at[open_])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, bucket = [], None
@@ -194,8 +208,7 @@ def _group(length: int, split: int):
             numbers, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for r in range(batch.num_rows):
                 if kinds[r] == SETTLED:
-                    doc, ctx, at, mask = (np.frombuffer(batch.column(c)[r].as_py(), t) for c, t in ((2, "<i8"), (4, "<u4"), (5, "<i4"), (6, "<u8")))
-                    yield _pack(SETTLED, doc % split, doc, None, ctx, at, mask)
+                    yield batch.slice(r, 1)
                     continue
                 if numbers[r] != bucket and held:
                     yield from (b for b in bucket_of(held) if b is not None)
@@ -208,33 +221,37 @@ def _group(length: int, split: int):
     return run
 
 
-def previous_factors(texts: list[bytes], places: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
-    """For contexts of one K-gram: bits of the windows (bit s: it starts s bytes before the anchor) with a previous factor of ``length``.
+def previous_factors(texts: list[bytes], places: np.ndarray, docs: np.ndarray, grams: np.ndarray, length: int) -> np.ndarray:
+    """For contexts: bits of the windows (bit s: it starts s bytes before the anchor) with a previous factor of ``length``.
 
-    The windows' suffixes are sorted by their first ``length`` bytes, then by document. Walking up and down that order, the nearest suffix
-    of a smaller document shares ``length`` bytes exactly if no neighbour on the way shares fewer.
+    The suffixes at the windows' starts are sorted so that equal prefixes of ``length`` bytes stand together, each run by document. Going
+    up from a suffix, the nearest one of a smaller document shares ``length`` bytes exactly if it is in the same run, and the run's first
+    is of the smallest document; so a suffix has such a factor if its document isn't the run's first.
     """
     wide = length - K + 1
-    out = np.zeros(len(texts), np.uint64)
-    owners, shifts, rows = [], [], []
-    for i, (text, place) in enumerate(zip(texts, places.tolist(), strict=True)):
-        least, most = max(0, place - wide + 1), min(place, len(text) - length)
-        if most >= least:
-            view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), length)[least : most + 1]
-            rows.append(view)
-            owners.append(np.full(len(view), i))
-            shifts.append(place - np.arange(least, most + 1))
-    if not rows:
+    width = wide - 1 + length
+    n = len(texts)
+    # Contexts side by side, their anchors at one place; absent bytes count as none of the 256.
+    row = np.zeros((n, width), np.int64)
+    sizes = np.fromiter(map(len, texts), np.int64, n)
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    starts = np.cumsum(sizes) - sizes
+    inside = np.arange(len(flat)) - np.repeat(starts, sizes) + np.repeat(wide - 1 - places, sizes)
+    row[np.repeat(np.arange(n), sizes), inside] = flat.astype(np.int64) + 1
+    values = np.concatenate([np.zeros(1, np.uint64), _VALUES])[row].ravel()
+    hashes = _rolling(values, length)[(np.arange(n) * width)[:, None] + np.arange(wide)[None, :]]
+    whole = (row[:, :wide] > 0) & (row[:, length - 1 :] > 0)
+    owner, start = np.nonzero(whole)
+    suffix, doc = hashes[owner, start], docs[owner]
+    order = np.lexsort((doc, suffix, grams[owner]))
+    owner, start, suffix, doc, gram = owner[order], start[order], suffix[order], doc[order], grams[owner][order]
+    out = np.zeros(n, np.uint64)
+    if not len(order):
         return out
-    rows, owners, shifts = np.ascontiguousarray(np.concatenate(rows)), np.concatenate(owners), np.concatenate(shifts)
-    suffix = rows.view(f"V{length}").ravel()
-    order = np.lexsort((docs[owners], np.unique(suffix, return_inverse=True)[1]))
-    suffix, owners, shifts = suffix[order], owners[order], shifts[order]
-    doc = docs[owners]
-    starts = np.flatnonzero(np.r_[True, suffix[1:] != suffix[:-1]])  # common prefixes below length end a run
-    smallest = np.repeat(doc[starts], np.diff(np.r_[starts, len(doc)]))  # the previous smaller one, if any
-    hit = doc > smallest
-    np.bitwise_or.at(out, owners[hit], np.uint64(1) << shifts[hit].astype(np.uint64))
+    runs = np.flatnonzero(np.r_[True, (suffix[1:] != suffix[:-1]) | (gram[1:] != gram[:-1])])
+    first = np.repeat(doc[runs], np.diff(np.r_[runs, len(doc)]))
+    hit = doc > first
+    np.bitwise_or.at(out, owner[hit], np.uint64(1) << (wide - 1 - start[hit]).astype(np.uint64))
     return out
 
 
@@ -263,35 +280,38 @@ def _contexts(length: int):
     return run
 
 
-def _compare(length: int, split: int):
-    """Step 3b: contexts sorted by K-gram in, settled windows out."""
-
-    def whole(rows: list[tuple]) -> pa.RecordBatch | None:
-        doc = np.array([r[0] for r in rows], np.int64)
-        masks = previous_factors([r[3] for r in rows], np.array([r[4] for r in rows]), doc, length)
-        docs, ats, bits, ctxs = [], [], [], []
-        for i in np.flatnonzero(masks):
-            at = np.frombuffer(rows[i][5], "<i4")
-            docs.append(np.full(len(at), doc[i]))
-            ats.append(at)
-            bits.append(np.full(len(at), masks[i]))
-            ctxs.append(np.full(len(at), rows[i][2] & 0xFFFFFFFF, np.uint64))
-        if not docs:
+def _compare(length: int):
+    """Step 3b: contexts sorted by K-gram in, settled windows out; a K-gram's contexts are kept together."""
+
+    def whole(rows: pa.Table) -> pa.RecordBatch | None:
+        doc, gram, ctx = (rows[c].to_numpy() for c in ("_doc", "_gram", "_ctx"))
+        masks = previous_factors(rows["_text"].to_pylist(), rows["_place"].to_numpy().astype(np.int64), doc, gram, length)
+        hit = np.flatnonzero(masks)
+        if not len(hit):
             return None
-        doc = np.concatenate(docs)
-        return _pack(SETTLED, doc % split, doc, None, np.concatenate(ctxs), np.concatenate(ats), np.concatenate(bits))
+        ats = [np.frombuffer(x, "<i4") for x in rows["_ats"].take(pa.array(hit)).to_pylist()]
+        each = np.repeat(hit, [len(x) for x in ats])
+        return _pack(SETTLED, _together(each), doc[each], None, ctx[each].astype(np.uint64) & np.uint64(0xFFFFFFFF), np.concatenate(ats), masks[each])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, gram = [], None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[1] != gram and held:
-                    if len(held) > 1 and (out := whole(held)) is not None:
-                        yield out
-                    held = []
-                gram = row[1]
-                held.append(row)
-        if len(held) > 1 and (out := whole(held)) is not None:
+            if not batch.num_rows:
+                continue
+            gram = batch.column(1).to_numpy()
+            new = np.flatnonzero(gram[1:] != gram[:-1])
+            # All before the last K-gram of this batch is whole; that one may go on.
+            cut = int(new[-1]) + 1 if len(new) else 0
+            if not cut and held and held[-1].column(1)[-1].as_py() != gram[0]:
+                if (out := whole(pa.Table.from_batches(held))) is not None:
+                    yield out
+                held = []
+            if cut:
+                if (out := whole(pa.Table.from_batches([*held, batch.slice(0, cut)]))) is not None:
+                    yield out
+                held = []
+            held.append(batch.slice(cut))
+        if held and (out := whole(pa.Table.from_batches(held))) is not None:
             yield out
 
     return run
@@ -303,11 +323,11 @@ def _by_document(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                doc = np.frombuffer(batch.column(0)[r].as_py(), "<i8")
+                doc = _from_planes(batch.column(0)[r].as_py(), "<i8")
                 order = np.argsort(doc, kind="stable")
                 doc = doc[order]
                 cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-                parts = [[y.tobytes() for y in np.split(np.frombuffer(batch.column(i)[r].as_py(), t)[order], cuts[1:])] for i, t in enumerate(columns.values(), 1)]
+                parts = [[y.tobytes() for y in np.split(_from_planes(batch.column(i)[r].as_py(), t)[order], cuts[1:])] for i, t in enumerate(columns.values(), 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc[cuts]), *(pa.array(p, pa.binary()) for p in parts)], ["_doc", *columns])
 
     return rows.select("_doc", *columns).mapInArrow(run, "_doc bigint, " + ", ".join(f"{c} binary" for c in columns))
@@ -357,21 +377,24 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, length: int = 50
     """
     if not K < length <= K + 64:
         raise ValueError(f"length must be over {K} and at most {K + 63}")
-    n = min(4096, parallelism(docs, 4 << 20))
+    n = min(16_384, parallelism(docs, 6 << 20))
     docs = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
-    listed = docs.where("_id is not null").mapInArrow(_scan(length, 4 * n), _ROWS_SQL)
-    grouped = listed.repartition(n, "_bucket").sortWithinPartitions("_bucket").mapInArrow(_group(length, 4 * n), _ROWS_SQL)
+    known = docs.where("_id is not null")
+    listed = known.mapInArrow(_scan(length, n), _ROWS_SQL)
+    grouped = listed.repartition(n, "_bucket").sortWithinPartitions("_bucket").mapInArrow(_group(length), _ROWS_SQL)
     grouped = materialise(grouped, "anchors")
-    dealt = docs.repartition(n, "_id")
-    # Open contexts: their documents' texts are read once more, in the same deal as at the end.
+    # Open contexts: their documents' texts are read once more, from the same shuffle as at the end.
+    dealt = known.repartition(n, "_id")
     wanted = _by_document(grouped.where(F.col("_kind") == OPEN), {"_gram": "<i8", "_ctx": "<i8", "_at": "<i4"})
     wanted = wanted.groupBy(F.col("_doc").alias("_id")).agg(F.collect_list("_gram").alias("_gram"), F.collect_list("_ctx").alias("_ctx"), F.collect_list("_at").alias("_at"))
     texts = dealt.join(wanted, "_id").select("_id", "_text", "_gram", "_ctx", "_at")
     contexts = texts.mapInArrow(_contexts(length), "_doc bigint, _gram bigint, _ctx bigint, _text binary, _place int, _ats binary")
-    compared = contexts.repartition(n, "_gram").sortWithinPartitions("_gram").mapInArrow(_compare(length, 4 * n), _ROWS_SQL)
+    compared = contexts.repartition(n, "_gram").sortWithinPartitions("_gram").mapInArrow(_compare(length), _ROWS_SQL)
     settled = grouped.where(F.col("_kind") == SETTLED).unionByName(compared)
     flags = _by_document(settled, {"_ctx": "<u4", "_at": "<i4", "_mask": "<u8"})
     flags = flags.groupBy(F.col("_doc").alias("_id")).agg(F.collect_list("_ctx").alias("_ctx"), F.collect_list("_at").alias("_at"), F.collect_list("_mask").alias("_mask"))
     schema = "_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep_bytes
-    out = dealt.join(flags, "_id", "left").select("_id", "_text", "_ctx", "_at", "_mask").mapInArrow(_cut(length, keep_bytes), schema)
-    return out.withColumnRenamed("_id", id_col)
+    none = F.lit(None).cast("array<binary>")
+    rows = dealt.join(flags, "_id", "left").select("_id", "_text", "_ctx", "_at", "_mask")
+    rows = rows.unionByName(docs.where("_id is null").select("_id", "_text", none.alias("_ctx"), none.alias("_at"), none.alias("_mask")))
+    return rows.mapInArrow(_cut(length, keep_bytes), schema).withColumnRenamed("_id", id_col)
