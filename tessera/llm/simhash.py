@@ -7,8 +7,8 @@ coordinate difference is discarded unseen, and only survivors are compared bit b
 Coordinates of uniform fingerprints are too alike to deal the work out (a random reference keeps nearly half of all
 pairs), so the table is cut up first: of r + 1 disjoint groups of bits one must be equal, and the fingerprints that
 share a group of bits meet in a bucket. A bucket with too many members is cut up again by its remaining bits, of
-which one of r + 1 subgroups must again be equal, until all are small; no member is dropped, and a bucket
-whose every bit is fixed holds one fingerprint.
+which one of r + 1 subgroups must again be equal. No member is dropped: after DEPTH cuts a bucket is worked on whatever its size. By then its
+members differ in few bits, so that they are mostly linked, and linked members leave the search at once.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from ._graph import components
 
 #: Members from which a bucket is cut up again; members up to which pairs are compared by offsets.
 BUCKET, SMALL = 4096, 8
+#: Cuts at most; with four groups each, 27 of 64 bits are free after three.
+DEPTH = 3
 REFERENCES = 16
 _MIX = 0x9E3779B97F4A7C15
 
@@ -169,14 +171,16 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     masks = [0]
     rows = fps.select("_fp", F.lit(0).alias("_path"))
     out = None
-    while True:
+    for depth in range(1, DEPTH + 1):
         masks = [m for mask in masks for m in _cuts(mask, parts)]
         table = F.array(*[F.lit(_signed(m)) for m in masks])
         rows = rows.select("_fp", F.explode(F.array(*[F.col("_path") * parts + k for k in range(parts)])).alias("_path"))
         rows = rows.withColumn("_part", F.col("_fp").bitwiseAND(F.get(table, F.col("_path"))))
-        size = rows.groupBy("_path", "_part").count()
-        large = materialise(size.where(F.col("count") > BUCKET).select("_path", "_part"), "buckets")
-        more = not large.isEmpty()
+        more = False
+        if depth < DEPTH:
+            size = rows.groupBy("_path", "_part").count()
+            large = materialise(size.where(F.col("count") > BUCKET).select("_path", "_part"), "buckets")
+            more = not large.isEmpty()
         here = rows.join(large, ["_path", "_part"], "left_anti") if more else rows
         here = here.select("_fp", "_path", "_part")
         # A hash deals the buckets out; sorting brings each bucket's rows together.
@@ -184,8 +188,9 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
         found = here.repartition(min(n, 10_000), "_path", "_part").sortWithinPartitions("_path", "_part").mapInArrow(_links(radius), "a bigint, b bigint").distinct()
         out = found if out is None else out.unionByName(found)
         if not more:
-            return out
+            break
         rows = materialise(rows.join(large, ["_path", "_part"], "left_semi").select("_fp", "_path"), "refine")
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int = 3, radius: int = 3) -> DataFrame:
