@@ -8,7 +8,7 @@ DataFrame operations only: documents are aggregated to cells once, all fitting i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialise
@@ -59,14 +59,16 @@ def calibrate(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROU
     Weights sum to 1. A cell without tokens weighs nothing; a value without a target share weighs nothing.
     """
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for d, shares in targets.items():
+        now = now.join(shares.select(d, F.col("share").alias(f"_to_{d}")), d, "left")
     for r in range(rounds):
-        for d, shares in targets.items():
-            sums = now.groupBy(d).agg(F.sum("weight").alias("_sum")).join(shares, d, "left")
-            factor = sums.select(d, F.when(F.col("_sum") > 0, F.coalesce("share", F.lit(0.0)) / F.col("_sum")).otherwise(0.0).alias("_factor"))
-            now = now.join(factor, d).withColumn("weight", F.col("weight") * F.col("_factor")).drop("_factor")
+        for d in targets:
+            # A value's cells are as many as the other columns' values allow, however many documents there are.
+            held = F.sum("weight").over(Window.partitionBy(d))
+            now = now.withColumn("weight", F.when(held > 0, F.col("weight") * (F.coalesce(f"_to_{d}", F.lit(0.0)) / held)).otherwise(0.0))
         if (r + 1) % TOGETHER == 0 or r + 1 == rounds:
             now = materialise(now, "raked")
-    return now
+    return now.select(*cells.columns, "weight")
 
 
 def natural_targets(cells: DataFrame, exponents: dict[str, float]) -> dict[str, DataFrame]:
