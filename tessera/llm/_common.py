@@ -52,9 +52,12 @@ def salted_lookup(left: DataFrame, right: DataFrame, key: str | list[str], salt_
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Bytes that the planner expects ``df`` to have; used only to choose numbers of partitions."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Bytes that the planner expects ``df`` to have, 0 where it doesn't know; used only to choose numbers of partitions."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
 
 
 def parallelism(df: DataFrame, bytes_each: int = 16 << 20, least: int = 12, most: int = 100_000) -> int:
-    return int(min(most, max(least, input_bytes(df) // bytes_each)))
+    size = input_bytes(df)
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return int(min(most, max(least, size // bytes_each))) if size else usual
