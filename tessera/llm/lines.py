@@ -18,18 +18,23 @@ from pyspark.sql import functions as F
 
 from ._common import materialise, parallelism, salted_lookup
 
-#: Lines shorter than this are left as they are. Pieces of a line in the second sieve.
+#: Lines shorter than this are left as they are. Least pieces of a line in the second sieve.
 LEAST_CHARS, PIECES = 16, 8
 _LINE = ["_h1", "_h2"]
 
 
-def _surroundings(line: str, chars: str, shorter: Column, piece: int, pieces: int) -> Column:
+def _pieces(shorter: Column) -> Column:
+    """Pieces of a line of so many characters: more of them in a long line, so that neither they nor their number get out of hand."""
+    return F.greatest(F.lit(PIECES), F.floor(F.sqrt(shorter) / 2).cast("int"))
+
+
+def _surroundings(line: str, chars: str, shorter: Column, piece: Column | int, pieces: Column | int) -> Column:
     """Hash of a line but for one piece; pieces are those of a line of ``shorter`` characters, and a line one longer has it in this piece."""
     a = F.floor(shorter * piece / pieces).cast("int")
     b = F.floor(shorter * (piece + 1) / pieces).cast("int")
     before = F.substring(F.col(line), F.lit(1), a)
     after = F.substring(F.col(line), F.col(chars) - (shorter - b) + 1, shorter - b)
-    return F.xxhash64(shorter, F.lit(piece), before, after)
+    return F.xxhash64(shorter, F.lit(piece) if isinstance(piece, int) else piece, before, after)
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -44,36 +49,43 @@ def _near(texts: DataFrame) -> DataFrame:
     """``_h1``, ``_h2`` of lines with an earlier line within one edit. texts: distinct lines, with their first places."""
     texts = texts.withColumn("_n", F.length("_line"))
     # Second sieve: which piece may differ, and from a line of the same length or of one less or more.
-    entries = []
-    for m in (0, 1):
+    def entries(m: int) -> Column:
         shorter = F.col("_n") - m
-        for p in range(PIECES):
-            entries.append(F.struct(_surroundings("_line", "_n", shorter, p, PIECES).alias("key"), F.lit(m).alias("longer"), F.lit(p).alias("piece")))
-    seats = texts.select(*_LINE, "_at", "_line", "_n", F.explode(F.array(*entries)).alias("_e")).select(*_LINE, "_at", "_line", "_n", "_e.*")
+        made = lambda p: F.struct(_surroundings("_line", "_n", shorter, p, _pieces(shorter)).alias("key"), F.lit(m).alias("longer"), p.alias("piece"))
+        return F.transform(F.sequence(F.lit(0), _pieces(shorter) - 1), made)
+
+    seats = texts.select(*_LINE, "_at", "_line", "_n", F.explode(F.concat(entries(0), entries(1))).alias("_e")).select(*_LINE, "_at", "_line", "_n", "_e.*")
     shared = seats.groupBy("key").agg(F.min("_at").alias("a"), F.max("_at").alias("b"), F.min("longer").alias("c")).where("a <> b and c = 0").select("key", F.lit(True).alias("_shared"))
     seats = salted_lookup(seats, shared, "key", F.col("_h1")).where("_shared")
     shorter = F.col("_n") - F.col("longer")
-    a = F.floor(shorter * F.col("piece") / PIECES).cast("int")
-    b = F.floor(shorter * (F.col("piece") + 1) / PIECES).cast("int")
+    a = F.floor(shorter * F.col("piece") / _pieces(shorter)).cast("int")
+    b = F.floor(shorter * (F.col("piece") + 1) / _pieces(shorter)).cast("int")
     seats = seats.withColumn("_mid", F.substring("_line", a + 1, b - a + F.col("longer")))
     cut = lambda i: F.concat(F.substring("_mid", F.lit(1), i), F.substring("_mid", i + 2, F.lit(1 << 30)))
     # Kind 0: substitutions at a place. Kind 1: insertions; there the shorter line is itself the variant.
     places = F.when(F.length("_mid") > 0, F.sequence(F.lit(0), F.length("_mid") - 1)).otherwise(F.array().cast("array<int>"))
     deletions = F.transform(places, lambda i: F.xxhash64(F.col("key"), F.col("longer"), F.when(F.col("longer") == 0, i).otherwise(-1), cut(i)))
     itself = F.when(F.col("longer") == 0, F.array(F.xxhash64(F.col("key"), F.lit(1), F.lit(-1), F.col("_mid")))).otherwise(F.array().cast("array<bigint>"))
-    variants = seats.select(*_LINE, "_at", (F.col("longer") == 0).alias("_short"), F.explode(F.concat(F.transform(deletions, lambda h: F.struct(h.alias("h"), (F.col("longer") == 1).alias("i"))), F.transform(itself, lambda h: F.struct(h.alias("h"), F.lit(True).alias("i"))))).alias("_v"))
-    variants = variants.select(*_LINE, "_at", F.col("_v.h").alias("_key"), F.when(~F.col("_v.i"), 0).when(F.col("_short"), 1).otherwise(2).alias("_kind"))
+    variants = seats.select(*_LINE, "_at", "piece", (F.col("longer") == 0).alias("_short"), F.explode(F.concat(F.transform(deletions, lambda h: F.struct(h.alias("h"), (F.col("longer") == 1).alias("i"))), F.transform(itself, lambda h: F.struct(h.alias("h"), F.lit(True).alias("i"))))).alias("_v"))
+    variants = variants.select(*_LINE, "_at", "piece", F.col("_v.h").alias("_key"), F.when(~F.col("_v.i"), 0).when(F.col("_short"), 1).otherwise(2).alias("_kind"))
     # The earliest of each key: among equals for substitutions, on either side for insertions.
     best = variants.groupBy("_key").agg(*[F.min(F.when(F.col("_kind") == k, F.col("_at"))).alias(f"_m{k}") for k in (0, 1, 2)])
     best = best.join(variants.groupBy("_key").agg(F.count("*").alias("_c")).where("_c > 1"), "_key").drop("_c")
     met = salted_lookup(variants, best, "_key", F.col("_h1"))
     other = F.when(F.col("_kind") == 0, F.col("_m0")).when(F.col("_kind") == 1, F.col("_m2")).otherwise(F.col("_m1"))
-    pairs = met.withColumn("_other", other).where("_other < _at").groupBy(*_LINE, "_at", "_other").agg(F.lit(1).alias("_one")).drop("_one")
+    pairs = met.withColumn("_other", other).where("_other < _at").groupBy(*_LINE, "_at", "_other").agg(F.min("piece").alias("piece"))
     # Equal keys are equal hashes: the lines themselves are held against each other.
     mine = texts.select("_at", F.col("_line").alias("_mine"))
     theirs = texts.select(F.col("_at").alias("_other"), F.col("_line").alias("_theirs"))
-    checked = pairs.join(mine, "_at").join(theirs, "_other").where(F.levenshtein("_mine", "_theirs", 1).between(0, 1))
-    return checked.select(*_LINE).distinct()
+    held = pairs.join(mine, "_at").join(theirs, "_other").withColumns({"_m": F.least(F.length("_mine"), F.length("_theirs"))})
+    a = F.floor(F.col("_m") * F.col("piece") / _pieces(F.col("_m"))).cast("int")
+    rest = F.col("_m") - F.floor(F.col("_m") * (F.col("piece") + 1) / _pieces(F.col("_m"))).cast("int")
+    before = lambda x: F.substring(x, F.lit(1), a)
+    after = lambda x: F.substring(x, F.length(x) - rest + 1, rest)
+    middle = lambda x: F.substring(x, a + 1, F.length(x) - a - rest)
+    # The edit distance of all but what both begin and end with: on long lines, of a small piece.
+    same = (before("_mine") == before("_theirs")) & (after("_mine") == after("_theirs"))
+    return held.where(same & F.levenshtein(middle("_mine"), middle("_theirs"), 1).between(0, 1)).select(*_LINE).distinct()
 
 
 def remove_repeats(docs: DataFrame, id_col: str, text_col: str, near: bool = True) -> DataFrame:
@@ -96,7 +108,8 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, near: bool = Tru
     distinct = keyed.groupBy(*_LINE).agg(F.min("_at").alias("_at"), F.max("_at").alias("_last"), *[F.min(k).alias(k) for k in names])
     distinct = materialise(distinct, "lines")
     tasks = parallelism(slim, 8 << 20)
-    dealt = rows.repartition(tasks, "_id")
+    # Lines are dealt instead of texts, so that each text is split once.
+    dealt = rows.withColumn("_lines", F.split("_text", "\n", -1)).drop("_text", text_col).repartition(tasks, "_id")
     several = distinct.where("_last > _at").select(*_LINE, "_at", F.lit(False).alias("_near"))
     if near:
         sides = F.array(*[F.struct(F.col(k).alias("key"), F.lit(int(k[2])).alias("longer")) for k in names])
@@ -106,7 +119,7 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, near: bool = Tru
         # Candidates' texts, from the documents that they first stand in.
         where = left.select((F.floor(F.col("_at") / F.lit(1 << 31).cast("decimal(10,0)"))).cast("bigint").alias("_id"), F.pmod(F.col("_at"), F.lit(1 << 31).cast("decimal(10,0)")).cast("int").alias("_no"), *_LINE, "_at")
         wanted = where.groupBy("_id").agg(F.collect_list(F.struct("_no", *_LINE, "_at")).alias("_wanted"))
-        found = dealt.select("_id", "_text").join(wanted, "_id").select(F.split("_text", "\n", -1).alias("_lines"), F.explode("_wanted").alias("_w"))
+        found = dealt.select("_id", "_lines").join(wanted, "_id").select("_lines", F.explode("_wanted").alias("_w"))
         texts = found.select("_w._h1", "_w._h2", "_w._at", F.get("_lines", F.col("_w._no")).alias("_line")).where((F.xxhash64("_line") == F.col("_h1")) & (F.xxhash64("_line", F.lit(1)) == F.col("_h2")))
         texts = materialise(texts.dropDuplicates(_LINE), "candidate-texts")
         close = materialise(_near(texts).withColumn("_near", F.lit(True)), "near-lines")
@@ -115,9 +128,9 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, near: bool = Tru
     looked = salted_lookup(lines, several, _LINE, F.col("_id"))
     gone = looked.where("_near or _here > _at").groupBy("_id", "_row").agg(F.collect_set("_no").alias("_gone"))
     out = dealt.join(gone, ["_id", "_row"], "left")
-    all_lines = F.split("_text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(all_lines, i)), "\n"))
-    lines_in = F.when(F.col("_text").isNull(), F.lit(0)).otherwise(F.size(all_lines)).cast("bigint")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    kept_lines = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.transform(stay, lambda i: F.get(F.col("_lines"), i)))
+    text = F.when(F.col("_lines").isNotNull(), F.array_join(kept_lines, "\n"))
+    lines_in = F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("bigint")
     kept = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in own]
     return out.select(*kept, lines_in.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_removed"))
