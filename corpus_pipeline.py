@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, lines, mixing, simhash, toxicity
 from tessera.llm._common import scratch_path
 
-WORDS, RADIUS = 5, 3
+WORDS, RADIUS, SIMILARITY = 5, 3, "0.8"
 #: Token shares of sources and languages are evened out a little; the mixture has as many tokens as its input, as far as it goes without repeats.
 EXPONENTS, BUDGET = {"source": 0.9, "lang": 0.9, "topic": 1.0}, 1.0
 
@@ -32,8 +32,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with near fingerprints, that of the smallest id stays."""
-    found = simhash.near_duplicates(docs, "doc_id", "text", words=WORDS, radius=RADIUS)
+    """Of documents that verified similarities link, that of the smallest id stays."""
+    found = simhash.similar_documents(docs, "doc_id", "text", words=WORDS, similarity=SIMILARITY, radius=RADIUS)
     later = found.where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
 

@@ -14,6 +14,7 @@ members differ in few bits, so that they are mostly linked, and linked members l
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ BUCKET, SMALL = 4096, 8
 #: Cuts at most; with four groups each, 27 of 64 bits are free after three.
 DEPTH = 3
 REFERENCES = 16
+#: Documents sampled for common shingles, and how many of these are put last.
+SAMPLE, HOT = 2048, 50_000
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -58,7 +61,10 @@ def hashes(text: str, words: int) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = 3) -> int:
     """Bits set in over half of the shingles' hashes; 0 for a text without words (null included)."""
-    h = hashes(text or "", words)
+    return _majority(hashes(text or "", words))
+
+
+def _majority(h: np.ndarray) -> int:
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
@@ -210,3 +216,154 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int = 3,
     several = classes.where("_n > 1 or _component <> _first").select("_fp", "_component")
     out = salted_lookup(prints, several, "_fp", F.col("_id"))
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.coalesce("_component", "_id").alias("component_id"))
+
+
+def _sets(words: int, hot: np.ndarray, ratio: tuple[int, int]):
+    """Each document's set of shingles: its digest, its size and its least shingles, of which two similar sets share one."""
+    over, under = ratio
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, prints, sizes, keys = [], [], [], []
+            for x in batch.column(1):
+                listed = hashes(x.as_py() or "", words)
+                shingles = np.unique(listed)
+                n = len(shingles)
+                digests.append(xxhash.xxh64_intdigest(shingles.tobytes(), 7))
+                prints.append(_majority(listed))
+                sizes.append(n)
+                # Any order that is the same for all sets will do; that common shingles come last keeps groups small.
+                late = hot[np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)] == shingles if len(hot) else np.zeros(n, bool)
+                order = np.concatenate([shingles[~late], shingles[late]])
+                keys.append(order[: n - -(-over * n // under) + 1 if n else 0].view(np.int64))
+            offsets = np.cumsum([0, *map(len, keys)])
+            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+            arrays = [np.array(digests, np.uint64).view(np.int64), np.array(prints, np.uint64).view(np.int64), np.array(sizes, np.int32)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, arrays), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["_id", "_set", "_fp", "_n", "_keys"])
+
+    return run
+
+
+def _hot(docs: DataFrame, words: int) -> np.ndarray:
+    """Shingles that several documents of a sample have; they decide the order of shingles only, never what is found."""
+    n = docs.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(hashes(x.as_py() or "", words)) for x in batch.column(0)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["_key"])
+
+    part = max(1, n // SAMPLE)
+    found = docs.where(F.pmod(F.xxhash64("_id"), F.lit(part)) == 0).select("_text").mapInArrow(run, "_key bigint")
+    rows = found.groupBy("_key").count().where("count > 2").orderBy(F.desc("count"), "_key").limit(HOT).select("_key").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+
+
+def _cross(ratio: tuple[int, int]):
+    """Pairs of a shingle's documents that no links join yet and whose sizes and places of the shingle allow the similarity."""
+    over, under = ratio
+
+    def pairs(keys: np.ndarray, sets: np.ndarray, sizes: np.ndarray, places: np.ndarray, roots: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        ones, twos, held = [], [], 0
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
+            order = a + np.argsort(sizes[a:b], kind="stable")
+            n, root, rest, name = sizes[order], roots[order], sizes[order] - places[order], sets[order]
+            for i in range(len(order) - 1):
+                end = int(np.searchsorted(n, n[i] * under // over, "right"))
+                # If this is the first shingle that two sets share, no more than what follows it is shared.
+                j = np.arange(i + 1, end)
+                j = j[(root[j] != root[i]) & ((over + under) * np.minimum(rest[j], rest[i]) >= over * (n[j] + n[i]))]
+                if len(j):
+                    ones.append(np.minimum(name[j], name[i]))
+                    twos.append(np.maximum(name[j], name[i]))
+                    held += len(j)
+                if held > 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ones, twos)], ["a", "b"])
+                    ones, twos, held = [], [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ones, twos)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last shingle's documents may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            new = np.flatnonzero(now[0][1:] != now[0][:-1])
+            cut = int(new[-1]) + 1 if len(new) else 0
+            if cut:
+                yield from pairs(*[x[:cut] for x in now])
+            held = [x[cut:] for x in now]
+        if held is not None:
+            yield from pairs(*held)
+
+    return run
+
+
+def _similar(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, words: int, ratio: tuple[int, int]) -> DataFrame:
+    """Those of the pairs ``a``, ``b`` of sets that have the Jaccard similarity, counted on the sets themselves."""
+    over, under = ratio
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, x in zip(batch.column(0), batch.column(1), strict=True):
+                shingles = np.unique(hashes(x.as_py() or "", words))
+                # Other texts of the same id have other sets.
+                if xxhash.xxh64_intdigest(shingles.tobytes(), 7) == key.as_py() % (1 << 64):
+                    flat = pa.ListArray.from_arrays(pa.array([0, len(shingles)], pa.int32()), pa.array(shingles.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], pa.int64()), flat], ["_set", "_all"])
+
+    pairs = materialise(pairs.distinct(), "candidates")
+    wanted = pairs.select(F.col("a").alias("_set")).unionByName(pairs.select(F.col("b").alias("_set"))).distinct()
+    texts = wanted.join(firsts, "_set").select("_set", F.col("_first").alias("_id")).join(docs, "_id").select("_set", "_text")
+    sets = materialise(texts.mapInArrow(run, "_set bigint, _all array<bigint>").dropDuplicates(["_set"]), "sets")
+    one = salted_lookup(pairs, sets.select(F.col("_set").alias("a"), F.col("_all").alias("_a")), "a", F.col("b"))
+    both = salted_lookup(one, sets.select(F.col("_set").alias("b"), F.col("_all").alias("_b")), "b", F.col("a"))
+    both = both.withColumn("_c", F.size(F.array_intersect("_a", "_b")))
+    return both.where(under * F.col("_c") >= over * (F.size("_a") + F.size("_b") - F.col("_c"))).select("a", "b")
+
+
+def similar_documents(docs: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: str = "0.8", radius: int = 3) -> DataFrame:
+    """``id_col`` and ``component_id`` (least id reachable over links): linked are documents whose sets of shingles have a Jaccard similarity of at least ``similarity``.
+
+    Fingerprints within ``radius`` bits propose pairs, but fingerprints alone miss most copies that differ. So each set also stands
+    under the first n - ceil(similarity * n) + 1 of its n shingles in one order of all: two similar sets share one of these. Every shingle's
+    sets meet the least of them first; then all pairs that no link joins yet. All proposed pairs are verified, so the components are exactly
+    those of all pairs (of 64-bit hashes). Texts without words are alike. Rows with a null id are left out.
+    """
+    part = Fraction(similarity)
+    ratio = over, under = part.numerator, part.denominator
+    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_id is not null")
+    kind = dict(docs.dtypes)["_id"]
+    scanned = materialise(docs.mapInArrow(_sets(words, _hot(docs, words), ratio), f"_id {kind}, _set bigint, _fp bigint, _n int, _keys array<bigint>"), "shingle-sets")
+    reps = materialise(scanned.groupBy("_set").agg(F.min("_id").alias("_first"), F.first("_fp").alias("_fp"), F.first("_n").alias("_n"), F.first("_keys").alias("_keys")), "distinct-sets")
+    firsts = reps.select("_set", "_first")
+    # What fingerprints propose: the sets of one class of fingerprints with the least of them.
+    found = components(links(reps.select("_fp").distinct(), radius), "a", "b").select(F.col("node").alias("_fp"), F.col("root").alias("_root"))
+    classes = reps.select("_set", "_fp", "_n").join(found, "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
+    least = classes.groupBy("_root").agg(F.min("_set").alias("_least"))
+    near = salted_lookup(classes, least, "_root", F.col("_set")).where("_set <> _least").select(F.col("_least").alias("a"), F.col("_set").alias("b"))
+    # What shingles propose.
+    seats = reps.select("_set", "_n", F.posexplode("_keys").alias("_pos", "_key"))
+    shared = seats.groupBy("_key").agg(F.count("*").alias("_c"), F.min(F.struct("_set", "_n")).alias("_least")).where("_c > 1").select("_key", "_least")
+    groups = materialise(salted_lookup(seats, shared, "_key", F.col("_set")).where("_least is not null").select("_key", "_set", "_n", "_pos", "_least"), "shared-shingles")
+    fits = under * F.least("_n", "_least._n") >= over * F.greatest("_n", "_least._n")
+    stars = groups.where((F.col("_set") != F.col("_least._set")) & fits).select(F.col("_least._set").alias("a"), F.col("_set").alias("b"))
+    linked = materialise(_similar(near.unionByName(stars), firsts, docs, words, ratio), "similar")
+    joined = components(linked, "a", "b").select(F.col("node").alias("_set"), F.col("root").alias("_root"))
+    now = salted_lookup(groups.drop("_least"), joined, "_set", F.col("_key")).withColumn("_root", F.coalesce("_root", "_set"))
+    now = materialise(now, "shingle-groups")
+    apart = now.groupBy("_key").agg(F.min("_root").alias("_u"), F.max("_root").alias("_v")).where("_u <> _v").select("_key")
+    rows = now.join(apart, "_key", "left_semi").select("_key", "_set", "_n", "_pos", "_root")
+    dealt = rows.repartition(min(parallelism(now, 4 << 20), 10_000), "_key").sortWithinPartitions("_key")
+    rest = _similar(dealt.mapInArrow(_cross(ratio), "a bigint, b bigint"), firsts, docs, words, ratio)
+    whole = components(linked.unionByName(rest), "a", "b").select(F.col("node").alias("_set"), F.col("root").alias("_root"))
+    named = firsts.join(whole, "_set", "left").withColumn("_root", F.coalesce("_root", "_set"))
+    ids = named.groupBy("_root").agg(F.min("_first").alias("_component"))
+    named = materialise(salted_lookup(named, ids, "_root", F.col("_set")).select("_set", "_component"), "classes")
+    out = salted_lookup(scanned.select("_id", "_set"), named, "_set", F.col("_id"))
+    return out.select(F.col("_id").alias(id_col), F.col("_component").alias("component_id"))
