@@ -13,7 +13,7 @@ from tessera.llm import bpe, lines, mixing, simhash, toxicity
 from tessera.llm._common import scratch_path
 
 WORDS, RADIUS, SIMILARITY = 5, 3, "0.8"
-#: Token shares of sources and languages are evened out a little; the mixture has as many tokens as its input, as far as it goes without repeats.
+#: Token shares of sources and languages are evened out a little; the mixture has as many tokens as its input, so rates above 1 repeat documents.
 EXPONENTS, BUDGET = {"source": 0.9, "lang": 0.9, "topic": 1.0}, 1.0
 
 
@@ -39,10 +39,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def sample_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay with the probability that their source, language and topic are calibrated to."""
-    mixed = mixing.mixture(mixing.features(docs, "doc_id", "text"), exponents=EXPONENTS, budget=BUDGET)
-    unwanted = mixed.where("copies = 0").select(F.col("_id").alias("doc_id")).distinct()
-    return docs.join(unwanted, "doc_id", "left_anti").select(*docs.columns)
+    """Documents as often as their source, language and topic are calibrated to: some not at all, some more than once, each copy a row."""
+    return mixing.sample(docs, "doc_id", "text", exponents=EXPONENTS, budget=BUDGET).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -90,14 +90,32 @@ def mixture(feats: DataFrame, exponents: dict[str, float] | None = None, budget:
     tokens at all have rate 0. Repeated rows of one id share a draw. An empty table gives an empty table.
     """
     feats = materialise(feats, "features")
+    return _with_copies(feats, rates(feats, exponents, budget, targets), F.col("_id"), seed)
+
+
+def rates(feats: DataFrame, exponents: dict[str, float] | None = None, budget: float = BUDGET, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Each cell's dimensions and ``rate``."""
     cells = materialise(feats.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
     targets = targets or natural_targets(cells, exponents or EXPONENTS)
     raked = calibrate(cells, targets)
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    rates = raked.select(*DIMENSIONS, F.when(F.col("tokens") > 0, F.round(F.col("weight") * F.lit(total) * F.lit(budget) / F.col("tokens"), 6)).otherwise(0.0).alias("rate"))
-    out = feats.join(rates, list(DIMENSIONS))
+    return raked.select(*DIMENSIONS, F.when(F.col("tokens") > 0, F.round(F.col("weight") * F.lit(total) * F.lit(budget) / F.col("tokens"), 6)).otherwise(0.0).alias("rate"))
+
+
+def _with_copies(rows: DataFrame, rates: DataFrame, key: Column, seed: str) -> DataFrame:
     whole = F.floor("rate")
-    return out.withColumn("copies", (whole + (draw(F.col("_id"), seed) < F.col("rate") - whole).cast("bigint")).cast("bigint"))
+    return rows.join(rates, list(DIMENSIONS)).withColumn("copies", (whole + (draw(key, seed) < F.col("rate") - whole).cast("bigint")).cast("bigint"))
+
+
+def sample(docs: DataFrame, id_col: str, text_col: str, exponents: dict[str, float] | None = None, budget: float = BUDGET, seed: str = "mix", targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The mixture itself: each row of ``docs`` as often as ``mixture`` has copies of it, no row where it has none."""
+    found = rates(materialise(features(docs, id_col, text_col), "features"), exponents, budget, targets)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
+    rows = docs.select(own, name("source").alias("source"), name("lang").alias("lang"), F.coalesce(topic_of(F.col(text_col)), F.lit(NONE)).alias("topic"))
+    # Without a shuffle of the documents: cells are few.
+    mixed = _with_copies(rows, F.broadcast(found), F.col(f"_doc.`{id_col}`"), seed)
+    return mixed.where("copies > 0").select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_doc.*")
 
 
 def oracle(rounds: int = ROUNDS, exponents: dict[str, float] | None = None, budget: float = BUDGET, seed: str = "mix") -> str:

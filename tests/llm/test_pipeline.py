@@ -47,3 +47,18 @@ def test_near_duplicates_reach_the_similarity(spark):
     assert sorted(r.doc_id for r in got if r.doc_id is not None) == want
     assert sum(r.doc_id is None for r in got) == 1
     assert corpus_pipeline.drop_near_duplicates(spark, df.where("false"), "").count() == 0
+
+
+def test_mixture_meets_the_targets(spark):
+    rows = [(i, " ".join(["word"] * 5), "en", "b" if i % 10 == 0 else "a") for i in range(6000)]
+    df = spark.createDataFrame([*rows, (None, None, "en", None)], "doc_id bigint, text string, lang string, source string")
+    kept = corpus_pipeline.sample_mixture(spark, df, "")
+    assert kept.columns == df.columns
+    tokens = {"a": 0, "b": 0}
+    for r in kept.collect():
+        assert r.source != "b" or r.doc_id % 10 == 0
+        tokens[r.source] += 5
+    powers = {"a": 0.9**0.9, "b": 0.1**0.9}
+    for k, power in powers.items():
+        assert abs(tokens[k] / 30_000 - power / sum(powers.values())) < 0.006
+    assert corpus_pipeline.sample_mixture(spark, df.where("false"), "").count() == 0
