@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from ._common import materialise, parallelism, salted_lookup
 
-#: Lines shorter than this are left as they are. Least pieces of a line in the second sieve.
-LEAST_CHARS, PIECES = 16, 8
+#: Lines shorter than this are left as they are: only empty ones. Lines shorter than NEAR_CHARS go only if they equal an earlier one, since one
+#: edit makes another word of a short line. Least pieces of a line in the second sieve.
+LEAST_CHARS, NEAR_CHARS, PIECES = 1, 16, 8
 _LINE = ["_h1", "_h2"]
 
 
@@ -92,7 +93,7 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, near: bool = Tru
     """The rows of ``docs`` with the text changed, and ``n_lines`` and ``n_removed`` after their own columns.
 
     A line (between line feeds) goes if an earlier line, of a document of a smaller id or further up in its own, equals it or, with ``near``, is within one
-    edit (a character inserted, deleted or replaced). Lines are judged on the input. Lines of fewer than LEAST_CHARS characters stay. A null
+    edit (a character inserted, deleted or replaced) and both have NEAR_CHARS characters or more. Lines are judged on the input. Empty lines stay. A null
     text stays null and has no lines. Rows with a null id are neither changed nor held against others. Repeated rows of one id with one text count as
     one document and are changed alike; rows of one id with other texts share that id's place in the order, so that equal lines at one number don't remove each
     other. An empty table gives an empty table. All columns are kept; only names that begin with an underscore are reserved.
@@ -102,7 +103,7 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, near: bool = Tru
     slim = rows.select("_id", "_text", "_row")
     n = F.length("_line")
     keyed = _occurrences(slim)
-    halves = [_surroundings("_line", "_n", F.col("_n") - m, p, 2).alias(f"_k{m}{p}") for m in (0, 1) for p in (0, 1)] if near else []
+    halves = [F.when(F.col("_n") >= NEAR_CHARS, _surroundings("_line", "_n", F.col("_n") - m, p, 2)).alias(f"_k{m}{p}") for m in (0, 1) for p in (0, 1)] if near else []
     names = [f"_k{m}{p}" for m in (0, 1) for p in (0, 1)] if near else []
     keyed = keyed.withColumn("_n", n).select("*", *halves)
     distinct = keyed.groupBy(*_LINE).agg(F.min("_at").alias("_at"), F.max("_at").alias("_last"), *[F.min(k).alias(k) for k in names])
@@ -113,7 +114,7 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, near: bool = Tru
     several = distinct.where("_last > _at").select(*_LINE, "_at", F.lit(False).alias("_near"))
     if near:
         sides = F.array(*[F.struct(F.col(k).alias("key"), F.lit(int(k[2])).alias("longer")) for k in names])
-        seats = distinct.select(*_LINE, "_at", F.explode(sides).alias("_e")).select(*_LINE, "_at", "_e.*")
+        seats = distinct.where("_k00 is not null").select(*_LINE, "_at", F.explode(sides).alias("_e")).select(*_LINE, "_at", "_e.*")
         shared = seats.groupBy("key").agg(F.min("_at").alias("a"), F.max("_at").alias("b"), F.min("longer").alias("c")).where("a <> b and c = 0").select("key", F.lit(True).alias("_shared"))
         left = materialise(salted_lookup(seats, shared, "key", F.col("_h1")).where("_shared").select(*_LINE, "_at").distinct(), "candidates")
         # Candidates' texts, from the documents that they first stand in.

@@ -49,6 +49,14 @@ def test_near_duplicates_reach_the_similarity(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, df.where("false"), "").count() == 0
 
 
+def test_short_lines_repeat_exactly(spark):
+    rows = [(1, "Les.\nown\n\nLes.\n\nx"), (2, "Les.\nLet.\nx\na line of 16 char"), (3, "a line of 15 ch\na line of 16 cha\nx"), (4, "\n")]
+    df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id bigint, text string, n_chars int")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_lines(spark, df, "").collect()}
+    want = {1: "Les.\nown\n\n\nx", 2: "Let.\na line of 16 char", 3: "a line of 15 ch", 4: "\n"}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
 def test_mixture_meets_the_targets(spark):
     rows = [(i, " ".join(["word"] * 5), "en", "b" if i % 10 == 0 else "a") for i in range(6000)]
     df = spark.createDataFrame([*rows, (None, None, "en", None)], "doc_id bigint, text string, lang string, source string")
