@@ -13,8 +13,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_CHUNKS = 100_000
-
 Chunk = tuple[str, int, int, dict[str, object], str | None]  # id, offset, size, fields, warning
 
 SCHEMA = "path string, format string, ordinal int, chunk_id string, offset bigint, size bigint, fields map<string,string>, warning string"
@@ -51,8 +49,8 @@ def fields_of(table: list[tuple[str, int, str]], payload: bytes) -> dict[str, ob
 
 def iff(data: bytes, order: str, start: int = 12, fields=WAV_FIELDS) -> Iterator[Chunk]:
     """Chunks of a RIFF (little-endian) or IFF (big-endian) file; odd sizes are padded."""
-    at, n = start, 0
-    while at + 8 <= len(data) and n < MOST_CHUNKS:
+    at = start
+    while at + 8 <= len(data):
         tag, size = data[at : at + 4], _u(data, at + 4, 4, order)
         over = at + 8 + size > len(data)
         payload = data[at + 8 : at + 8 + size]
@@ -61,7 +59,6 @@ def iff(data: bytes, order: str, start: int = 12, fields=WAV_FIELDS) -> Iterator
             decoded["list_type"] = printable(payload[:4])
         yield printable(tag), at, size, decoded, f"chunk {printable(tag)} claims {size} bytes, {max(0, len(data) - at - 8)} are left" if over else None
         at += 8 + size + size % 2
-        n += 1
 
 
 def wav(data: bytes) -> Iterator[Chunk]:
@@ -159,8 +156,8 @@ def vlq(data: bytes, at: int) -> tuple[int, int]:
 
 
 def midi(data: bytes) -> Iterator[Chunk]:
-    at, n = 0, 0
-    while at + 8 <= len(data) and n < MOST_CHUNKS:
+    at = 0
+    while at + 8 <= len(data):
         tag, size = data[at : at + 4], _u(data, at + 4, 4, "big")
         payload = data[at + 8 : at + 8 + size]
         decoded: dict[str, object] = {}
@@ -170,7 +167,6 @@ def midi(data: bytes) -> Iterator[Chunk]:
             decoded = track(payload)
         yield printable(tag), at, size, decoded, "track goes beyond the file" if at + 8 + size > len(data) else None
         at += 8 + size
-        n += 1
 
 
 def track(payload: bytes) -> dict[str, object]:
@@ -285,7 +281,7 @@ def generic(data: bytes) -> Iterator[Chunk]:
     for order in ("little", "big"):
         for start in (8, 12):
             rows, at = [], start
-            while at + 8 <= len(data) and len(rows) < MOST_CHUNKS:
+            while at + 8 <= len(data):
                 tag, size = data[at : at + 4], _u(data, at + 4, 4, order)
                 if not size or not all(32 <= b < 127 for b in tag) or at + 8 + size > len(data) + 1:
                     break

@@ -89,3 +89,11 @@ def test_ordered(spark):
     at = spark.createDataFrame([("k", 4), ("k", 100)], "key string, t long")
     marks = spark.createDataFrame([("k", 1), ("k", 6)], "key string, m long")
     assert sorted(map(tuple, R.nearest(at, marks, ["key"], "t", "m", 10).collect())) == [("k", 4, 6), ("k", 100, None)]
+
+
+def test_many_chunks():
+    """Every step goes on by eight bytes or more, so no number of chunks ends a walk."""
+    n = 100_003
+    assert sum(1 for _ in K.iff(b"RIFF" + bytes(8) + (b"junk" + bytes(4)) * n, "little")) == n
+    assert sum(1 for _ in K.midi((b"MThd" + struct.pack(">IHHH", 6, 1, 1, 96)) + (b"XXXX" + bytes(4)) * n)) >= n
+    assert sum(1 for _ in K.generic(b"GRIDxxxx" + (b"abcd" + struct.pack("<I", 2) + b"zz") * n)) == n
