@@ -1,7 +1,7 @@
-"""Repeated substrings removed from later documents, by longest-previous-factor arrays of a sparse suffix array.
+"""Repeated substrings removed from later documents, by anchored window hashing.
 
-Only some suffixes are sorted. Each window of ``length`` bytes picks one of its positions, its anchor, by its content alone (the
-least hash of the K-grams in it), so two equal windows pick the same one and meet in the order of the suffixes at anchors. An anchor's
+This stands in for longest-previous-factor arrays: only whether a factor reaches ``length`` bytes is asked, so windows are grouped by hash and not sorted by their bytes. Each window of ``length`` bytes picks one of its positions, its anchor, by its content alone (the
+least hash of the K-grams in it), so two equal windows pick the same one and meet at their anchors. An anchor's
 context is all that the windows that may pick it can reach.
 
 1. Where documents are read, anchors are listed as (hash of the K-gram, hash of the context). Anchors of equal context have equal
@@ -9,9 +9,7 @@ context is all that the windows that may pick it can reach.
    passes on one row for each context.
 2. The rest meet by their K-gram. Again all but the smallest document of each context are settled. Contexts of one
    K-gram that differ share some windows at most; their texts are needed, once for each context.
-3. For those, the suffixes at the windows' starts are sorted. A window is repeated if its longest previous factor has ``length`` bytes: the
-   nearest suffix before or after it, in suffix order, of a smaller document has at least that common prefix. (Of all suffixes of
-   smaller documents these two share the longest prefix with it.)
+3. For those, the windows are grouped by the hash of their bytes. A window is repeated if the smallest document of its group isn't its own.
 4. Each document's repeated windows are merged into runs and cut out.
 """
 
