@@ -62,7 +62,7 @@ def test_mixture_meets_the_targets(spark):
     df = spark.createDataFrame([*rows, (None, None, "en", None)], "doc_id bigint, text string, lang string, source string")
     kept = corpus_pipeline.sample_mixture(spark, df, "")
     assert kept.columns == df.columns
-    tokens = {"a": 0, "b": 0}
+    tokens = {"a": 0, "b": 0, None: 0}
     for r in kept.collect():
         assert r.source != "b" or r.doc_id % 10 == 0
         tokens[r.source] += 5
