@@ -1,15 +1,18 @@
-"""Repeated substrings removed from later documents, by anchored window hashing.
-
-This stands in for longest-previous-factor arrays: only whether a factor reaches ``length`` bytes is asked, so windows are grouped by hash and not sorted by their bytes. Each window of ``length`` bytes picks one of its positions, its anchor, by its content alone (the
-least hash of the K-grams in it), so two equal windows pick the same one and meet at their anchors. An anchor's
-context is all that the windows that may pick it can reach.
-
-1. Where documents are read, anchors are listed as (hash of the K-gram, hash of the context). Anchors of equal context have equal
-   windows, so all but those of the smallest document are repeated whole; what a task sees of them is settled there, and it
-   passes on one row for each context.
-2. The rest meet by their K-gram. Again all but the smallest document of each context are settled. Contexts of one
-   K-gram that differ share some windows at most; their texts are needed, once for each context.
-3. For those, the windows are grouped by the hash of their bytes. A window is repeated if the smallest document of its group isn't its own.
+"""Repeated substrings removed from later documents, by longest-previous-factor arrays over a suffix order that is dealt out.
+
+A suffix array of the whole corpus can't be one array, and only factors of ``length`` bytes or more matter. So suffixes are dealt to
+groups that any two with ``length`` bytes in common share: each window of ``length`` bytes picks one of its positions, its anchor, by its
+content alone (the least hash of the K-grams in it), so equal windows pick the same one and meet at their anchors' K-gram.
+
+1. Where documents are read, anchors are listed: hash of the K-gram, and of the context, which is all that the windows that may pick the
+   anchor can reach. Anchors of equal context have equal windows, so all but those of the smallest document are repeated whole.
+   What a task sees of them is settled there. Contexts count as equal by 96 bits of hash (besides the 64 of the K-gram): a billion
+   different contexts of one K-gram clash with a probability of about 1e-11.
+2. Spark sorts the rest by K-gram and context, and each task settles what it reads in passing. Anchors of a K-gram with one
+   context only are done; of the others, contexts' bytes are fetched, once for each context and document.
+3. Within each K-gram, the suffixes that start at the windows are sorted by their bytes. The previous and the next position of a smaller
+   document in that order give the longest previous factor, which is measured on the bytes. Where a K-gram has more than HOT contexts,
+   its suffixes aren't sorted in one task: Spark groups them by their bytes and finds each group's smallest document.
 4. Each document's repeated windows are merged into runs and cut out.
 """
 
@@ -23,80 +26,104 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, parallelism
+from ._common import materialise, parallelism, salted_lookup
 
 #: Bytes of a K-gram. A window has length - K + 1 of them.
 K = 20
-#: Anchors that a task gathers before it passes them on; positions of a long text that are worked on at once.
-GATHER, STRETCH = 1_500_000, 1 << 20
-_POSITION = np.uint64((1 << 21) - 1)
-
-
-def _byte_values() -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (x ^ (x >> np.uint64(29))) | np.uint64(1)
-
-
-_VALUES = _byte_values()
-_BASE = 0xD6E8FEB86659FD93
-_POWER = [np.uint64(pow(_BASE, 1 << i, 1 << 64)) for i in range(8)]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
-    return x ^ (x >> np.uint64(29))
-
-
-def _rolling(values: np.ndarray, length: int) -> np.ndarray:
-    """Polynomial hashes (mod 2**64) of every run of ``length`` values, from runs of powers of two."""
-    out, done, power, level = None, 0, values, 0
-    while True:
-        size = 1 << level
-        if length & size:
-            part = power[done : len(values) - length + 1 + done]
-            out = part.copy() if out is None else out * _POWER[level] + part
-            done += size
-        if size * 2 > length:
-            return out
-        power = power[:-size] * _POWER[level] + power[size:]
-        level += 1
-
-
-def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    size = 1
-    while size * 2 <= width:
-        x = np.minimum(x[:-size], x[size:])
-        size *= 2
-    return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
-
-
-class Anchors:
-    """Anchors of a text: ``anchor`` of each window; positions ``at``, and hashes of their K-grams and contexts."""
-
-    def __init__(self, data: bytes, length: int):
-        wide = length - K + 1  # K-grams of a window
-        n = len(data)
-        values = np.zeros(n + (wide - 1) + (length - K), np.uint64)
-        values[wide - 1 : wide - 1 + n] = _VALUES[np.frombuffer(data, np.uint8)]
-        grams = _mix(_rolling(values[wide - 1 : wide - 1 + n], K))
-        parts = []
-        for i in range(0, n - length + 1, STRETCH):
-            part = grams[i : i + STRETCH + wide - 1]
-            keyed = (part & ~_POSITION) | np.arange(len(part), dtype=np.uint64)
-            parts.append((_sliding_min(keyed, wide) & _POSITION).astype(np.int64) + i)
-        self.anchor = np.concatenate(parts)
-        self.at = self.anchor[np.flatnonzero(np.r_[True, self.anchor[1:] != self.anchor[:-1]])]
-        self.gram = grams[self.at]
-        # Before the anchor wide - 1 bytes, after its start length bytes; absent ones count as none of the 256.
-        self.context = (_mix(_rolling(values, wide - 1 + length)[self.at]) if len(self.at) else self.gram) >> np.uint64(16)
-
-
-def context(data: bytes, at: int, length: int) -> tuple[bytes, int]:
-    """An anchor's context and the anchor's place in it."""
-    start = max(0, at - (length - K))
-    return data[start : at + length], at - start
+#: Anchors that a task gathers before it passes them on, bytes of text that are laid side by side, and positions worked on at once.
+GATHER, PIECE, STRETCH = 400_000, 2 << 20, 1 << 16
+#: Contexts of a K-gram in one gathering that make it a common one; and contexts of a K-gram whose suffixes are sorted in one task at most.
+MARK, HOT = 256, 4096
+#: Values of _salt: a mark of a common K-gram, an ordinary row, parts of a common K-gram from 1 on, and settled rows.
+MARKED, PLAIN, PARTS, SETTLED = -1, 0, 64, 1000
+_FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0x9FB21C651E98DF25)]
+_LOW = np.uint64(0xFFFFFFFF)
+
+
+class Flat:
+    """Texts side by side with gaps, and their anchors."""
+
+    def __init__(self, texts: list[bytes], length: int):
+        self.length, self.before, self.wide = length, length - K, length - K + 1
+        gap = b"\xff" * (length + 8)  # wider than any context's reach
+        self.data = gap + b"".join(x + gap for x in texts)
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.starts = len(gap) + np.cumsum(self.sizes + len(gap)) - self.sizes - len(gap)
+        self.words = np.ndarray(len(self.data) - 7, "<u8", self.data, 0, (1,))
+
+    def stretches(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(first positions of whole windows, their anchors), in order and STRETCH positions at a time."""
+        edge = np.zeros(len(self.data) + 1, np.int8)
+        long = self.sizes >= self.length
+        edge[self.starts[long]] = 1
+        edge[(self.starts + self.sizes)[long] - self.length + 1] = -1
+        inside = np.add.accumulate(edge, dtype=np.int8)
+        position = np.uint64((1 << (STRETCH + self.wide).bit_length()) - 1)
+        top = len(self.data) - self.length - 8
+        for i in range(0, top, STRETCH):
+            windows = np.flatnonzero(inside[i : min(i + STRETCH, top)])
+            if not len(windows):
+                continue
+            n = min(STRETCH, top - i) + self.wide - 1
+            m = self.words[i : i + n + 12].copy()
+            m *= _FACTORS[0]
+            m ^= m >> np.uint64(29)
+            h = m[:n] * _FACTORS[1]
+            h += m[8 : 8 + n] * _FACTORS[2]
+            h += m[12 : 12 + n] * _FACTORS[3]
+            h ^= h >> np.uint64(32)
+            h *= _FACTORS[4]
+            h ^= h >> np.uint64(29)
+            self.grams = h
+            key = (h & ~position) | np.arange(n, dtype=np.uint64)
+            size = 1
+            while size * 2 <= self.wide:
+                key = np.minimum(key[:-size], key[size:])
+                size *= 2
+            if self.wide > size:
+                key = np.minimum(key[: len(key) - (self.wide - size)], key[self.wide - size :])
+            yield windows + i, (key[windows] & position).astype(np.int64) + i
+
+    def anchors(self):
+        """Distinct anchors: position, hash of the K-gram, and the first and last window that picks it."""
+        at, gram, low, high = [], [], [], []
+        for windows, anchor in self.stretches():
+            new = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+            at.append(anchor[new])
+            gram.append(self.grams[anchor[new] - int(windows[0] // STRETCH * STRETCH)])
+            low.append(windows[new])
+            high.append(windows[np.r_[new[1:] - 1, len(windows) - 1]])
+        if not at:
+            none = np.empty(0, np.int64)
+            return none, none.astype(np.uint64), none, none
+        at, gram, low, high = map(np.concatenate, (at, gram, low, high))
+        new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])  # an anchor may go on in the next stretch
+        return at[new], gram[new], low[new], high[np.r_[new[1:] - 1, len(at) - 1]]
+
+    def owners(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, at, "right") - 1
+
+    def contexts(self, at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """64 and 32 bits of hash of each anchor's context, and of how far it reaches to both sides."""
+        reach = self.before + self.length
+        left = np.minimum(self.before, at - self.starts[owner])
+        right = np.minimum(self.length, self.starts[owner] + self.sizes[owner] - at)
+        a = (left * 1024 + right).astype(np.uint64) * _FACTORS[3]
+        b = a ^ _FACTORS[0]
+        for j in range(0, reach, 8):
+            w = self.words[at + (min(j, reach - 8) - self.before)]
+            a = (a ^ w) * _FACTORS[1]
+            a ^= a >> np.uint64(31)
+            b = (b ^ (w * _FACTORS[2])) * _FACTORS[4]
+            b ^= b >> np.uint64(30)
+        a = (a ^ (a >> np.uint64(29))) * _FACTORS[2]
+        b = (b ^ (b >> np.uint64(32))) * _FACTORS[1]
+        return a ^ (a >> np.uint64(32)), b >> np.uint64(32)
+
+    def seats(self, at: np.ndarray, owner: np.ndarray):
+        """Hash of the context, and the seat: the anchor's place in its text and 32 more bits of its context's hash."""
+        context, check = self.contexts(at, owner)
+        return context, ((at - self.starts[owner]).astype(np.uint64) << np.uint64(32) | check).view(np.int64)
 
 
 def _bytes(value) -> bytes:
@@ -104,263 +131,346 @@ def _bytes(value) -> bytes:
     return x if isinstance(x, bytes) else (x or "").encode("utf-8", "surrogatepass")
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of the numbers, all first ones together, then all second ones and so on: what is alike compresses."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
-
-
-def _from_planes(raw: bytes, kind: str) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+def _pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about PIECE bytes: (from, to)."""
+    start = held = 0
+    for i, x in enumerate(texts):
+        held += len(x)
+        if held >= PIECE:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
 
 
-_ROWS = pa.schema([("_bucket", pa.int32()), ("_kind", pa.int8()), ("_doc", pa.binary()), ("_gram", pa.binary()), ("_ctx", pa.binary()), ("_at", pa.binary()), ("_mask", pa.binary())])
-_ROWS_SQL = "_bucket int, _kind tinyint, _doc binary, _gram binary, _ctx binary, _at binary, _mask binary"
-LISTED, SETTLED, OPEN = 0, 1, 2
+_LISTED = "_gram bigint, _salt int, _ctx bigint, _doc bigint, _seat bigint"
 
 
-def _settle(doc: np.ndarray, gram: np.ndarray, ctx: np.ndarray, at: np.ndarray):
-    """Sorted by K-gram, context and document: the order, whether a row starts a context, and whether it is of its smallest document."""
-    order = np.lexsort((at, doc, ctx, gram))
-    doc, gram, ctx = doc[order], gram[order], ctx[order]
-    first = np.r_[True, (gram[1:] != gram[:-1]) | (ctx[1:] != ctx[:-1])] if len(doc) else np.empty(0, bool)
-    least = doc[np.maximum.accumulate(np.where(first, np.arange(len(doc)), 0))] if len(doc) else doc
-    return order, first, doc == least
+def _rows(gram, salt, ctx, doc, seat) -> pa.RecordBatch:
+    arrays = [pa.array(gram.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(ctx.view(np.int64)), pa.array(doc), pa.array(seat)]
+    return pa.RecordBatch.from_arrays(arrays, ["_gram", "_salt", "_ctx", "_doc", "_seat"])
 
 
-def _pack(kind: int, bucket: np.ndarray, doc, gram, ctx, at, mask=None) -> pa.RecordBatch | None:
-    """One row a bucket, its columns packed."""
-    if not len(bucket):
-        return None
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    pieces = lambda x, kind_: [_planes(y) for y in np.split(x[order].astype(kind_), cuts[1:])]
-    none = [None] * len(cuts)
-    columns = [pa.array(bucket[cuts].astype(np.int32)), pa.array(np.full(len(cuts), kind, np.int8)), pa.array(pieces(doc, "<i8"), pa.binary())]
-    columns += [pa.array(none if x is None else pieces(x, t), pa.binary()) for x, t in ((gram, "<u8"), (ctx, "<u4" if kind == SETTLED else "<u8"), (at, "<i4"), (mask, "<u8"))]
-    return pa.RecordBatch.from_arrays(columns, schema=_ROWS)
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from that before it."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for x in columns:
+        out[1:] |= x[1:] != x[:-1]
+    return out
 
 
-def _unpack(batch: pa.RecordBatch, rows: list[int]):
-    return [np.concatenate([_from_planes(batch.column(c)[r].as_py(), t) for r in rows]) for c, t in ((2, "<i8"), (3, "<u8"), (4, "<u8"), (5, "<i4"))]
+def _last_start(first: np.ndarray) -> np.ndarray:
+    return np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
 
 
-def _scan(length: int, buckets: int):
-    """Step 1: documents in, packed anchors out. Settled ones go to the bucket of their document."""
-    full = np.uint64((1 << (length - K + 1)) - 1)
+def _scan(length: int):
+    """Step 1: documents in, listed anchors out; of equal contexts in one gathering only the smallest document's stay listed."""
 
-    def passed(parts):
-        doc, gram, ctx, at = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        order, first, own = _settle(doc, gram, ctx, at)
-        doc, gram, ctx, at = doc[order], gram[order], ctx[order], at[order]
-        yield _pack(LISTED, gram[own] % np.uint64(buckets), doc[own], gram[own], ctx[own], at[own])
-        late = ~own
-        yield _pack(SETTLED, gram[late] % np.uint64(buckets), doc[late], None, ctx[late], at[late], np.full(int(late.sum()), full))
+    def passed(parts) -> pa.RecordBatch:
+        doc, gram, ctx, seat = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        order = np.argsort(doc, kind="stable")
+        order = order[np.argsort(((gram & ~_LOW) | (ctx >> np.uint64(32)))[order], kind="stable")]
+        doc, gram, ctx, seat = doc[order], gram[order], ctx[order], seat[order]
+        first = _starts(gram, ctx, seat & np.int64(0xFFFFFFFF))
+        own = doc == doc[_last_start(first)]
+        run = np.cumsum(_starts(gram)) - 1
+        common = np.bincount(run[first]) > MARK
+        salt = np.where(common[run], 1 + (ctx % np.uint64(PARTS)).astype(np.int64), PLAIN)
+        salt[~own] = SETTLED + doc[~own] % PARTS
+        marks = np.unique(gram[common[run]])
+        none = np.zeros(len(marks), np.int64)
+        return _rows(np.r_[marks, gram], np.r_[none + MARKED, salt], np.r_[none.view(np.uint64), ctx], np.r_[none, doc], np.r_[none, seat])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
-            for key, value in zip(batch.column(0), batch.column(1), strict=True):
-                data = _bytes(value)
-                if len(data) < length:
-                    continue
-                a = Anchors(data, length)
-                parts.append((np.full(len(a.at), key.as_py(), np.int64), a.gram, a.context, a.at.astype(np.int32)))
-                held += len(a.at)
+            ids, texts = batch.column(0).to_numpy(), [_bytes(x) for x in batch.column(1)]
+            for i, j in _pieces(texts):
+                flat = Flat(texts[i:j], length)
+                at, gram, _, _ = flat.anchors()
+                owner = flat.owners(at)
+                ctx, seat = flat.seats(at, owner)
+                parts.append((ids[i:j][owner], gram, ctx, seat))
+                held += len(at)
                 if held >= GATHER:
-                    yield from (b for b in passed(parts) if b is not None)
+                    yield passed(parts)
                     parts, held = [], 0
-        if parts:
-            yield from (b for b in passed(parts) if b is not None)
+        if held:
+            yield passed(parts)
 
     return run
 
 
-def _together(x: np.ndarray) -> np.ndarray:
-    """One bucket for all: what follows deals rows to documents itself."""
-    return np.zeros(len(x), np.int64)
+_GROUPED = "_doc bigint, _seat bigint, _gram bigint, _ctx bigint, _open boolean"
 
 
-def _group(length: int):
-    """Step 2: a bucket's rows in, settled anchors and the contexts that are still open out."""
-    full = np.uint64((1 << (length - K + 1)) - 1)
+def _group():
+    """Step 2: rows sorted by K-gram, salt, context and document in; settled anchors and those that are still open out."""
 
-    def bucket_of(parts):
-        doc, gram, ctx, at = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        order, first, own = _settle(doc, gram, ctx, at)
-        doc, gram, ctx, at = doc[order], gram[order], ctx[order], at[order]
-        late = ~own
-        yield _pack(SETTLED, _together(doc[late]), doc[late], None, ctx[late], at[late], np.full(int(late.sum()), full))
+    def out(doc, seat, gram, ctx, is_open: bool) -> pa.RecordBatch:
+        arrays = [pa.array(doc), pa.array(seat), pa.array(gram) if is_open else pa.nulls(len(doc), pa.int64()), pa.array(ctx) if is_open else pa.nulls(len(doc), pa.int64()), pa.array(np.full(len(doc), is_open))]
+        return pa.RecordBatch.from_arrays(arrays, ["_doc", "_seat", "_gram", "_ctx", "_open"])
+
+    def whole(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """All rows of some K-grams."""
+        gram, salt, ctx, doc, seat = columns
+        late = salt >= SETTLED
+        yield out(doc[late], seat[late], None, None, False)
+        gram, salt, ctx, doc, seat = (x[~late] for x in columns)
+        if not len(gram):
+            return
+        run = np.cumsum(_starts(gram)) - 1
+        common = np.bincount(run, salt == MARKED) > 0
+        real = salt != MARKED
+        run, gram, salt, ctx, doc, seat = run[real], gram[real], salt[real], ctx[real], doc[real], seat[real]
+        first = _starts(run, salt, ctx, seat & np.int64(0xFFFFFFFF))
+        own = doc == doc[_last_start(first)]
+        yield out(doc[~own], seat[~own], None, None, False)
         # A K-gram of several contexts, not all in one document.
-        new = np.r_[True, gram[1:] != gram[:-1]]
-        run = np.cumsum(new) - 1
-        contexts = np.bincount(run[first])
-        starts = np.flatnonzero(new)
-        varied = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
-        open_ = own & ((contexts > 1) & varied)[run]
-        yield _pack(OPEN, _together(doc[open_]), doc[open_], gram[open_], ctx[open_], at[open_])
+        starts = np.flatnonzero(_starts(run))
+        several = np.zeros(len(common), bool)
+        if len(starts):
+            several[run[starts]] = (np.bincount(run[first], minlength=len(common)) > 1)[run[starts]] & (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts))
+        is_open = own & ((salt > PLAIN) | common[run] | several[run])
+        yield out(doc[is_open], seat[is_open], gram[is_open], ctx[is_open], True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, bucket = [], None
+        held = None  # the last K-gram may go on in the next batch
         for batch in batches:
-            numbers, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for r in range(batch.num_rows):
-                if kinds[r] == SETTLED:
-                    yield batch.slice(r, 1)
-                    continue
-                if numbers[r] != bucket and held:
-                    yield from (b for b in bucket_of(held) if b is not None)
-                    held = []
-                bucket = numbers[r]
-                held.append(_unpack(batch, [r]))
-        if held:
-            yield from (b for b in bucket_of(held) if b is not None)
+            if not batch.num_rows:
+                continue
+            now = [c.to_numpy() for c in batch.columns]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            cut = int(np.flatnonzero(_starts(now[0]))[-1])
+            if not cut and len(now[0]) > GATHER:
+                # One K-gram in so many contexts: what has come goes on as parts of a common one, and what comes is marked.
+                parts = [*now]
+                parts[1] = np.where(now[1] == PLAIN, 1, now[1])
+                yield from whole(parts)
+                held = [x[-1:] for x in now]
+                held[1] = np.array([MARKED], now[1].dtype)
+                continue
+            if cut:
+                yield from whole([x[:cut] for x in now])
+            held = [x[cut:] for x in now]
+        if held is not None:
+            yield from whole(held)
 
     return run
 
 
-def previous_factors(texts: list[bytes], places: np.ndarray, docs: np.ndarray, grams: np.ndarray, length: int) -> np.ndarray:
-    """For contexts: bits of the windows (bit s: it starts s bytes before the anchor) with a previous factor of ``length``.
+def _nearest_smaller(x: np.ndarray) -> np.ndarray:
+    """Nearest earlier position with a smaller value, -1 if there is none: pointers over larger ones are doubled."""
+    at = np.arange(-1, len(x) - 1)
+    todo = np.flatnonzero((at >= 0) & (x[at] >= x))
+    while len(todo):
+        at[todo] = at[at[todo]]
+        todo = todo[(at[todo] >= 0) & (x[at[todo]] >= x[todo])]
+    return at
+
 
-    The suffixes at the windows' starts are sorted so that equal prefixes of ``length`` bytes stand together, each run by document. Going
-    up from a suffix, the nearest one of a smaller document shares ``length`` bytes exactly if it is in the same run, and the run's first
-    is of the smallest document; so a suffix has such a factor if its document isn't the run's first.
+def longest_previous_factors(suffixes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Of suffixes (rows of bytes), the most leading bytes that each shares with one of a smaller document.
+
+    In suffix order, of all positions of smaller documents on one side the nearest shares the most bytes.
     """
-    wide = length - K + 1
-    width = wide - 1 + length
-    n = len(texts)
-    # Contexts side by side, their anchors at one place; absent bytes count as none of the 256.
-    row = np.zeros((n, width), np.int64)
-    sizes = np.fromiter(map(len, texts), np.int64, n)
-    flat = np.frombuffer(b"".join(texts), np.uint8)
-    starts = np.cumsum(sizes) - sizes
-    inside = np.arange(len(flat)) - np.repeat(starts, sizes) + np.repeat(wide - 1 - places, sizes)
-    row[np.repeat(np.arange(n), sizes), inside] = flat.astype(np.int64) + 1
-    values = np.concatenate([np.zeros(1, np.uint64), _VALUES])[row].ravel()
-    hashes = _rolling(values, length)[(np.arange(n) * width)[:, None] + np.arange(wide)[None, :]]
-    whole = (row[:, :wide] > 0) & (row[:, length - 1 :] > 0)
-    owner, start = np.nonzero(whole)
-    suffix, doc = hashes[owner, start], docs[owner]
-    order = np.lexsort((doc, suffix, grams[owner]))
-    owner, start, suffix, doc, gram = owner[order], start[order], suffix[order], doc[order], grams[owner][order]
-    out = np.zeros(n, np.uint64)
-    if not len(order):
-        return out
-    runs = np.flatnonzero(np.r_[True, (suffix[1:] != suffix[:-1]) | (gram[1:] != gram[:-1])])
-    first = np.repeat(doc[runs], np.diff(np.r_[runs, len(doc)]))
-    hit = doc > first
-    np.bitwise_or.at(out, owner[hit], np.uint64(1) << (wide - 1 - start[hit]).astype(np.uint64))
+    n, width = suffixes.shape
+    padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    padded[:, :width] = suffixes
+    order = np.lexsort(padded.view(">u8").T[::-1])
+    rows, doc = suffixes[order], docs[order]
+    out = np.zeros(n, np.int64)
+    for near in (_nearest_smaller(doc), n - 1 - _nearest_smaller(doc[::-1])[::-1]):
+        some = np.flatnonzero((near >= 0) & (near < n))
+        differ = rows[some] != rows[near[some]]
+        shared = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+        out[order[some]] = np.maximum(out[order[some]], shared)
     return out
 
 
+def _windows(contexts: np.ndarray, low: np.ndarray, high: np.ndarray, length: int):
+    """Of each context the windows that pick its anchor: owner, distance before the anchor, and the bytes."""
+    size = high - low + 1
+    owner = np.repeat(np.arange(len(low)), size)
+    back = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + low[owner]
+    flat = np.lib.stride_tricks.sliding_window_view(contexts.ravel(), length)
+    return owner, back, flat[owner * contexts.shape[1] + (length - K) - back]
+
+
+def previous_factors(contexts: np.ndarray, low: np.ndarray, high: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
+    """Bits of the windows (bit s: it starts s bytes before the anchor) with a previous factor of ``length``."""
+    owner, back, suffixes = _windows(contexts, low, high, length)
+    # Suffixes whose hash no other has share fewer bytes than asked, so they needn't be sorted.
+    padded = np.zeros((len(owner), -(-length // 8) * 8), np.uint8)
+    padded[:, :length] = suffixes
+    h = np.full(len(owner), _FACTORS[0])
+    for w in padded.view(np.uint64).T:
+        h = (h ^ w) * _FACTORS[1]
+        h ^= h >> np.uint64(31)
+    order = np.argsort(h)
+    new = _starts(h[order])
+    alone = new & np.r_[new[1:], True]
+    some = np.sort(order[~alone])
+    out = np.zeros(len(low), np.uint64)
+    if len(some):
+        hit = some[longest_previous_factors(suffixes[some], docs[owner[some]]) >= length]
+        np.bitwise_or.at(out, owner[hit], np.uint64(1) << back[hit].astype(np.uint64))
+    return out
+
+
+_CONTEXTS = "_gram bigint, _doc bigint, _low int, _high int, _text binary, _seats array<bigint>"
+
+
 def _contexts(length: int):
-    """Step 3a: documents with their open anchors in, one row a context out."""
+    """Step 3: documents with their open anchors in, one row a context out."""
+    reach = 2 * length - K
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, value, grams, ctxs, ats in zip(*(batch.column(i) for i in range(5)), strict=True):
-                data = _bytes(value)
-                gram, ctx, at = (np.frombuffer(b"".join(x.as_py()), t) for x, t in ((grams, "<i8"), (ctxs, "<i8"), (ats, "<i4")))
-                _, one = np.unique(np.stack([gram, ctx]), axis=1, return_index=True)
-                found = [context(data, int(at[i]), length) for i in one]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(one), key.as_py(), np.int64)),
-                        pa.array(gram[one]),
-                        pa.array(ctx[one]),
-                        pa.array([x for x, _ in found], pa.binary()),
-                        pa.array(np.array([p for _, p in found], dtype=np.int32)),
-                        pa.array([at[(gram == gram[i]) & (ctx == ctx[i])].tobytes() for i in one], pa.binary()),
-                    ],
-                    ["_doc", "_gram", "_ctx", "_text", "_place", "_ats"],
-                )
+            ids, texts = batch.column(0).to_numpy(), [_bytes(x) for x in batch.column(1)]
+            seats = batch.column(2).flatten().to_numpy()
+            ends = np.r_[0, np.cumsum(batch.column(2).value_lengths().to_numpy())]
+            for i, j in _pieces(texts):
+                flat = Flat(texts[i:j], length)
+                at, gram, low, high = flat.anchors()
+                owner = flat.owners(at)
+                ctx, seat = flat.seats(at, owner)
+                # An open anchor is in its text's list by its seat, else it is of another row of this id.
+                want_owner = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1]))
+                want = seats[ends[i] : ends[j]]
+                place = flat.starts[want_owner] + (want >> np.int64(32))
+                k = np.minimum(np.searchsorted(at, place), max(0, len(at) - 1))
+                good = (at[k] == place) & (seat[k] == want) if len(at) else np.zeros(len(want), bool)
+                k = k[good]
+                if not len(k):
+                    continue
+                order = np.lexsort((k, seat[k] & np.int64(0xFFFFFFFF), ctx[k], gram[k], owner[k]))
+                k = k[order]
+                first = np.flatnonzero(_starts(owner[k], gram[k], ctx[k], seat[k] & np.int64(0xFFFFFFFF)))
+                one = k[first]
+                bytes_ = np.frombuffer(flat.data, np.uint8)[(at[one] - flat.before)[:, None] + np.arange(reach)]
+                text = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer((np.arange(len(one) + 1) * reach).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(bytes_))])
+                arrays = [gram[one].view(np.int64), ids[i:j][owner[one]], (at[one] - high[one]).astype(np.int32), (at[one] - low[one]).astype(np.int32)]
+                listed = pa.ListArray.from_arrays(pa.array(np.r_[first, len(k)].astype(np.int32)), pa.array(seat[k]))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), text, listed], ["_gram", "_doc", "_low", "_high", "_text", "_seats"])
 
     return run
 
 
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+
+
+_HITS = "_doc bigint, _seat bigint, _mask bigint"
+
+
+def _hits(rows: pa.RecordBatch | pa.Table, hit: np.ndarray, masks: np.ndarray) -> pa.RecordBatch:
+    listed = rows["_seats"].take(pa.array(hit)).to_pylist()
+    sizes = [len(x) for x in listed]
+    doc = rows["_doc"].to_numpy()[hit]
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(doc, sizes)), pa.array([s for x in listed for s in x], pa.int64()), pa.array(np.repeat(masks[hit].view(np.int64), sizes))], ["_doc", "_seat", "_mask"])
+
+
 def _compare(length: int):
-    """Step 3b: contexts sorted by K-gram in, settled windows out; a K-gram's contexts are kept together."""
-
-    def whole(rows: pa.Table) -> pa.RecordBatch | None:
-        doc, gram, ctx = (rows[c].to_numpy() for c in ("_doc", "_gram", "_ctx"))
-        masks = previous_factors(rows["_text"].to_pylist(), rows["_place"].to_numpy().astype(np.int64), doc, gram, length)
-        hit = np.flatnonzero(masks)
-        if not len(hit):
-            return None
-        ats = [np.frombuffer(x, "<i4") for x in rows["_ats"].take(pa.array(hit)).to_pylist()]
-        each = np.repeat(hit, [len(x) for x in ats])
-        return _pack(SETTLED, _together(each), doc[each], None, ctx[each].astype(np.uint64) & np.uint64(0xFFFFFFFF), np.concatenate(ats), masks[each])
+    """Contexts sorted by K-gram in, repeated windows out; a K-gram's contexts are kept together."""
+
+    def whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts)
+        low, high, doc = (rows[c].to_numpy().astype(np.int64) for c in ("_low", "_high", "_doc"))
+        masks = previous_factors(_matrix(rows["_text"], 2 * length - K), low, high, doc, length)
+        return _hits(rows, np.flatnonzero(masks), masks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            gram = batch.column(1).to_numpy()
-            new = np.flatnonzero(gram[1:] != gram[:-1])
-            # All before the last K-gram of this batch is whole; that one may go on.
-            cut = int(new[-1]) + 1 if len(new) else 0
-            if not cut and held and held[-1].column(1)[-1].as_py() != gram[0]:
-                if (out := whole(pa.Table.from_batches(held))) is not None:
-                    yield out
-                held = []
-            if cut:
-                if (out := whole(pa.Table.from_batches([*held, batch.slice(0, cut)]))) is not None:
-                    yield out
-                held = []
-            held.append(batch.slice(cut))
-        if held and (out := whole(pa.Table.from_batches(held))) is not None:
-            yield out
+            for part in (batch.slice(i, HOT) for i in range(0, batch.num_rows, HOT)):
+                gram = part.column(0).to_numpy()
+                cut = int(np.flatnonzero(_starts(gram))[-1])
+                if held and (cut or held[-1].column(0)[-1].as_py() != gram[0]):
+                    yield whole([*held, part.slice(0, cut)])
+                    held = []
+                elif cut:
+                    yield whole([part.slice(0, cut)])
+                held.append(part.slice(cut))
+        if held:
+            yield whole(held)
 
     return run
 
 
-def _by_document(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Packed rows dealt to documents: one row a document and packed row, each column's part of it as binary."""
+def _spread(length: int):
+    """Contexts of common K-grams in, a row a window out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
-                doc = _from_planes(batch.column(0)[r].as_py(), "<i8")
-                order = np.argsort(doc, kind="stable")
-                doc = doc[order]
-                cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-                parts = [[y.tobytes() for y in np.split(_from_planes(batch.column(i)[r].as_py(), t)[order], cuts[1:])] for i, t in enumerate(columns.values(), 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[cuts]), *(pa.array(p, pa.binary()) for p in parts)], ["_doc", *columns])
+            for part in (batch.slice(i, HOT) for i in range(0, batch.num_rows, HOT)):
+                low, high = (part[c].to_numpy().astype(np.int64) for c in ("_low", "_high"))
+                owner, back, suffixes = _windows(_matrix(part["_text"], 2 * length - K), low, high, length)
+                text = pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer((np.arange(len(owner) + 1) * length).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(suffixes))])
+                yield pa.RecordBatch.from_arrays([text, part["_doc"].take(pa.array(owner)), pa.array(np.int64(1) << back), part["_seats"].take(pa.array(owner))], ["_window", "_doc", "_mask", "_seats"])
 
-    return rows.select("_doc", *columns).mapInArrow(run, "_doc bigint, " + ", ".join(f"{c} binary" for c in columns))
+    return run
 
 
 def _cut(length: int, keep: bool):
+    """Step 4: texts with their settled windows in; what is left out."""
+
+    def runs(texts: list[bytes], owner: np.ndarray, seat: np.ndarray, mask: np.ndarray) -> list[list[tuple[int, int]]]:
+        """The repeated runs (from, to) of each text."""
+        flat = Flat(texts, length)
+        at = flat.starts[owner] + (seat >> np.int64(32))
+        fits = at <= (flat.starts + flat.sizes)[owner] - K
+        at, owner, seat, mask = at[fits], owner[fits], seat[fits], mask[fits]
+        good = flat.seats(at, owner)[1] == seat  # else of another row of this id
+        order = np.argsort(at[good], kind="stable")
+        at, mask = at[good][order], mask[good][order].view(np.uint64)
+        found = []
+        for windows, anchor in flat.stretches():
+            base = int(windows[0])
+            lo, hi = np.searchsorted(at, [base, int(anchor[-1]) + 1])
+            if lo == hi:
+                continue
+            bits = np.zeros(int(anchor[-1]) - base + 1, np.uint64)
+            np.bitwise_or.at(bits, at[lo:hi] - base, mask[lo:hi])
+            found.append(windows[(bits[anchor - base] >> (anchor - windows).astype(np.uint64)) & np.uint64(1) > 0])
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        if not found or not len(starts := np.concatenate(found)):
+            return out
+        of = flat.owners(starts)
+        new = np.flatnonzero(np.r_[True, (starts[1:] > starts[:-1] + length) | (of[1:] != of[:-1])])
+        ends = starts[np.r_[new[1:] - 1, len(starts) - 1]] + length
+        for k, a, b in zip(of[new].tolist(), (starts[new] - flat.starts[of[new]]).tolist(), (ends - flat.starts[of[new]]).tolist(), strict=True):
+            out[k].append((a, b))
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for value, ctxs, ats, masks in zip(*(batch.column(i) for i in range(1, 5)), strict=True):
-                data = _bytes(value)
-                ats = ats.as_py()
-                if not ats or len(data) < length:
-                    rows.append((len(data), 0, 0, data))
-                    continue
-                ctx, at, mask = (np.frombuffer(b"".join(x), t) for x, t in ((ctxs.as_py(), "<u4"), (ats, "<i4"), (masks.as_py(), "<u8")))
-                a = Anchors(data, length)
-                seat = np.minimum(np.searchsorted(a.at, at), len(a.at) - 1)
-                own = (a.at[seat] == at) & ((a.context[seat] & np.uint64(0xFFFFFFFF)) == ctx)  # else of another row of this id
-                at, mask = at[own], mask[own]
-                bits = np.zeros(len(data), np.uint64)
-                np.bitwise_or.at(bits, at, mask)
-                hit = (bits[a.anchor] >> (a.anchor - np.arange(len(a.anchor))).astype(np.uint64)) & np.uint64(1)
-                edge = np.zeros(len(data) + 1, np.int32)
-                starts = np.flatnonzero(hit)
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + length, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                rows.append((len(data), int(gone.sum()), spans, kept))
-            columns = [batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.array([hashlib.sha256(r[3]).hexdigest() for r in rows], pa.string())]
+            texts = [_bytes(x) for x in batch.column(1)]
+            flags = batch.column(2)
+            sizes = np.array([0 if x is None else x for x in flags.value_lengths().to_pylist()], np.int64)
+            some = np.flatnonzero(sizes)
+            flat_flags = flags.flatten()
+            seat, mask = (flat_flags.field(i).to_numpy() for i in range(2))
+            ends = np.r_[0, np.cumsum(sizes[some])]
+            gone: dict[int, list[tuple[int, int]]] = {}
+            chosen = [texts[i] for i in some]
+            for i, j in _pieces(chosen):
+                owner = np.repeat(np.arange(j - i), sizes[some[i:j]])
+                for k, found in zip(some[i:j].tolist(), runs(chosen[i:j], owner, seat[ends[i] : ends[j]], mask[ends[i] : ends[j]]), strict=True):
+                    gone[k] = found
+            columns: list[list] = [[] for _ in range(5)]
+            for k, data in enumerate(texts):
+                cuts = gone.get(k, [])
+                left = [data[a:b] for a, b in zip([0, *(b for _, b in cuts)], [*(a for a, _ in cuts), len(data)], strict=True)]
+                kept = b"".join(left)
+                for into, x in zip(columns, (len(data), len(data) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                    into.append(x)
+            arrays = [batch.column(0), *(pa.array(x, pa.int64()) for x in columns[:3]), pa.array(columns[3], pa.string())]
             if keep:
-                columns.append(pa.array([r[3] for r in rows], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, ["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep)
+                arrays.append(pa.array(columns[4], pa.binary()))
+            yield pa.RecordBatch.from_arrays(arrays, ["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep)
 
     return run
 
@@ -371,28 +481,37 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, length: int = 50
     Returns ``id_col``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and, with ``keep_bytes``, ``kept`` (binary: cuts need not fall between characters).
     Strings are judged on the input; matches never cross documents. Null counts as empty, and a text shorter than ``length`` is kept whole. Ids are
     integers; rows of one id are one document's in so far as they don't repeat each other, and each gets a row. Rows with a null id are kept whole.
-    Other columns are ignored; an empty table gives an empty table.
+    A very long text is one value in one task, worked on a stretch at a time. Other columns are ignored; an empty table gives an empty table.
     """
-    if not K < length <= K + 64:
-        raise ValueError(f"length must be over {K} and at most {K + 63}")
-    n = min(16_384, parallelism(docs, 6 << 20))
+    if not K + 8 <= length <= K + 63:
+        raise ValueError(f"length must be {K + 8} to {K + 63}")
+    n = parallelism(docs, 6 << 20)
     docs = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
     known = docs.where("_id is not null")
-    listed = known.mapInArrow(_scan(length, n), _ROWS_SQL)
-    grouped = listed.repartition(n, "_bucket").sortWithinPartitions("_bucket").mapInArrow(_group(length), _ROWS_SQL)
+    listed = known.mapInArrow(_scan(length), _LISTED)
+    # Rows of a K-gram meet, but for parts of common ones and settled rows, which are dealt by their salt too.
+    dealt_by = F.greatest("_salt", F.lit(PLAIN))
+    grouped = listed.repartition(n, "_gram", dealt_by).sortWithinPartitions("_gram", "_salt", "_ctx", "_doc").mapInArrow(_group(), _GROUPED)
     grouped = materialise(grouped, "anchors")
-    # Open contexts: their documents' texts are read once more, from the same shuffle as at the end.
+    is_open = grouped.where("_open")
+    hot = materialise(is_open.groupBy("_gram").count().where(F.col("count") > HOT).select("_gram", F.lit(True).alias("_hot")), "common")
+    # Texts are dealt to documents once; each join below and the last one read the same shuffle.
     dealt = known.repartition(n, "_id")
-    wanted = _by_document(grouped.where(F.col("_kind") == OPEN), {"_gram": "<i8", "_ctx": "<i8", "_at": "<i4"})
-    wanted = wanted.groupBy(F.col("_doc").alias("_id")).agg(F.collect_list("_gram").alias("_gram"), F.collect_list("_ctx").alias("_ctx"), F.collect_list("_at").alias("_at"))
-    texts = dealt.join(wanted, "_id").select("_id", "_text", "_gram", "_ctx", "_at")
-    contexts = texts.mapInArrow(_contexts(length), "_doc bigint, _gram bigint, _ctx bigint, _text binary, _place int, _ats binary")
-    compared = contexts.repartition(n, "_gram").sortWithinPartitions("_gram").mapInArrow(_compare(length), _ROWS_SQL)
-    settled = grouped.where(F.col("_kind") == SETTLED).unionByName(compared)
-    flags = _by_document(settled, {"_ctx": "<u4", "_at": "<i4", "_mask": "<u8"})
-    flags = flags.groupBy(F.col("_doc").alias("_id")).agg(F.collect_list("_ctx").alias("_ctx"), F.collect_list("_at").alias("_at"), F.collect_list("_mask").alias("_mask"))
+
+    def contexts(rows: DataFrame) -> DataFrame:
+        wanted = rows.groupBy(F.col("_doc").alias("_id")).agg(F.collect_list("_seat").alias("_open"))
+        return dealt.join(wanted.hint("shuffle_hash"), "_id").select("_id", "_text", "_open").mapInArrow(_contexts(length), _CONTEXTS)
+
+    flags = grouped.where("not _open").select("_doc", "_seat", F.lit(-1).cast("bigint").alias("_mask"))
+    if not hot.isEmpty():
+        looked = materialise(salted_lookup(is_open, hot, "_gram", F.col("_ctx")).select("_doc", "_seat", "_gram", "_hot"), "open")
+        is_open = looked.where("_hot is null")
+        spread = contexts(looked.where("_hot")).mapInArrow(_spread(length), "_window binary, _doc bigint, _mask bigint, _seats array<bigint>")
+        least = spread.groupBy("_window").agg(F.min("_doc").alias("_least"), F.max("_doc").alias("_most")).where("_least < _most").select("_window", "_least")
+        flags = flags.unionByName(salted_lookup(spread, least, "_window", F.col("_doc")).where("_doc > _least").select("_doc", F.explode("_seats").alias("_seat"), "_mask"))
+    compared = contexts(is_open).repartition(n, "_gram").sortWithinPartitions("_gram").mapInArrow(_compare(length), _HITS)
+    flags = flags.unionByName(compared).groupBy(F.col("_doc").alias("_id")).agg(F.collect_list(F.struct("_seat", "_mask")).alias("_flags"))
     schema = "_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep_bytes
-    none = F.lit(None).cast("array<binary>")
-    rows = dealt.join(flags, "_id", "left").select("_id", "_text", "_ctx", "_at", "_mask")
-    rows = rows.unionByName(docs.where("_id is null").select("_id", "_text", none.alias("_ctx"), none.alias("_at"), none.alias("_mask")))
+    rows = dealt.join(flags.hint("shuffle_hash"), "_id", "left").select("_id", "_text", "_flags")
+    rows = rows.unionByName(docs.where("_id is null").select("_id", "_text", F.lit(None).cast("array<struct<_seat: bigint, _mask: bigint>>").alias("_flags")))
     return rows.mapInArrow(_cut(length, keep_bytes), schema).withColumnRenamed("_id", id_col)

@@ -283,8 +283,11 @@ def test_substrings_rows(docs, empty):
     assert substrings.remove_repeats(empty, "doc_id", "text").count() == 0
 
 
-def test_substrings_random(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "STRETCH", 300)
+@pytest.mark.parametrize("limits", [{}, {"GATHER": 40, "MARK": 2, "HOT": 3, "PIECE": 500}])
+def test_substrings_random(spark, monkeypatch, limits):
+    """Also with limits so small that most K-grams are common ones."""
+    for name, value in limits.items():
+        monkeypatch.setattr(substrings, name, value)
     rng = np.random.default_rng(9)
     passages = ["".join(rng.choice(list("abcde "), n)) for n in (49, 50, 51, 80, 200, 400)]
     rows = []
@@ -299,6 +302,36 @@ def test_substrings_random(spark, monkeypatch):
     assert rows_of(substrings.remove_repeats(df, "doc_id", "text")) == brute_cut([(i, t.encode()) for i, t in rows], 50)
 
 
+def test_substrings_of_one_phrase_in_many_contexts(spark, monkeypatch):
+    """One passage between other neighbours in each document, and rows of one id with different texts."""
+    monkeypatch.setattr(substrings, "HOT", 20)
+    rng = np.random.default_rng(12)
+    noise = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    passage = noise(58)
+    rows = [(i, noise(40) + passage + noise(40)) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    assert rows_of(substrings.remove_repeats(df, "doc_id", "text")) == brute_cut([(i, t.encode()) for i, t in rows], 50)
+    twice = [(1, "x" * 3 + passage), (1, passage + noise(30)), (2, noise(9) + passage)]
+    got = rows_of(substrings.remove_repeats(spark.createDataFrame(twice, "doc_id bigint, text string"), "doc_id", "text").select("doc_id", "n_removed"))
+    assert got == [(1, 0), (1, 0), (2, 58)]
+
+
+def test_anchors_do_not_depend_on_stretches(monkeypatch):
+    texts = [("ab" * 400 + LONG[:3000]).encode(), b"", b"x" * 49, b"y" * 50, LONG[:777].encode()]
+    whole = substrings.Flat(texts, 50).anchors()
+    monkeypatch.setattr(substrings, "STRETCH", 64)
+    assert all((a == b).all() for a, b in zip(whole, substrings.Flat(texts, 50).anchors(), strict=True))
+
+
+def test_longest_previous_factors():
+    rng = np.random.default_rng(3)
+    suffixes = rng.integers(97, 99, (200, 11), dtype=np.uint8)
+    docs = rng.integers(0, 30, 200)
+    shared = lambda x, y: next((k for k in range(len(x)) if x[k] != y[k]), len(x))
+    want = [max((shared(suffixes[i], suffixes[j]) for j in range(200) if docs[j] < docs[i]), default=0) for i in range(200)]
+    assert substrings.longest_previous_factors(suffixes, docs).tolist() == want
+
+
 # Toxicity
 
 
