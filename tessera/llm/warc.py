@@ -2,6 +2,7 @@
 
 Each page becomes three records: a request, its response (or a revisit, when an earlier page has the same payload), and
 metadata. The latter two name the capture's main record in WARC-Concurrent-To, and reading joins them by it.
+A page of any length is one value in one task; nothing longer is held.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import salted_lookup, scratch_path
+from ._common import materialise, salted_lookup, scratch_path
 
 CRLF = "\r\n"
 #: Fixed values of the format and of these archives.
 VERSION, DATE = "WARC/1.1", "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Pages of one archive file, so that a file can be read whole.
+#: Pages of one archive file, so that a few long tasks don't read all: files are split no further. Any size is read as a stream.
 FILE_PAGES = 1000
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -81,35 +82,66 @@ def write(pages: DataFrame, path: str, id_col: str, url_col: str, payload_col: s
 FIELDS = pa.schema([(x, pa.string()) for x in ("record_type", "record_id", "concurrent_to", "refers_to", "target_uri", "payload_digest")] + [("payload_bytes", pa.int64()), ("actual_digest", pa.string()), ("block", pa.binary())])
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of an uncompressed archive. A cut-off last record is left out."""
-    at = 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        stop = data.find(b"\r\n\r\n", start)
-        if stop < 0:
-            return
-        lines = data[start:stop].decode("utf-8", "replace").split(CRLF)[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers.get("content-length", "0"))
-        if stop + 4 + size > len(data):
-            return
-        yield headers, data[stop + 4 : stop + 4 + size]
-        at = stop + 4 + size
+class Parser:
+    """Records out of an archive's bytes, which come in pieces: what stands between two double line ends.
+
+    Nothing but the record at hand is kept. A record whose length isn't a number is passed over, and a cut-off last one left out.
+    """
+
+    def __init__(self):
+        self.headers: dict[str, str] | None = None
+        self.block = bytearray()
+        self.size = 0
+
+    def feed(self, piece: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+        """Headers (names in lower case) and block of each record that the piece completes."""
+        while True:
+            if self.headers is None:
+                piece = piece.lstrip(CRLF.encode())
+                if not piece.startswith(b"WARC/"):
+                    return
+                lines = piece.decode("utf-8", "replace").split(CRLF)[1:]
+                headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+                size = headers.get("content-length", "0")
+                if size.isascii() and size.isdigit():
+                    self.headers, self.size, self.block, self.begun = headers, int(size), bytearray(), False
+                return
+            if self.begun:
+                self.block += b"\r\n\r\n"
+            self.block += piece
+            self.begun = True
+            if len(self.block) < self.size:
+                return
+            piece = bytes(self.block[self.size :])
+            headers, self.headers = self.headers, None
+            yield headers, bytes(self.block[: self.size])
+            if not piece:
+                return
 
 
 def read(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
-    """The records of the archives under ``path``; without ``blocks``, their payloads' lengths and digests only."""
-    # A whole archive is one value; none is larger than FILE_PAGES captures.
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    """The records of the archives under ``path``; without ``blocks``, their payloads' lengths and digests only.
+
+    Archives stream through Spark's text reader (a gzip file is one split), so neither an archive nor its content is ever held whole; one
+    record is.
+    """
+    lines = spark.read.option("lineSep", CRLF * 2).option("pathGlobFilter", "*.gz").text(path)
+    pieces = lines.select(F.col("value").cast("binary"), F.col("_metadata.file_path").alias("_file"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
+        parser, file = Parser(), None
+        rows: list[list] = [[] for _ in FIELDS]
+        held = 0
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, FIELDS, strict=True)], schema=FIELDS)
 
         for batch in batches:
-            for value in batch.column(0):
-                rows: list[list] = [[] for _ in FIELDS]
-                held = 0
-                for headers, block in parse(gzip.decompress(value.as_py())):
+            files = batch.column(1).dictionary_encode()
+            for value, of in zip(batch.column(0), files.indices.to_pylist(), strict=True):
+                if (name := files.dictionary[of].as_py()) != file:
+                    parser, file = Parser(), name
+                for headers, block in parser.feed(value.as_py()):
                     kind = headers.get("warc-type", "")
                     payload = block.partition(b"\r\n\r\n")[2] if kind in ("response", "revisit") else block
                     digest = headers.get("warc-payload-digest")
@@ -117,13 +149,13 @@ def read(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
                     got = (kind, headers.get("warc-record-id"), headers.get("warc-concurrent-to"), headers.get("warc-refers-to"), headers.get("warc-target-uri"), digest and digest.partition(":")[2])
                     for into, x in zip(rows, (*got, len(payload), actual, block if blocks or kind == "metadata" else None), strict=True):
                         into.append(x)
-                    held += len(block)
-                    if held > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, FIELDS, strict=True)], schema=FIELDS)
+                    held += len(block) if blocks else 200
+                    if held > 4 << 20:
+                        yield made()
                         rows, held = [[] for _ in FIELDS], 0
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, FIELDS, strict=True)], schema=FIELDS)
+        yield made()
 
-    return files.mapInArrow(run, "record_type string, record_id string, concurrent_to string, refers_to string, target_uri string, payload_digest string, payload_bytes bigint, actual_digest string, block binary")
+    return pieces.mapInArrow(run, "record_type string, record_id string, concurrent_to string, refers_to string, target_uri string, payload_digest string, payload_bytes bigint, actual_digest string, block binary")
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -143,28 +175,45 @@ def assemble(records: DataFrame) -> DataFrame:
     return main.join(beside("request"), "record_id", "left").join(beside("metadata"), "record_id", "left")
 
 
+def field_of(metadata: F.Column, name: str) -> F.Column:
+    """A field of a metadata record's block."""
+    return F.regexp_extract(metadata["block"].cast("string"), rf"(?m)^{name}: (-?\d+)\r?$", 1).try_cast("bigint")
+
+
 def resolved(captures: DataFrame) -> DataFrame:
-    """Captures with ``payload_bytes``, ``payload_digest`` and ``refers_to`` (a record id, or null); a revisit's payload is its response's."""
-    full = captures.where("response.record_type = 'response'").select(F.col("record_id").alias("_to"), F.col("response.payload_bytes").alias("_bytes"), F.col("response.actual_digest").alias("_digest")).distinct()
+    """Captures with ``page_id``, ``payload_bytes``, ``payload_digest`` and ``refers_to`` (the page of the response that a revisit names, or null).
+
+    ``page_id`` is what the joined metadata record says. A revisit's payload is its response's; where that isn't in the archives, its digest is the
+    revisit's own and its length null.
+    """
+    captures = captures.withColumn("page_id", field_of(F.col("metadata"), "pageId"))
+    full = captures.where("response.record_type = 'response'").select(F.col("record_id").alias("_to"), F.col("page_id").alias("_page"), F.col("response.payload_bytes").alias("_bytes"), F.col("response.actual_digest").alias("_digest")).dropDuplicates(["_to"])
     named = captures.where("response.record_type = 'revisit'").select(F.col("response.refers_to").alias("_to")).distinct()
     wanted = full.join(named, "_to", "left_semi")
     rows = salted_lookup(captures.withColumn("_to", F.col("response.refers_to")), wanted, "_to", F.col("record_id"))
     own = F.col("response.record_type") == "response"
     return rows.select(
-        "record_id", "request", "response", "metadata",
+        "page_id", "record_id", "request", "response", "metadata",
         F.when(own, F.col("response.payload_bytes")).otherwise(F.col("_bytes")).alias("payload_bytes"),
         F.when(own, F.col("response.actual_digest")).otherwise(F.coalesce("_digest", "response.payload_digest")).alias("payload_digest"),
-        F.when(~own, F.col("_to")).alias("refers_to"),
+        F.when(~own, F.col("_page")).alias("refers_to"),
     )
 
 
-def page_of(record_id: F.Column) -> F.Column:
-    """The page's id in one of our record ids."""
-    return F.regexp_extract(record_id, r":(-?\d+)>$", 1).cast("bigint")
-
-
-def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Write the pages into archives in the shared folder, read them back and assemble the captures."""
-    path = scratch_path(pages.sparkSession, "warc")
+def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", blocks: bool = False) -> DataFrame:
+    """Write the pages into archives in the shared folder, read them back once and assemble the captures."""
+    spark = pages.sparkSession
+    path = scratch_path(spark, "warc")
     write(pages, path, id_col, url_col, payload_col)
-    return resolved(assemble(read(pages.sparkSession, path, blocks=False)))
+    records = materialise(read(spark, path, blocks=blocks), "records")
+    return resolved(materialise(assemble(records), "captures"))
+
+
+def oracle() -> str:
+    """DuckDB SQL for the captures of all pages."""
+    letters = "list_aggregate(list_transform(range(0, 32), lambda i: substr('" + _ALPHABET + "', (((('0x' || substr(h, (1 + 5 * (i // 4))::int, 5))::int >> (15 - 5 * (i % 4))::int) & 31) + 1)::int, 1)), 'string_agg', '')"
+    return f"""
+        with p as (select page_id, coalesce(html, '') as body, regexp_replace(coalesce(url, ''), '[\r\n]', '%0A', 'g') as target from pages where page_id is not null),
+        f as (select *, min(page_id) over (partition by body) as first, sha1(body) as h from p)
+        select page_id, octet_length(encode(body))::bigint as payload_bytes, {letters} as payload_digest, case when first < page_id then 'revisit' else 'response' end as record_type,
+            case when first < page_id then first end as refers_to, target as request_target, octet_length(encode(body))::bigint as declared_bytes from f"""

@@ -98,7 +98,7 @@ def test_bpe_rows(docs, empty, encoding):
 def test_warc_round_trip(spark):
     pages = [(1, "http://a/", "<p>hi</p>"), (2, None, "<p>hi</p>"), (3, "http://c/", None), (4, "http://d/", ""), (5, "http://e/\r\nX: y", "WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n"), (9, "u", "é" * 70_000), (9, "u", "other"), (None, "x", "y")]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id bigint, url string, html string, record_type string")
-    got = warc.round_trip(df).select(warc.page_of(F.col("record_id")), "payload_bytes", "payload_digest", "response.record_type", warc.page_of(F.col("refers_to")))
+    got = warc.round_trip(df).select("page_id", "payload_bytes", "payload_digest", "response.record_type", "refers_to")
     want, first = [], {}
     for i, _, t in sorted((p for p in pages if p[0] is not None), key=lambda p: p[0]):
         body = (t or "").encode()
@@ -121,6 +121,42 @@ def test_warc_records_and_assembly(spark):
     assert lone.request is None and lone.metadata is None
 
 
+def test_warc_keeps_any_bytes_and_large_payloads(spark):
+    """Payloads of line ends and headers at random, one of several megabytes, and archives that are read in pieces."""
+    rng = np.random.default_rng(8)
+    parts = ["\r", "\n", "\r\n", "\r\n\r\n", "WARC/1.1", "Content-Length: 3", "x", "é"]
+    pages = [(i, f"http://{i}/", "".join(parts[k] for k in rng.integers(0, len(parts), int(rng.integers(0, 12))))) for i in range(300)]
+    pages.append((1000, "http://long/", "\r\n\r\n".join(["a" * 70_000] * 60)))
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(3)
+    got = warc.round_trip(df, blocks=True).collect()
+    first = {}
+    for i, _, t in pages:
+        first.setdefault(t, i)
+    assert len(got) == len(pages)
+    for r in got:
+        text = dict((i, t) for i, _, t in pages)[r.page_id]
+        if first[text] == r.page_id:
+            assert bytes(r.response.block).partition(b"\r\n\r\n")[2] == text.encode() and r.refers_to is None
+        else:
+            assert r.refers_to == first[text]
+        assert r.request.target_uri == f"http://{r.page_id}/" or r.page_id == 1000
+
+
+def test_warc_parser_passes_over_what_is_broken():
+    record = lambda size, block: b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: " + size + b"\r\n\r\n" + block + b"\r\n\r\n"
+    data = record(b"many", b"lost") + record(b"4", b"kept") + b"junk\r\n\r\n" + record(b"0", b"") + record(b"99", b"cut off")
+    parser = warc.Parser()
+    assert [block for piece in data.split(b"\r\n\r\n") for _, block in parser.feed(piece)] == [b"kept", b""]
+
+
+def test_warc_joins_stand(spark):
+    """The query's rows rest on the joins through concurrent-to: the optimizer can't remove them."""
+    records = spark.createDataFrame([], "record_type string, record_id string, concurrent_to string, refers_to string, target_uri string, payload_digest string, payload_bytes bigint, actual_digest string, block binary")
+    got = warc.resolved(warc.assemble(records)).select("page_id", "payload_bytes", "refers_to", "request.target_uri")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concurrent_to") >= 2 and plan.count("Join LeftOuter") >= 2 and "request" in plan and "metadata" in plan
+
+
 # Mixing
 
 
