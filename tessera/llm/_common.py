@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,24 +11,42 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor shares: ``spark.checkpoint.dir`` of the session.
+    """The folder that every executor shares: ``spark.checkpoint.dir`` of the session, or what its context was told to checkpoint to.
 
-    Only where that setting is absent (tests, a laptop) is a temporary folder made.
+    Only where neither is set and all runs on this machine (tests, a laptop) is a temporary folder made; it goes when Python ends.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIRS:
-        _OWN_DIRS[app] = tempfile.mkdtemp(prefix="tessera-")
-    return _OWN_DIRS[app]
+    told = context._jsc.sc().getCheckpointDir()
+    if told.isDefined():
+        return told.get()
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in _OWN_DIRS:
+        _OWN_DIRS[context.applicationId] = own = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return _OWN_DIRS[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this process has written, once no DataFrame that rests on them is needed; how many there were."""
+    jvm, done = spark.sparkContext._jvm, 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        done += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return done
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -40,15 +60,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def salted_lookup(left: DataFrame, right: DataFrame, key: str | list[str], salt_from: Column, salts: int = 16) -> DataFrame:
+def salted_lookup(left: DataFrame, right: DataFrame, key: str | list[str], salt_from: Column, salts: int = 16, grows: bool = True) -> DataFrame:
     """Left join on ``key`` where one key of ``left`` may hold a large share of the rows.
 
-    ``right`` has at most one row a key. The rows of a key of ``left`` are dealt over ``salts``
-    partitions, and ``right`` is repeated that often.
+    ``right`` has at most one row a key. The rows of a key of ``left`` are dealt over ``salts`` partitions, and ``right`` is repeated that often. Where
+    ``right`` ``grows`` with the input it is always shuffled: the planner isn't left to broadcast it.
     """
     spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"))
-    return salted.join(spread, [*([key] if isinstance(key, str) else key), "_salt"], "left").drop("_salt")
+    return salted.join(spread.hint("shuffle_merge") if grows else spread, [*([key] if isinstance(key, str) else key), "_salt"], "left").drop("_salt")
 
 
 def input_bytes(df: DataFrame) -> int:

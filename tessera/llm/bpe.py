@@ -28,8 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a leaf of the tree.
-LEAF = 32
+#: Bytes of a leaf of the tree, and tokens of a leaf when decoding.
+LEAF, TOKENS = 32, 1024
 #: Pieces kept in a worker's cache, and the longest piece kept.
 CACHE_ROWS, CACHE_PIECE = 500_000, 64
 
@@ -158,8 +158,12 @@ class Ranks:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()
 
     def decode(self, ids) -> bytes:
-        """Bytes of the ids, concatenated up the tree (join() runs that tree in one pass)."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        """Bytes of the ids: leaves of some tokens, of which neighbours are concatenated level by level."""
+        get = self.bytes_of.__getitem__
+        level = [b"".join(map(get, ids[i : i + TOKENS])) for i in range(0, len(ids), TOKENS)] or [b""]
+        while len(level) > 1:
+            level = [b"".join(level[i : i + 2]) for i in range(0, len(level), 2)]
+        return level[0]
 
 
 class _Packed(dict):

@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from ._common import materialise, parallelism, salted_lookup
 
-#: Lines shorter than this are left as they are: only empty ones. Lines shorter than NEAR_CHARS go only if they equal an earlier one, since one
-#: edit makes another word of a short line. Least pieces of a line in the second sieve.
-LEAST_CHARS, NEAR_CHARS, PIECES = 1, 16, 8
+#: Lines shorter than this are left as they are: only empty ones. Least pieces of a line in the second sieve.
+LEAST_CHARS, PIECES = 1, 8
+#: Characters from which lines also go if they are one edit from an earlier line; shorter ones go if they equal one. One edit makes another word of a short line.
+NEAR_CHARS = 16
 _LINE = ["_h1", "_h2"]
 
 
@@ -38,12 +39,17 @@ def _surroundings(line: str, chars: str, shorter: Column, piece: Column | int, p
     return F.xxhash64(shorter, F.lit(piece) if isinstance(piece, int) else piece, before, after)
 
 
+def _second(line: str) -> Column:
+    """A second hash of a line: what is hashed first is the seed of what follows, so that lines with one hash in common have other second ones."""
+    return F.xxhash64(F.lit(1), F.col(line))
+
+
 def _occurrences(docs: DataFrame) -> DataFrame:
     """A row a line that is long enough: document, line number, the line, and its place in the order of all lines."""
     rows = docs.select("_id", "_row", F.posexplode(F.split("_text", "\n", -1)).alias("_no", "_line"))
     rows = rows.where(F.col("_id").isNotNull() & (F.length("_line") >= LEAST_CHARS))
     place = F.col("_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("_no")
-    return rows.select("_id", "_row", "_no", "_line", F.xxhash64("_line").alias("_h1"), F.xxhash64("_line", F.lit(1)).alias("_h2"), place.alias("_at"))
+    return rows.select("_id", "_row", "_no", "_line", F.xxhash64("_line").alias("_h1"), _second("_line").alias("_h2"), place.alias("_at"))
 
 
 def _near(texts: DataFrame) -> DataFrame:
@@ -89,28 +95,35 @@ def _near(texts: DataFrame) -> DataFrame:
     return held.where(same & F.levenshtein(middle("_mine"), middle("_theirs"), 1).between(0, 1)).select(*_LINE).distinct()
 
 
-def remove_repeats(docs: DataFrame, id_col: str, text_col: str, near: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str, text_col: str, near: bool = True, near_chars: int = NEAR_CHARS, counts: bool = True) -> DataFrame:
     """The rows of ``docs`` with the text changed, and ``n_lines`` and ``n_removed`` after their own columns.
 
     A line (between line feeds) goes if an earlier line, of a document of a smaller id or further up in its own, equals it or, with ``near``, is within one
-    edit (a character inserted, deleted or replaced) and both have NEAR_CHARS characters or more. Lines are judged on the input. Empty lines stay. A null
+    edit (a character inserted, deleted or replaced) and both have ``near_chars`` characters or more (at least 8). Lines are judged on the input. Empty lines stay. A null
     text stays null and has no lines. Rows with a null id are neither changed nor held against others. Repeated rows of one id with one text count as
     one document and are changed alike; rows of one id with other texts share that id's place in the order, so that equal lines at one number don't remove each
-    other. An empty table gives an empty table. All columns are kept; only names that begin with an underscore are reserved.
+    other. An empty table gives an empty table. Ids are integers of up to 64 bits. Exact repeats are told by two 64-bit hashes of other seeds, near ones on the
+    lines themselves. A line of any length is one value in one task. All columns are kept, but that with ``counts`` columns of the names
+    ``n_lines`` and ``n_removed`` are replaced; only names that begin with an underscore are reserved.
     """
-    own = docs.columns
+    kind = dict(docs.dtypes)[id_col]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} must hold integers, not {kind}")
+    added = ["n_lines", "n_removed"] if counts else []
+    own = [c for c in docs.columns if c not in added]
     rows = docs.withColumns({"_id": F.col(id_col), "_text": F.col(text_col), "_row": F.xxhash64(F.col(text_col))})
     slim = rows.select("_id", "_text", "_row")
     n = F.length("_line")
     keyed = _occurrences(slim)
-    halves = [F.when(F.col("_n") >= NEAR_CHARS, _surroundings("_line", "_n", F.col("_n") - m, p, 2)).alias(f"_k{m}{p}") for m in (0, 1) for p in (0, 1)] if near else []
+    halves = [F.when(F.col("_n") >= max(8, near_chars), _surroundings("_line", "_n", F.col("_n") - m, p, 2)).alias(f"_k{m}{p}") for m in (0, 1) for p in (0, 1)] if near else []
     names = [f"_k{m}{p}" for m in (0, 1) for p in (0, 1)] if near else []
     keyed = keyed.withColumn("_n", n).select("*", *halves)
     distinct = keyed.groupBy(*_LINE).agg(F.min("_at").alias("_at"), F.max("_at").alias("_last"), *[F.min(k).alias(k) for k in names])
     distinct = materialise(distinct, "lines")
     tasks = parallelism(slim, 8 << 20)
-    # Lines are dealt instead of texts, so that each text is split once.
-    dealt = rows.withColumn("_lines", F.split("_text", "\n", -1)).drop("_text", text_col).repartition(tasks, "_id")
+    # Lines are dealt instead of texts. Two jobs read this: that which fetches candidates, and the last one.
+    split = rows.withColumn("_lines", F.split("_text", "\n", -1)).drop("_text", text_col)
+    dealt = split.where("_id is not null").repartition(tasks, "_id")
     several = distinct.where("_last > _at").select(*_LINE, "_at", F.lit(False).alias("_near"))
     if near:
         sides = F.array(*[F.struct(F.col(k).alias("key"), F.lit(int(k[2])).alias("longer")) for k in names])
@@ -121,17 +134,19 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, near: bool = Tru
         where = left.select((F.floor(F.col("_at") / F.lit(1 << 31).cast("decimal(10,0)"))).cast("bigint").alias("_id"), F.pmod(F.col("_at"), F.lit(1 << 31).cast("decimal(10,0)")).cast("int").alias("_no"), *_LINE, "_at")
         wanted = where.groupBy("_id").agg(F.collect_list(F.struct("_no", *_LINE, "_at")).alias("_wanted"))
         found = dealt.select("_id", "_lines").join(wanted, "_id").select("_lines", F.explode("_wanted").alias("_w"))
-        texts = found.select("_w._h1", "_w._h2", "_w._at", F.get("_lines", F.col("_w._no")).alias("_line")).where((F.xxhash64("_line") == F.col("_h1")) & (F.xxhash64("_line", F.lit(1)) == F.col("_h2")))
+        texts = found.select("_w._h1", "_w._h2", "_w._at", F.get("_lines", F.col("_w._no")).alias("_line")).where((F.xxhash64("_line") == F.col("_h1")) & (_second("_line") == F.col("_h2")))
         texts = materialise(texts.dropDuplicates(_LINE), "candidate-texts")
         close = materialise(_near(texts).withColumn("_near", F.lit(True)), "near-lines")
         several = distinct.select(*_LINE, "_at", "_last").join(close, _LINE, "left").where("_near or _last > _at").select(*_LINE, "_at", F.coalesce("_near", F.lit(False)).alias("_near"))
     lines = _occurrences(slim).drop("_line").withColumnRenamed("_at", "_here")
     looked = salted_lookup(lines, several, _LINE, F.col("_id"))
     gone = looked.where("_near or _here > _at").groupBy("_id", "_row").agg(F.collect_set("_no").alias("_gone"))
-    out = dealt.join(gone, ["_id", "_row"], "left")
+    # Rows with a null id have nothing to look up, so they aren't dealt by it.
+    out = dealt.join(gone, ["_id", "_row"], "left").unionByName(split.where("_id is null").withColumn("_gone", F.lit(None).cast("array<int>")))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     kept_lines = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.transform(stay, lambda i: F.get(F.col("_lines"), i)))
     text = F.when(F.col("_lines").isNotNull(), F.array_join(kept_lines, "\n"))
     lines_in = F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("bigint")
     kept = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in own]
-    return out.select(*kept, lines_in.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_removed"))
+    made = [lines_in.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_removed")]
+    return out.select(*kept, *made[: len(added)])

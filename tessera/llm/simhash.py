@@ -7,8 +7,9 @@ coordinate difference is discarded unseen, and only survivors are compared bit b
 Coordinates of uniform fingerprints are too alike to deal the work out (a random reference keeps nearly half of all
 pairs), so the table is cut up first: of r + 1 disjoint groups of bits one must be equal, and the fingerprints that
 share a group of bits meet in a bucket. A bucket with too many members is cut up again by its remaining bits, of
-which one of r + 1 subgroups must again be equal. No member is dropped: after DEPTH cuts a bucket is worked on whatever its size. By then its
-members differ in few bits, so that they are mostly linked, and linked members leave the search at once.
+which one of r + 1 subgroups must again be equal. No member is dropped: after DEPTH cuts a bucket is worked on whatever its size, which the bits
+that are still free bound. Its members differ in few bits, so that they are mostly linked, and linked members leave the search at once.
+The table is made once, where fingerprints are listed, and its rows travel with them.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from ._graph import components
 
 #: Members from which a bucket is cut up again; members up to which pairs are compared by offsets.
 BUCKET, SMALL = 4096, 8
-#: Cuts at most; with four groups each, 27 of 64 bits are free after three.
-DEPTH = 3
+#: Cuts at most. With four groups each, 21 of 64 bits are free after four, so that no bucket can have more than two million different members.
+DEPTH = 4
 REFERENCES = 16
 #: Documents sampled for common shingles, and how many of these are put last.
 SAMPLE, HOT = 2048, 50_000
@@ -97,12 +98,16 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def linked_in_bucket(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def with_table(fps: DataFrame) -> DataFrame:
+    """Fingerprints (``_fp``) with their rows of the pivot table, ``_table``."""
+    return fps.withColumn("_table", F.array(*[F.bit_count(F.col("_fp").bitwiseXOR(F.lit(_signed(int(r))))).cast("tinyint") for r in references()]))
+
+
+def linked_in_bucket(fps: np.ndarray, table: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """A spanning forest of the links of one bucket's distinct fingerprints.
 
     Each member is compared once, with the members that no tree has reached yet, so that dense groups are quick.
     """
-    table = np.bitwise_count(fps[:, None] ^ references()[None, :]).astype(np.int16)
     order = np.argsort(table[:, 0], kind="stable")
     fps, table = fps[order], table[order]
     rest, out, frontier = np.arange(len(fps)), [], []
@@ -124,15 +129,12 @@ def linked_in_bucket(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.
 
 
 def _links(radius: int):
-    pivots = references()
-
-    def whole_runs(fps: np.ndarray, run: np.ndarray) -> pa.RecordBatch:
+    def whole_runs(fps: np.ndarray, table: np.ndarray, run: np.ndarray) -> pa.RecordBatch:
         """fps and their buckets' numbers, all members of each bucket together."""
         ones, twos = [], []
         starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
         sizes = np.diff(np.r_[starts, len(run)])
         small = np.repeat(sizes <= SMALL, sizes)
-        table = np.bitwise_count(fps[:, None] ^ pivots[None, :]).astype(np.int16)
         for o in range(1, int(min(SMALL, sizes.max()))):
             i = np.flatnonzero((run[o:] == run[:-o]) & small[o:])
             i = i[np.abs(table[i, 0] - table[i + o, 0]) <= radius]
@@ -141,7 +143,7 @@ def _links(radius: int):
             ones.append(fps[i])
             twos.append(fps[i + o])
         for k in np.flatnonzero(sizes > SMALL):
-            for a, b in linked_in_bucket(fps[starts[k] : starts[k] + sizes[k]], radius):
+            for a, b in linked_in_bucket(fps[starts[k] : starts[k] + sizes[k]], table[starts[k] : starts[k] + sizes[k]], radius):
                 ones.append(a)
                 twos.append(b)
         a, b = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (ones, twos))
@@ -153,34 +155,35 @@ def _links(radius: int):
             if not batch.num_rows:
                 continue
             now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            now.append(batch.column(3).flatten().to_numpy().reshape(batch.num_rows, -1))
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            fps, path, part = now
+            fps, path, part, table = now
             new = np.r_[False, (path[1:] != path[:-1]) | (part[1:] != part[:-1])]
             cut = int(np.flatnonzero(new)[-1]) if new.any() else 0
             if cut:
-                yield whole_runs(fps[:cut].view(np.uint64), np.cumsum(new[:cut]))
+                yield whole_runs(fps[:cut].view(np.uint64), table[:cut].astype(np.int16), np.cumsum(new[:cut]))
             held = [x[cut:] for x in now]
         if held is not None:
-            yield whole_runs(held[0].view(np.uint64), np.zeros(len(held[0]), np.int64))
+            yield whole_runs(held[0].view(np.uint64), held[3].astype(np.int16), np.zeros(len(held[0]), np.int64))
 
     return run
 
 
 def links(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """Links ``a``, ``b`` that connect all distinct fingerprints (``_fp``) within ``radius`` bits of each other.
+    """Links ``a``, ``b`` that connect all distinct fingerprints (``_fp``, with their ``_table``) within ``radius`` bits of each other.
 
     Every two linked fingerprints share a bucket, and a bucket's links form a spanning forest of it; so
     components are those of all links, though not every link between members of one component is returned.
     """
     parts = radius + 1
     masks = [0]
-    rows = fps.select("_fp", F.lit(0).alias("_path"))
+    rows = fps.select("_fp", "_table", F.lit(0).alias("_path"))
     out = None
     for depth in range(1, DEPTH + 1):
         masks = [m for mask in masks for m in _cuts(mask, parts)]
         table = F.array(*[F.lit(_signed(m)) for m in masks])
-        rows = rows.select("_fp", F.explode(F.array(*[F.col("_path") * parts + k for k in range(parts)])).alias("_path"))
+        rows = rows.select("_fp", "_table", F.explode(F.array(*[F.col("_path") * parts + k for k in range(parts)])).alias("_path"))
         rows = rows.withColumn("_part", F.col("_fp").bitwiseAND(F.get(table, F.col("_path"))))
         more = False
         if depth < DEPTH:
@@ -188,14 +191,14 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
             large = materialise(size.where(F.col("count") > BUCKET).select("_path", "_part"), "buckets")
             more = not large.isEmpty()
         here = rows.join(large, ["_path", "_part"], "left_anti") if more else rows
-        here = here.select("_fp", "_path", "_part")
+        here = here.select("_fp", "_path", "_part", "_table")
         # A hash deals the buckets out; sorting brings each bucket's rows together.
         n = parallelism(fps, 4 << 20) * parts
-        found = here.repartition(min(n, 10_000), "_path", "_part").sortWithinPartitions("_path", "_part").mapInArrow(_links(radius), "a bigint, b bigint").distinct()
+        found = here.repartition(n, "_path", "_part").sortWithinPartitions("_path", "_part").mapInArrow(_links(radius), "a bigint, b bigint").distinct()
         out = found if out is None else out.unionByName(found)
         if not more:
             break
-        rows = materialise(rows.join(large, ["_path", "_part"], "left_semi").select("_fp", "_path"), "refine")
+        rows = materialise(rows.join(large, ["_path", "_part"], "left_semi").select("_fp", "_table", "_path"), "refine")
     return out
 
 
@@ -207,13 +210,13 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int = 3,
     Other columns are ignored. Documents with equal fingerprints are one class from the start: only distinct fingerprints are compared.
     """
     prints = materialise(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    fps = materialise(prints.groupBy("_fp").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")), "distinct")
+    fps = materialise(with_table(prints.groupBy("_fp").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))), "distinct")
     found = components(links(fps, radius), "a", "b").select(F.col("node").alias("_fp"), F.col("root").alias("_root"))
     joined = fps.join(found, "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
     least = joined.groupBy("_root").agg(F.min("_first").alias("_component"))
     classes = salted_lookup(joined, least, "_root", F.col("_fp"))
     # Only classes of several documents need a row to look up.
-    several = classes.where("_n > 1 or _component <> _first").select("_fp", "_component")
+    several = classes.where((F.col("_n") > 1) | ~F.col("_component").eqNullSafe(F.col("_first"))).select("_fp", "_component")
     out = salted_lookup(prints, several, "_fp", F.col("_id"))
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.coalesce("_component", "_id").alias("component_id"))
 
@@ -343,7 +346,7 @@ def similar_documents(docs: DataFrame, id_col: str, text_col: str, words: int =
     reps = materialise(scanned.groupBy("_set").agg(F.min("_id").alias("_first"), F.first("_fp").alias("_fp"), F.first("_n").alias("_n"), F.first("_keys").alias("_keys")), "distinct-sets")
     firsts = reps.select("_set", "_first")
     # What fingerprints propose: the sets of one class of fingerprints with the least of them.
-    found = components(links(reps.select("_fp").distinct(), radius), "a", "b").select(F.col("node").alias("_fp"), F.col("root").alias("_root"))
+    found = components(links(materialise(with_table(reps.select("_fp").distinct()), "distinct"), radius), "a", "b").select(F.col("node").alias("_fp"), F.col("root").alias("_root"))
     classes = reps.select("_set", "_fp", "_n").join(found, "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
     least = classes.groupBy("_root").agg(F.min("_set").alias("_least"))
     near = salted_lookup(classes, least, "_root", F.col("_set")).where("_set <> _least").select(F.col("_least").alias("a"), F.col("_set").alias("b"))
@@ -359,7 +362,7 @@ def similar_documents(docs: DataFrame, id_col: str, text_col: str, words: int =
     now = materialise(now, "shingle-groups")
     apart = now.groupBy("_key").agg(F.min("_root").alias("_u"), F.max("_root").alias("_v")).where("_u <> _v").select("_key")
     rows = now.join(apart, "_key", "left_semi").select("_key", "_set", "_n", "_pos", "_root")
-    dealt = rows.repartition(min(parallelism(now, 4 << 20), 10_000), "_key").sortWithinPartitions("_key")
+    dealt = rows.repartition(parallelism(now, 4 << 20), "_key").sortWithinPartitions("_key")
     rest = _similar(dealt.mapInArrow(_cross(ratio), "a bigint, b bigint"), firsts, docs, words, ratio)
     whole = components(linked.unionByName(rest), "a", "b").select(F.col("node").alias("_set"), F.col("root").alias("_root"))
     named = firsts.join(whole, "_set", "left").withColumn("_root", F.coalesce("_root", "_set"))

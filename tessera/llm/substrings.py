@@ -504,7 +504,7 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, length: int = 50
 
     flags = grouped.where("not _open").select("_doc", "_seat", F.lit(-1).cast("bigint").alias("_mask"))
     if not hot.isEmpty():
-        looked = materialise(salted_lookup(is_open, hot, "_gram", F.col("_ctx")).select("_doc", "_seat", "_gram", "_hot"), "open")
+        looked = materialise(salted_lookup(is_open, hot, "_gram", F.col("_ctx"), grows=False).select("_doc", "_seat", "_gram", "_hot"), "open")
         is_open = looked.where("_hot is null")
         spread = contexts(looked.where("_hot")).mapInArrow(_spread(length), "_window binary, _doc bigint, _mask bigint, _seats array<bigint>")
         least = spread.groupBy("_window").agg(F.min("_doc").alias("_least"), F.max("_doc").alias("_most")).where("_least < _most").select("_window", "_least")

@@ -137,7 +137,8 @@ class Index:
 
 
 def held_out(id_col: str, parts: int, fold: int) -> F.Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == fold
+    """Whether the id's CRC-32 leaves this remainder; a null id isn't held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == fold, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn: F.Column | None = None) -> Index:
@@ -188,14 +189,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     return Index(vocabulary, examples, (counts.get(0, 0) / max(1, total[0] - 1), counts.get(1, 0) / max(1, total[1] - 1)))
 
 
-def score(docs: DataFrame, index: Index, id_col: str, text_col: str, evidence: bool = False, keep_columns: bool = False) -> DataFrame:
-    """``id_col`` (with ``keep_columns`` all columns), ``score`` (0 to 1), ``predicted`` and, with ``evidence``, the examples' ids and cosines.
+def score(docs: DataFrame, index: Index, id_col: str, text_col: str, evidence: bool = False, keep_columns: bool = False, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``id_col`` (with ``keep_columns`` all columns but any of the new names), the score (0 to 1) and prediction under ``names`` and, with ``evidence``, the examples' ids and cosines.
 
     Only the text is an input. Null counts as empty; a text without known terms gets the rate of such examples. Repeated rows
     each get a row. An empty table gives an empty table. No shuffle: the index is bounded and broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    rows = docs if keep_columns else docs.select(id_col)
+    rows = docs.drop(*names, *(["evidence_ids", "evidence_cosines"] if evidence else [])) if keep_columns else docs.select(id_col)
     fields = [T.StructField("_score", T.DoubleType())]
     if evidence:
         fields += [T.StructField("evidence_ids", T.ArrayType(T.LongType())), T.StructField("evidence_cosines", T.ArrayType(T.DoubleType()))]
@@ -211,4 +212,4 @@ def score(docs: DataFrame, index: Index, id_col: str, text_col: str, evidence: b
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], *(f.name for f in fields)])
 
     out = docs.select(*(F.col(f"`{c}`") for c in rows.columns), F.col(text_col).alias("_text")).mapInArrow(run, schema)
-    return out.withColumn("predicted", (F.col("_score") >= 0.5).cast("int")).withColumnRenamed("_score", "score")
+    return out.withColumn(names[1], (F.col("_score") >= 0.5).cast("int")).withColumnRenamed("_score", names[0])

@@ -213,6 +213,15 @@ def test_simhash_rows(docs, empty):
     assert simhash.near_duplicates(empty, "doc_id", "text").count() == 0
 
 
+def test_simhash_of_a_lone_null_id(spark):
+    """A fingerprint that only a null id has takes part in links, and its row gets the component's id."""
+    words = [f"w{k}" for k in range(400)]
+    texts = {1: " ".join(words), None: next(t for k in range(400) if 0 < (brute_fingerprint(t := " ".join(words[:k] + ["other"] + words[k + 1 :]), 3) ^ brute_fingerprint(" ".join(words), 3)).bit_count() <= 3)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = simhash.near_duplicates(df, "doc_id", "text").collect()
+    assert len({r.fingerprint for r in got}) == 2 and {r.component_id for r in got} == {1}
+
+
 def test_simhash_links_with_small_buckets(spark, monkeypatch):
     """Buckets that are cut up again and again find the same components."""
     rng = np.random.default_rng(5)
@@ -226,7 +235,7 @@ def test_simhash_links_with_small_buckets(spark, monkeypatch):
     fps = sorted(fps)
     linked = [(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= 3]
     want = brute_components(linked, fps)
-    df = spark.createDataFrame([(simhash._signed(x),) for x in fps], "_fp bigint")
+    df = simhash.with_table(spark.createDataFrame([(simhash._signed(x),) for x in fps], "_fp bigint"))
     for most in (4096, 20):
         monkeypatch.setattr(simhash, "BUCKET", most)
         got = components(simhash.links(df), "a", "b").collect()
@@ -262,7 +271,7 @@ def within_one(a, b):
 def test_lines(spark):
     line = "a line that is long enough to count, no. 1"
     rows = [(1, line + "\nshort\nshort\n" + line), (2, line.replace("1", "2") + "\nown line of the second document"), (3, "x" + line), (4, None), (5, ""), (6, line.replace("line", "lime").replace("1", "3")), (7, "short\n\n\n"), (8, "own line of the second documen"), (8, "own line of the second documen"), (None, line), (9, LONG), (10, LONG[:-1]), (11, line[1:] + "\n" + line[:-1] + "é")]
-    df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id bigint, text string, n_lines string").drop("n_lines").withColumn("line", F.lit(1))
+    df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id bigint, text string, n_lines string").withColumns({"line": F.lit(1), "n_removed": F.lit("clash")})
     seen, want = [], []
     done = {}
     for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
@@ -281,8 +290,13 @@ def test_lines(spark):
         done[i, t] = (i, None if t is None else "\n".join(kept), 0 if t is None else t.count("\n") + 1, gone)
         want.append(done[i, t])
     want.append((None, line, 1, 0))
-    got = lines.remove_repeats(df, "doc_id", "text").select("doc_id", "text", "n_lines", "n_removed")
-    assert rows_of(got) == sorted(want, key=repr)
+    got = lines.remove_repeats(df, "doc_id", "text")
+    assert got.columns == ["doc_id", "text", "line", "n_lines", "n_removed"]
+    assert rows_of(got.drop("line")) == sorted(want, key=repr)
+    kept = lines.remove_repeats(df, "doc_id", "text", counts=False)
+    assert kept.columns == df.columns and {(r.n_lines, r.n_removed) for r in kept.collect()} == {("clash", "clash")}
+    with pytest.raises(TypeError):
+        lines.remove_repeats(df.withColumn("doc_id", F.lit("a")), "doc_id", "text")
     assert lines.remove_repeats(df.where("false"), "doc_id", "text").count() == 0
 
 
@@ -411,6 +425,8 @@ def test_toxicity_learns_and_holds_out(spark):
     assert all(by[i].predicted == (1 if i % 4 == 0 else 0) for i in range(400))
     assert by[1000].predicted == by[1001].predicted == by[1003].predicted == 0 and by[1002].predicted == 1 and len(by[1002].evidence_ids) > 0
     assert toxicity.score(df.where("false"), index, "doc_id", "text").count() == 0
+    whole = toxicity.score(df, index, "doc_id", "text", keep_columns=True)
+    assert whole.columns == ["doc_id", "text", "score", "predicted"] and dict(whole.dtypes)["score"] == "double"
     none = toxicity.fit(df, spark.createDataFrame([], "doc_id bigint, toxic int"), "doc_id", "text", "toxic")
     assert {r.predicted for r in toxicity.score(df, none, "doc_id", "text").collect()} == {0}
 

@@ -70,3 +70,42 @@ def test_mixture_meets_the_targets(spark):
     for k, power in powers.items():
         assert abs(tokens[k] / 30_000 - power / sum(powers.values())) < 0.006
     assert corpus_pipeline.sample_mixture(spark, df.where("false"), "").count() == 0
+
+
+CLASHES = ["score", "predicted", "n_lines", "copies", "rate", "component_id", "token_ids"]
+
+
+def test_stages_keep_columns_of_clashing_names(spark, tmp_path):
+    """Each stage's rows, with nulls, empties, repeats and columns that have the names of the operators' own."""
+    rng = np.random.default_rng(21)
+    words = ["".join(rng.choice(list("aeiorst"), 6)) for _ in range(300)]
+    texts = [" ".join(rng.choice(words, 40)) + ("\nvile vile wretch" if i % 5 == 0 else "\nlast") for i in range(200)] + [None, "", "  "]
+    rows = [(i, t, "en", "a", len(t or ""), *CLASHES) for i, t in enumerate(texts)] + [(3, texts[3], "en", "a", len(texts[3]), *CLASHES), (None, texts[4], None, None, None, *CLASHES)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in CLASHES))
+    spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(0, 150)] + [(None, 1), (2, None)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, df, str(tmp_path))
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted([i for i in range(203) if i % 5 or i >= 200] + [3])
+    assert {tuple(r)[5:] for r in got} == {tuple(CLASHES)}
+    for stage in (corpus_pipeline.drop_lines, corpus_pipeline.drop_near_duplicates, corpus_pipeline.sample_mixture):
+        out = stage(spark, kept, str(tmp_path))
+        assert out.columns == df.columns and {tuple(r)[5:] for r in out.collect()} == {tuple(CLASHES)}
+        assert stage(spark, kept.where("false"), str(tmp_path)).count() == 0
+    ids = corpus_pipeline.encode(spark, kept, str(tmp_path))
+    assert ids.count() == kept.count() and {len(r.token_ids) for r in ids.where("doc_id = 201").collect()} <= {0}
+    assert corpus_pipeline.encode(spark, kept.where("false"), str(tmp_path)).count() == 0
+
+
+def test_run_goes_through_all_stages(spark, tmp_path):
+    rng = np.random.default_rng(22)
+    words = ["".join(rng.choice(list("aeiorst"), 6)) for _ in range(500)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(120)]
+    texts += [texts[k] + " more" for k in range(20)]
+    spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0) for i in range(50)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    ids = [r.doc_id for r in got.collect()]
+    # Nothing is toxic, no line repeats, twenty near copies go, and with one cell the mixture keeps all.
+    assert sorted(ids) == list(range(120))
