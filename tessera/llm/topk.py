@@ -2,8 +2,9 @@
 
 A shard's vectors are split at medians of the widest dimension, and each node keeps the tight box around its vectors.
 The largest inner product that a box allows (the sum of each dimension's better corner) orders a best-first traversal, which
-ends when no box left can beat the query's kth score. Every query first meets one shard; its kth score there is
-a bound for all, and is carried to the other shards, where it prunes from the first box on.
+ends when no box left can beat the query's kth score. Queries go through the shards in waves: one shard first, then WAVE times as many as
+before. The kth score of all that a query has met is its bound in the next wave, and prunes from the first box on.
+A shard's tree is built once a wave that it is in, which is one, and blocks of queries are streamed to it.
 """
 
 from __future__ import annotations
@@ -16,9 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialise
+from ._shards import finite, meet, shards_of
 
-#: Vectors of a shard, of a leaf, and queries of a block.
-SHARD, LEAF, BLOCK = 4096, 128, 2048
+#: Vectors of a shard: so many, and as many at most; of a leaf.
+SHARD, MOST, LEAF = 4096, 65_536, 128
+#: How many times more shards each wave has than all before it.
+WAVE = 7
 _EXACT = float(1 << 53)
 
 
@@ -27,12 +31,6 @@ def scaled(vector: str, scale: int) -> F.Column:
     return F.transform(F.col(vector), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"))
 
 
-def finite(vector: str) -> F.Column:
-    """Vectors with components, none of them null or not finite."""
-    good = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    return F.col(vector).isNotNull() & (F.size(vector) > 0) & F.coalesce(good, F.lit(False))
-
-
 class Tree:
     """A KD-tree over rows of ``points`` (doubles that hold integers)."""
 
@@ -57,67 +55,61 @@ class Tree:
         return at
 
 
-def best(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, bounds: np.ndarray, k: int):
-    """Per query its k best of these points, ties to the smaller id: (query's index, id, score) arrays.
-
-    ``bounds``: scores that a result must reach (-inf: none known).
-    """
-    size = max(1, points.shape[1]) * max(1.0, np.abs(points).max(initial=0)) * max(1.0, np.abs(queries).max(initial=0))
-    exact = size < _EXACT
-    if not exact:  # beyond doubles' integers
-        whole = np.array([[int(x) for x in row] for row in points], dtype=object)
-    tree = Tree(points)
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    tops = up @ tree.high.T + down @ tree.low.T
-    if not exact:
-        tops += np.abs(tops) * 1e-9
-    out_q, out_id, out_s = [], [], []
-    for i, q in enumerate(queries):
-        limit, got, got_ids = bounds[i], np.empty(0, object if not exact else float), np.empty(0, np.int64)
-        heap = [(-tops[i, 0], 0)]
-        while heap:
-            top, node = heappop(heap)
-            if -top < limit:
-                break
-            if tree.children[node] is not None:
-                for child in tree.children[node]:
-                    if tops[i, child] >= limit:
-                        heappush(heap, (-tops[i, child], child))
-                continue
-            rows = tree.rows[node]
-            rows = rows[ids[rows] != query_ids[i]]
-            scores = points[rows] @ q if exact else whole[rows] @ np.array([int(x) for x in q], dtype=object)
-            good = scores >= limit
-            got, got_ids = np.concatenate([got, scores[good]]), np.concatenate([got_ids, ids[rows[good]]])
-            if len(got) > k:
-                order = np.lexsort((got_ids, -got.astype(float)) if exact else (got_ids, [-x for x in got]))[:k]
-                got, got_ids = got[order], got_ids[order]
-            if len(got) == k:
-                limit = max(limit, float(min(got)))
-        out_q.append(np.full(len(got), i))
-        out_id.append(got_ids)
-        out_s.extend(got.tolist())
-    return np.concatenate(out_q or [np.empty(0, int)]).astype(int), np.concatenate(out_id or [np.empty(0, np.int64)]), [int(x) for x in out_s]
-
-
-def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
-    flat = pa.concat_arrays(column.chunks).flatten() if column.num_chunks != 1 else column.chunk(0).flatten()
-    return flat.to_numpy(zero_copy_only=False).reshape(n, -1)
+class Shard:
+    """A shard's vectors (doubles that hold integers) with their tree."""
+
+    def __init__(self, ids: np.ndarray, points: np.ndarray):
+        self.ids, self.points, self.tree = ids, points, Tree(points)
+        self.largest = max(1, points.shape[1]) * max(1.0, np.abs(points).max(initial=0))
+
+    def best(self, query_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int):
+        """Per query its k best of these points, ties to the smaller id: (query's index, id, score) arrays.
+
+        ``bounds``: scores that a result must reach (-inf: none known).
+        """
+        tree, ids, points = self.tree, self.ids, self.points
+        exact = self.largest * max(1.0, np.abs(queries).max(initial=0)) < _EXACT
+        if not exact:  # beyond doubles' integers
+            points = np.array([[int(x) for x in row] for row in points], dtype=object)
+            queries = np.array([[int(x) for x in row] for row in queries], dtype=object)
+        tops = np.maximum(queries, 0).astype(float) @ tree.high.T + np.minimum(queries, 0).astype(float) @ tree.low.T
+        if not exact:
+            tops += np.abs(tops) * 1e-9
+        out_q, out_id, out_s = [], [], []
+        for i, q in enumerate(queries):
+            limit, got, got_ids = bounds[i], np.empty(0, float if exact else object), np.empty(0, np.int64)
+            heap = [(-tops[i, 0], 0)]
+            while heap:
+                top, node = heappop(heap)
+                if -top < limit:
+                    break
+                if tree.children[node] is not None:
+                    for child in tree.children[node]:
+                        if tops[i, child] >= limit:
+                            heappush(heap, (-tops[i, child], child))
+                    continue
+                rows = tree.rows[node]
+                rows = rows[ids[rows] != query_ids[i]]
+                scores = points[rows] @ q
+                good = scores >= limit
+                got, got_ids = np.concatenate([got, scores[good]]), np.concatenate([got_ids, ids[rows[good]]])
+                if len(got) > k:
+                    order = np.lexsort((got_ids, -got)) if exact else sorted(range(len(got)), key=lambda n: (-got[n], got_ids[n]))
+                    got, got_ids = got[order[:k]], got_ids[order[:k]]
+                if len(got) == k:
+                    limit = max(limit, float(min(got)) if exact else float(min(got)) - abs(float(min(got))) * 1e-9)
+            out_q.append(np.full(len(got), i))
+            out_id.append(got_ids)
+            out_s.extend(got.tolist())
+        return np.concatenate(out_q or [np.empty(0, int)]).astype(int), np.concatenate(out_id or [np.empty(0, np.int64)]), [int(x) for x in out_s]
 
 
 def _search(k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        points, ids = _matrix(left["_v"], left.num_rows), left["_id"].to_numpy()
-        queries, query_ids = _matrix(right["_v"], right.num_rows), right["_id"].to_numpy()
-        bounds = np.array([-np.inf if x is None else float(x) for x in right["_bound"].to_pylist()])
-        q, found, scores = best(points, ids, queries, query_ids, bounds, k)
-        return pa.table([pa.array(query_ids[q], pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.int64())], schema=schema)
+    def search(shard: Shard, query_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+        q, ids, scores = shard.best(query_ids, queries, bounds, k)
+        return pa.RecordBatch.from_arrays([pa.array(query_ids[q], pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], ["query_id", "vec_id", "score"])
 
-    return run
+    return search
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = 10, scale: int = 1024) -> DataFrame:
@@ -133,24 +125,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str,
         return df.where(finite(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), scaled(vector_col, scale).alias("_v"), F.size(vector_col).alias("_dims"))
 
     points, asked = shape(vectors), shape(queries).dropDuplicates(["_id"])
-    n, m = points.count(), asked.count()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // BLOCK))
+    shards = shards_of(points.count(), SHARD, MOST)
     points = points.withColumn("_shard", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(shards)).cast("int"))
-    asked = asked.withColumn("_block", F.pmod(F.xxhash64("_id", F.lit(2)), F.lit(blocks)).cast("int"))
-    each_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    keys = ["_dims", "_shard", "_block"]
-
-    def meet(points: DataFrame, asked: DataFrame) -> DataFrame:
-        left = points.select("_id", "_v", "_dims", "_shard", each_block.alias("_block"))
-        right = asked.select("_id", "_v", "_bound", *keys)
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
-
-    none = F.lit(None).cast("bigint")
-    first = materialise(meet(points.where("_shard = 0"), asked.select("*", none.alias("_bound"), F.lit(0).alias("_shard"))), "first-shard")
-    found = first
-    if shards > 1:
-        bound = first.groupBy(F.col("query_id").alias("_id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("_bound"))
-        rest = asked.join(bound, "_id", "left").select("*", F.explode(F.sequence(F.lit(1), F.lit(shards - 1))).alias("_shard"))
-        found = found.unionByName(meet(points.where("_shard > 0"), rest))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best, done = None, 0
+    while done < shards:
+        until = min(shards, done + max(1, done * WAVE))
+        wave = asked.withColumn("_bound", F.lit(None).cast("double"))
+        if best is not None:
+            known = best.groupBy(F.col("query_id").alias("_id")).agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("_bound"))
+            wave = asked.join(known, "_id", "left")
+        wave = wave.select("*", F.explode(F.sequence(F.lit(done), F.lit(until - 1))).alias("_shard"))
+        found = meet(points.where(F.col("_shard").between(done, until - 1)), wave, Shard, _search(k), "query_id bigint, vec_id bigint, score bigint", until - done)
+        found = found if best is None else best.unionByName(found)
+        best = materialise(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), "best")
+        done = until
+    return best.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "vec_id", "score")

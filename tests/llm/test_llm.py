@@ -466,8 +466,8 @@ def vectors(spark):
 
 def test_top_k(vectors, monkeypatch):
     df, rows = vectors
-    monkeypatch.setattr(topk, "SHARD", 200)
-    monkeypatch.setattr(topk, "LEAF", 16)
+    monkeypatch.setattr(topk, "SHARD", 60)
+    monkeypatch.setattr(topk, "WAVE", 2)
     ok = [(i, [int(np.floor(1024 * v)) for v in e]) for i, e in rows if i is not None and e and all(v is not None and np.isfinite(v) for v in e)]
     want = []
     for q, e in {i: e for i, e in ok if i % 100 == 0 or i == 2350}.items():
@@ -478,17 +478,47 @@ def test_top_k(vectors, monkeypatch):
     assert topk.top_k(df.where("false"), df, "vec_id", "embedding").count() == 0
 
 
+def cosine(a, b):
+    return float((a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())))
+
+
 def test_nearest(vectors):
+    """Exact cosines in exact order, ties and repeated rows included."""
     df, rows = vectors
     ok = [(i, np.array(e)) for i, e in rows if i is not None and e and all(v is not None and np.isfinite(v) for v in e) and any(e)]
-    got = ann.nearest(df, df.where("vec_id % 50 = 0"), "vec_id", "embedding").collect()
-    found = {(r.query_id, r.vec_id): r for r in got}
+    got = ann.nearest(df, df.where("vec_id % 50 = 0"), "vec_id", "embedding")
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    got = sorted(got.collect())
     hits = total = 0
     for q, e in {i: e for i, e in ok if i % 50 == 0}.items():
-        best = sorted((-(e @ f) / (np.linalg.norm(e) * np.linalg.norm(f)), i) for i, f in ok if i != q and len(f) == len(e))
-        names = list(dict.fromkeys(i for _, i in best))[:5]
-        hits += sum((q, i) in found for i in names)
-        total += len(names)
+        best = sorted((-cosine(e, f), i) for i, f in ok if i != q and len(f) == len(e))[:5]
+        own = [r for r in got if r.query_id == q]
+        assert [r.rank for r in own] == list(range(1, len(best) + 1))
+        assert [(-r.score, r.vec_id) for r in own] == sorted((-r.score, r.vec_id) for r in own)
+        assert all(any(r.score == pytest.approx(cosine(e, f), abs=1e-12) for i, f in ok if i == r.vec_id) for r in own)
+        hits += len({i for _, i in best} & {r.vec_id for r in own}) + len(best) - len({i for _, i in best})
+        total += len(best)
     assert hits >= 0.9 * total
-    assert all(1 <= r.rank <= 5 for r in got)
+    for q in (0, 900, 950):  # the common vector: ties go to the smallest ids
+        assert [r.vec_id for r in got if r.query_id == q] == [x for x in [0, *range(900, 960)] if x != q][:5]
     assert ann.nearest(df.where("false"), df, "vec_id", "embedding").count() == 0
+
+
+def test_index_prunes(monkeypatch):
+    """Recall and cosines worked out, with a real number of lists: on clusters under a tenth of all, on isotropic vectors about half."""
+    rng = np.random.default_rng(7)
+    n, dims = 16_000, 32
+    centres = rng.normal(size=(150, dims))
+    clustered = centres[rng.integers(0, 150, n)] + 0.35 * rng.normal(size=(n, dims))
+    for x, most in ((clustered, 0.1), (rng.normal(size=(n, dims)), 0.6)):
+        index = ann.Lists(np.arange(n), x)
+        assert len(index.graph.centres) == n // ann.LIST and len(np.unique(index.entries)) == n
+        asked = np.arange(0, n, 80)
+        q, _, ids, work = index.nearest(asked, x[asked], 5)
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        scores = unit[asked] @ unit.T
+        scores[np.arange(len(asked)), asked] = -2
+        best = np.argpartition(-scores, 5, axis=1)[:, :5]
+        found = set(zip(q.tolist(), ids.tolist(), strict=True))
+        assert sum((i, int(j)) in found for i, row in enumerate(best) for j in row) >= 0.9 * best.size
+        assert work < most * n * len(asked)
