@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,12 +37,10 @@ def bpm_from_filename(path: Column) -> Column:
 
 
 def sharp(note: Column) -> Column:
-    """A note's root with a capital letter, and flats as sharps."""
-    root = F.concat(F.upper(F.substring(note, 1, 1)), F.lower(F.substring(note, 2, 5)))
-    out = root
-    for flat, name in FLATS.items():
-        out = F.when(root == flat, name).otherwise(out)
-    return out
+    """A note's root with a capital letter, and flats as sharps; any other text as it is, but for its capitals."""
+    names = {letter + sign: FLATS.get(letter + sign, letter + sign) for letter in "ABCDEFG" for sign in ("", "#", "b")}
+    known = {spelt: name for n, name in names.items() for spelt in {n, n.lower(), n.upper(), n[0].lower() + n[1:].upper()}}
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), note), F.initcap(note))
 
 
 def key_from_filename(path: Column) -> Column:
@@ -83,37 +83,74 @@ def key_from_path(path: Column, parents: int = 3) -> Column:
     return F.coalesce(key_from_filename(path), F.get(F.filter(F.transform(segments, keyed), lambda k: k.isNotNull()), 0))
 
 
+def spellings() -> dict[str, tuple[int, int]]:
+    """Pitch class and mode (0 major, 1 minor) of each place on the wheel and of each note as normal_key() leaves it."""
+    out = {}
+    for number in range(1, 13):
+        major = (number - 8) * 7 % 12  # up by fifths, seven semitones each; C major is 8B, and a minor key stands with its relative major
+        out |= {f"{number}B": (major, 0), f"{number}A": ((major + 9) % 12, 1)}
+    for letter in "CDEFGAB":
+        for sign, by in (("", 0), ("#", 1), ("b", -1)):
+            for name in (letter, letter.lower()):
+                pc = (PITCHES.index(letter) + by) % 12
+                out |= {f"{name}{sign}": (pc, 0), f"{name}{sign}m": (pc, 1)}
+    return out
+
+
+#: How spellings of a key come to those of spellings(), one after the other.
+NORMAL = [
+    (r"^(?=\d{1,2}\s*[ABab]$)0?(\d+)\s*([Aa])$", "$1A"), (r"^(?=\d{1,2}\s*[Bb]$)0?(\d+)\s*([Bb])$", "$1B"),
+    (r"^([A-Ga-g][#b]?)\s*(?:minor|min|m)\s*(?:\d+)?$", "$1m"), (r"^([A-Ga-g][#b]?)\s*(?:major|maj|M)?\s*(?:\d+)?$", "$1"),
+]
+
+
+def normal_key(key: Column) -> Column:
+    out = F.trim(key)
+    for pattern, by in NORMAL:
+        out = F.regexp_replace(out, pattern, by)
+    return out
+
+
+def looked_up(key: Column, values: dict[str, object]) -> Column:
+    """A literal for each of spellings(), by a key's normal spelling; null for any other text. The key's expression occurs once."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), normal_key(key))
+
+
+def key_of(key: str) -> tuple[int, int] | None:
+    """parse_key() of a text at hand."""
+    out = key.strip(" ")
+    for pattern, by in NORMAL:
+        out = re.sub(pattern, by.replace("$", "\\"), out)
+    return spellings().get(out)
+
+
 def parse_key(key: Column) -> Column:
     """Pitch class and mode (0 major, 1 minor) of a spelling or a Camelot code; null if it is neither."""
-    s = F.trim(key)
-    wheel = r"^(\d{1,2})\s*([ABab])$"
-    note = r"^([A-Ga-g])([#b]?)\s*(minor|major|min|maj|m|M)?\s*(\d+)?$"
-    number = F.regexp_extract(s, wheel, 1).try_cast("int")
-    minor_side = F.upper(F.regexp_extract(s, wheel, 2)) == "A"
-    # The wheel goes up by fifths, seven semitones each; C major is 8B, and a minor key stands with its relative major.
-    major = F.pmod((number - 8) * 7, F.lit(12))
-    from_wheel = F.when(number.between(1, 12), F.struct(F.when(minor_side, F.pmod(major + 9, F.lit(12))).otherwise(major).cast("int").alias("pc"), minor_side.cast("int").alias("mode")))
-    root = sharp(F.concat(F.regexp_extract(s, note, 1), F.regexp_extract(s, note, 2)))
-    root = F.when(root == "E#", "F").when(root == "B#", "C").otherwise(root)
-    place = F.array_position(F.array(*map(F.lit, PITCHES)), root)
-    minor = F.regexp_extract(s, note, 3).isin("m", "min", "minor")
-    from_name = F.when(place > 0, F.struct((place - 1).cast("int").alias("pc"), minor.cast("int").alias("mode")))
-    return F.when(s.rlike(wheel), from_wheel).when(s.rlike(note), from_name)
+    table = F.create_map(*[x for name, (pc, mode) in spellings().items() for x in (F.lit(name), F.struct(F.lit(pc).alias("pc"), F.lit(mode).alias("mode")))])
+    return F.element_at(table, normal_key(key))
 
 
 def pitch_name(pc: Column, mode: Column) -> Column:
     return F.concat(F.get(F.array(*map(F.lit, PITCHES)), F.pmod(pc, F.lit(12)).cast("int")), F.when(mode == 1, "m").otherwise(""))
 
 
+def code_of(pc: int, mode: int) -> str:
+    return f"{((pc + 3 * mode) * 7 + 7) % 12 + 1}{'BA'[mode]}"
+
+
 def camelot(key: Column) -> Column:
     """The key's code on the wheel, such as 8A."""
-    k = parse_key(key)
-    return _code(k["pc"], k["mode"])
+    return looked_up(key, {name: code_of(*k) for name, k in spellings().items()})
 
 
-def _code(pc: Column, mode: Column) -> Column:
-    major = F.pmod(pc + F.when(mode == 1, 3).otherwise(0), F.lit(12))
-    return F.concat((F.pmod(major * 7 + 7, F.lit(12)) + 1).cast("string"), F.when(mode == 1, "A").otherwise("B"))
+def related(key: str) -> dict[tuple[int, int], int]:
+    """The keys that fit a key, with their place among camelot_neighbours(): itself, its relative, and those below and above on the wheel."""
+    found = key_of(key)
+    if found is None:
+        return {}
+    pc, mode = found
+    relative = ((pc + 3) % 12, 0) if mode else ((pc + 9) % 12, 1)
+    return {(pc, mode): 0, relative: 1, ((pc + 5) % 12, mode): 2, ((pc + 7) % 12, mode): 3}
 
 
 def camelot_neighbours(code: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import music
+from tessera.sources.scratch import materialise
 
 #: Relations of the neighbours on the wheel in order, and the ranks of relations.
 RELATIONS = ["same key", "relative", "perfect fourth", "perfect fifth"]
@@ -23,22 +26,25 @@ def find_compatible(rows: DataFrame, key: str | None, bpm: float | None, toleran
     rows = rows.where(within_kind(kind))
     if min_duration is not None:
         rows = rows.where(F.col("duration") >= min_duration)
+    if bpm:
+        centres = [(bpm, "same tempo")] + ([(bpm / 2, "half-time"), (bpm * 2, "double-time")] if half_double else [])
+        spans = [(c * (1 - tolerance), c * (1 + tolerance), name) for c, name in centres]
+        # A plain condition that reaches the scan; which of the windows a row is in is worked out for what is left.
+        rows = rows.where(reduce(lambda x, y: x | y, [F.col("bpm").between(low, high) for low, high, _ in spans]))
     no_key = F.col("key").isNull() | (F.col("key") == "")
     if key is None:
         rows = rows.where(no_key).withColumn("_key", F.lit(None).cast("string"))
     else:
-        near = music.camelot_neighbours(music.camelot(F.lit(key)))
-        places = F.array_position(near, music.camelot(F.col("key")))
-        names = F.array(*map(F.lit, RELATIONS))
-        rows = rows.where(~no_key).withColumn("_key", F.when(places > 0, F.get(names, (places - 1).cast("int")))).where("_key is not null")
+        fits = music.related(key)
+        relation = {name: RELATIONS[fits[k]] for name, k in music.spellings().items() if k in fits}
+        rows = rows.where(~no_key).withColumn("_key", music.looked_up(F.col("key"), relation) if relation else F.lit(None).cast("string")).where("_key is not null")
         if same_key_only:
             rows = rows.where("_key = 'same key'")
         if not include_relative:
             rows = rows.where("_key <> 'relative'")
     if bpm:
-        centres = [(bpm, "same tempo")] + ([(bpm / 2, "half-time"), (bpm * 2, "double-time")] if half_double else [])
-        spans = [F.when(F.col("bpm").between(c * (1 - tolerance), c * (1 + tolerance)), F.struct(F.abs(F.col("bpm") - (c * (1 - tolerance) + c * (1 + tolerance)) / 2).alias("d"), F.lit(i).alias("i"), F.lit(name).alias("name"))) for i, (c, name) in enumerate(centres)]
-        rows = rows.withColumn("_tempo", F.array_min(F.array_compact(F.array(*spans)))).where("_tempo is not null")
+        places = [F.when(F.col("bpm").between(low, high), F.struct(F.abs(F.col("bpm") - (low + high) / 2).alias("d"), F.lit(i).alias("i"), F.lit(name).alias("name"))) for i, (low, high, name) in enumerate(spans)]
+        rows = rows.withColumn("_tempo", F.array_min(F.array_compact(F.array(*places))))
     else:
         rows = rows.withColumn("_tempo", F.struct(F.lit(0.0).alias("d"), F.lit(0).alias("i"), F.lit(None).cast("string").alias("name")))
     rank = lambda column, ranks, none: F.coalesce(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])[column], F.lit(none))
@@ -72,10 +78,10 @@ def find_similar(features: DataFrame, target_id: int, current: int = 3, kind: st
     rows = features.where(F.col("version") == current)
     if kind:
         rows = rows.where(within_kind(kind) | (F.col(id_col) == target_id))
-    dims = len(rows.where(F.col(id_col) == target_id).select(vector_col).first()[0])
+    target = rows.where(F.col(id_col) == target_id).select(vector_col).first()[0]
+    dims = len(target)
     at = lambda i: F.get(F.col(vector_col), i).cast("double")
     moments = rows.agg(*[F.avg(at(i)).alias(f"m{i}") for i in range(dims)], *[F.stddev_pop(at(i)).alias(f"s{i}") for i in range(dims)]).first()
-    target = rows.where(F.col(id_col) == target_id).select(vector_col).first()[0]
     means = [moments[f"m{i}"] for i in range(dims)]
     spreads = [moments[f"s{i}"] or 1.0 for i in range(dims)]
     z = [(float(t) - m) / s for t, m, s in zip(target, means, spreads, strict=True)]
@@ -85,7 +91,8 @@ def find_similar(features: DataFrame, target_id: int, current: int = 3, kind: st
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     own = F.sqrt(dot(scaled, scaled)) * F.lit(length)
     out = rows.where(F.col(id_col) != target_id).withColumn("similarity", F.round(F.when(own == 0, 0.0).otherwise(dot(scaled, unit) / own), 6))
-    # Percentiles by counts of equal similarities: candidates aren't sorted in one task, only their distinct values are.
+    # Each cosine is worked out once. Percentiles by counts of equal similarities: candidates aren't sorted in one task, only their distinct values are.
+    out = materialise(out.select(id_col, "label", "similarity"), "similarities")
     totals = out.agg(F.count("*").alias("n"), F.avg("similarity").alias("mean")).first()
     counts = out.groupBy("similarity").agg(F.count("*").alias("_c"))
     bins = counts.withColumn("_bin", F.floor(F.col("similarity") * 500))
@@ -94,7 +101,8 @@ def find_similar(features: DataFrame, target_id: int, current: int = 3, kind: st
     inside = F.sum("_c").over(Window.partitionBy("_bin").orderBy("similarity").rowsBetween(Window.unboundedPreceding, -1))
     ranked = bins.withColumn("_inside", inside).join(F.broadcast(below.select("_bin", "_under")), "_bin")
     ranked = ranked.select("similarity", (F.coalesce("_under", F.lit(0)) + F.coalesce("_inside", F.lit(0))).alias("_below"))
-    out = out.join(ranked, "similarity")
+    # Six decimals from -1 to 1: at most 2,000,001 rows, so they may be broadcast, and a frequent similarity is no hot key.
+    out = out.join(F.broadcast(ranked), "similarity")
     return out.select(id_col, "label", "similarity", F.round(100.0 * F.col("_below") / F.lit(totals["n"] or 1), 1).alias("percentile"), F.round(F.col("similarity") - F.lit(totals["mean"]), 6).alias("above_mean"))
 
 

@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _folder(spark: SparkSession, label: str) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-stream-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+from tessera.sources.scratch import path_for
 
 
 def drained(stream: DataFrame, mode: str, label: str) -> DataFrame:
     """Run a stream over what is there now, and return its rows: each micro-batch replaces (complete) or follows (append) the last."""
-    spark, out, state = stream.sparkSession, _folder(stream.sparkSession, label), _folder(stream.sparkSession, f"{label}-state")
+    spark, out, state = stream.sparkSession, path_for(stream.sparkSession, label), path_for(stream.sparkSession, f"{label}-state")
 
     def keep(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
@@ -50,7 +44,7 @@ def sessions(rows: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> D
 
 def upserted(stream: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key, kept as a snapshot that each micro-batch is merged into."""
-    spark, root = stream.sparkSession, _folder(stream.sparkSession, "snapshot")
+    spark, root = stream.sparkSession, path_for(stream.sparkSession, "snapshot")
     names = {"now": None}
 
     def merge(batch: DataFrame, n: int) -> None:
@@ -60,6 +54,6 @@ def upserted(stream: DataFrame, key: str, order: str) -> DataFrame:
         last.write.mode("overwrite").parquet(path)
         names["now"] = path
 
-    query = stream.writeStream.option("checkpointLocation", _folder(spark, "upsert-state")).trigger(availableNow=True).foreachBatch(merge).start()
+    query = stream.writeStream.option("checkpointLocation", path_for(spark, "upsert-state")).trigger(availableNow=True).foreachBatch(merge).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(names["now"]) if names["now"] else spark.createDataFrame([], stream.schema)
