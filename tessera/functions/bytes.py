@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,22 +122,6 @@ def mac_date(seconds: Column) -> Column:
     return F.when(seconds == 0, "").otherwise(F.date_format(F.timestamp_seconds(seconds - 2082844800), "yyyy-MM-dd'T'HH:mm:ss"))
 
 
-def sniff(data: Column) -> Column:
-    """Format by the first bytes; the first rule that fits."""
-    head = F.hex(F.substring(data, 1, 4))
-    form = F.hex(F.substring(data, 9, 4))
-    magic = lambda text: F.lit(text.encode("latin-1").hex().upper())
-    return (
-        F.when((head == magic("RIFF")) & (form == magic("WAVE")), "wav")
-        .when((head == magic("RIFF")) & (form == magic("sfbk")), "sf2")
-        .when((head == magic("RIFF")) & (form == magic("RMID")), "rmid")
-        .when((head == magic("FORM")) & (form == magic("AIFF")), "aiff")
-        .when((head == magic("FORM")) & (form == magic("AIFC")), "aifc")
-        .when((head == magic("FORM")) & (form == magic("8SVX")), "8svx")
-        .when(head == magic("RF64"), "rf64")
-        .when(head == magic("fLaC"), "flac")
-        .when(head == magic("OggS"), "ogg")
-        .when(head == magic("MThd"), "midi")
-        .when(F.hex(F.substring(data, 5, 4)) == magic("ftyp"), "mp4")
-        .when(F.substring(head, 1, 6) == magic("ID3"), "mp3")
-    )
+def mac_text(seconds: int | None) -> str:
+    """mac_date() of a number at hand."""
+    return "" if not seconds else (datetime(1904, 1, 1) + timedelta(seconds=seconds)).isoformat()

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogue, containers, forensics, streams
+from . import catalogue, containers, forensics, formats, streams
 
-QUERIES = catalogue.QUERIES | containers.QUERIES | forensics.QUERIES | streams.QUERIES
-ORACLES = catalogue.ORACLES | containers.ORACLES | forensics.ORACLES | streams.ORACLES
+QUERIES = catalogue.QUERIES | containers.QUERIES | formats.QUERIES | forensics.QUERIES | streams.QUERIES
+ORACLES = catalogue.ORACLES | containers.ORACLES | formats.ORACLES | forensics.ORACLES | streams.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import bytes as Y
+from tessera.functions.sniffing import sniffed as sniffed_column
 from tessera.operators import ordered as R
 from tessera.sources import bindings as B
 from tessera.sources import walk as K
@@ -126,7 +127,7 @@ def shape_fingerprints(spark, d):
 
 @query("SELECT 'wav' AS format, count(*)::BIGINT AS n FROM riff", B.RIFF)
 def sniffed(spark, d):
-    return B.riff_files(spark, d).groupBy(Y.sniff(F.col("content")).alias("format")).agg(F.count("*").cast("bigint").alias("n"))
+    return B.riff_files(spark, d).groupBy(sniffed_column(F.col("content")).alias("format")).agg(F.count("*").cast("bigint").alias("n"))
 
 
 @query("SELECT path, chunk_id, 'chunk ' || chunk_id || ' claims ' || size || ' bytes, ' || (size - 10) || ' are left' AS warning FROM chunks WHERE chunk_id = 'data' AND n >= 20", B.RIFF, _CHUNKS)

@@ -6,6 +6,7 @@ read stands, and the trouble is told in a row of kind ``warning``. Sizes that a
 
 from __future__ import annotations
 
+import inspect
 import struct
 from collections.abc import Callable, Iterator
 
@@ -13,276 +14,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Chunk = tuple[str, int, int, dict[str, object], str | None]  # id, offset, size, fields, warning
+from tessera.functions.sniffing import sniff
+from tessera.sources import audio, containers, formats
+from tessera.sources.chunks import Chunk, number, printable
 
 SCHEMA = "path string, format string, ordinal int, chunk_id string, offset bigint, size bigint, fields map<string,string>, warning string"
 
 
-def _u(data: bytes, at: int, n: int, order: str) -> int | None:
-    part = data[at : at + n]
-    return int.from_bytes(part, order) if len(part) == n else None
-
-
-def _text(raw: bytes) -> str:
-    return raw.split(b"\0")[0].decode("latin-1").strip()
-
-
-def printable(raw: bytes) -> str:
-    return raw.decode("latin-1") if all(32 <= b < 127 for b in raw) else "hex:" + raw.hex()
-
-
-# Fields of chunks: name, offset, struct format.
-WAV_FIELDS: dict[bytes, list[tuple[str, int, str]]] = {
-    b"fmt ": [("format_tag", 0, "<H"), ("channels", 2, "<H"), ("sample_rate", 4, "<I"), ("avg_bytes_per_sec", 8, "<I"), ("block_align", 12, "<H"), ("bits_per_sample", 14, "<H")],
-    b"fact": [("sample_length", 0, "<I")],
-    b"acid": [("flags", 0, "<I"), ("root_note", 4, "<H"), ("num_beats", 12, "<I"), ("meter_denominator", 16, "<H"), ("meter_numerator", 18, "<H"), ("tempo", 20, "<f")],
-    b"smpl": [(n, 4 * i, "<I") for i, n in enumerate(("manufacturer", "product", "sample_period", "midi_unity_note", "pitch_fraction", "smpte_format", "smpte_offset", "num_sample_loops", "sampler_data"))],
-    b"inst": [("base_note", 0, "<B"), ("detune", 1, "<b"), ("gain", 2, "<b"), ("low_note", 3, "<B"), ("high_note", 4, "<B"), ("low_velocity", 5, "<B"), ("high_velocity", 6, "<B")],
-    b"cue ": [("count", 0, "<I")],
-    b"bext": [("time_reference", 338, "<Q"), ("version", 346, "<H")],
-}
-
-
-def fields_of(table: list[tuple[str, int, str]], payload: bytes) -> dict[str, object]:
-    return {name: struct.unpack_from(kind, payload, at)[0] for name, at, kind in table if at + struct.calcsize(kind) <= len(payload)}
-
-
-def iff(data: bytes, order: str, start: int = 12, fields=WAV_FIELDS) -> Iterator[Chunk]:
-    """Chunks of a RIFF (little-endian) or IFF (big-endian) file; odd sizes are padded."""
-    at = start
-    while at + 8 <= len(data):
-        tag, size = data[at : at + 4], _u(data, at + 4, 4, order)
-        over = at + 8 + size > len(data)
-        payload = data[at + 8 : at + 8 + size]
-        decoded = fields_of(fields[tag], payload) if tag in fields else {}
-        if tag == b"LIST" or (tag in (b"RIFF", b"FORM")):
-            decoded["list_type"] = printable(payload[:4])
-        yield printable(tag), at, size, decoded, f"chunk {printable(tag)} claims {size} bytes, {max(0, len(data) - at - 8)} are left" if over else None
-        at += 8 + size + size % 2
-
-
-def wav(data: bytes) -> Iterator[Chunk]:
-    claimed = _u(data, 4, 4, "little")
-    if claimed is not None and claimed + 8 != len(data) and data[:4] != b"RF64":
-        yield "RIFF", 0, claimed, {}, f"RIFF size {claimed} + 8 is not the file's {len(data)}"
-    frame, rate, declared = 0, 0, None
-    for tag, at, size, decoded, warning in iff(data, "little"):
-        if tag == "fmt ":
-            frame, rate = decoded.get("block_align") or 0, decoded.get("sample_rate") or 0
-        elif tag == "fact":
-            declared = decoded.get("sample_length")
-        elif tag == "data":
-            there = min(size, max(0, len(data) - at - 8))
-            frames = declared if declared is not None and warning is None else (there // frame if frame else None)
-            decoded = {"frames": frames, "duration": round(frames / rate, 6) if frames is not None and rate else None}
-        elif tag == "smpl" and (decoded.get("num_sample_loops") or 0) > max(0, size - 36) // 24:
-            warning = warning or f"{decoded['num_sample_loops']} loops claimed, room for {max(0, size - 36) // 24}"
-        elif tag == "cue " and (decoded.get("count") or 0) > max(0, size - 4) // 24:
-            warning = warning or f"{decoded['count']} cues claimed, room for {max(0, size - 4) // 24}"
-        yield tag, at, size, decoded, warning
-
-
-def float80(raw: bytes) -> float:
-    """Big-endian extended float; 0 where it isn't a number."""
-    if len(raw) < 10:
-        return 0.0
-    top, mantissa = struct.unpack(">HQ", raw[:10])
-    exponent = top & 0x7FFF
-    if exponent == 0x7FFF or exponent - 16446 > 900:
-        return 0.0
-    return (-1.0 if top >> 15 else 1.0) * mantissa * 2.0 ** (exponent - 16446)
-
-
-def aiff(data: bytes) -> Iterator[Chunk]:
-    table = {b"COMM": [("channels", 0, ">h"), ("frames", 2, ">I"), ("bits_per_sample", 6, ">h")]}
-    for tag, at, size, decoded, warning in iff(data, "big", fields=table):
-        if tag == "COMM":
-            rate = float80(data[at + 16 : at + 26])
-            decoded["sample_rate"] = rate
-            decoded["duration"] = round(decoded.get("frames", 0) / rate, 4) if rate else None
-        yield tag, at, size, decoded, warning
-
-
-def flac(data: bytes) -> Iterator[Chunk]:
-    names = ["STREAMINFO", "PADDING", "APPLICATION", "SEEKTABLE", "VORBIS_COMMENT", "CUESHEET", "PICTURE"]
-    at = 4
-    while at + 4 <= len(data):
-        head, size = data[at], _u(data, at + 1, 3, "big")
-        kind, payload = head & 127, data[at + 4 : at + 4 + size]
-        decoded: dict[str, object] = {"last": int(head >> 7)}
-        if kind == 0 and len(payload) >= 34:
-            packed = int.from_bytes(payload[10:18], "big")
-            decoded |= {"min_block": _u(payload, 0, 2, "big"), "max_block": _u(payload, 2, 2, "big"), "min_frame": _u(payload, 4, 3, "big"), "max_frame": _u(payload, 7, 3, "big"), "sample_rate": packed >> 44, "channels": (packed >> 41 & 7) + 1, "bits_per_sample": (packed >> 36 & 31) + 1, "total_samples": packed & (1 << 36) - 1, "md5": payload[18:34].hex()}
-        if kind == 4:
-            decoded |= comments(payload)
-        yield names[kind] if kind < len(names) else f"BLOCK_{kind}", at, size, decoded, "block goes beyond the file" if at + 4 + size > len(data) else None
-        at += 4 + size
-        if head >> 7:
-            return
-
-
-def comments(payload: bytes) -> dict[str, str]:
-    """Vorbis comments: keys in capitals, the first value of each."""
-    out: dict[str, str] = {}
-    n = _u(payload, 0, 4, "little")
-    if n is None:
-        return out
-    at = 4 + n
-    count = _u(payload, at, 4, "little") or 0
-    at += 4
-    for _ in range(min(count, 10_000)):
-        n = _u(payload, at, 4, "little")
-        if n is None or at + 4 + n > len(payload):
-            break
-        key, eq, value = payload[at + 4 : at + 4 + n].decode("utf-8", "replace").partition("=")
-        if eq:
-            out.setdefault(key.upper(), value)
-        at += 4 + n
-    return out
-
-
-def vlq(data: bytes, at: int) -> tuple[int, int]:
-    """A variable-length quantity and where it ends."""
-    value = 0
-    for _ in range(4):
-        if at >= len(data):
-            break
-        b = data[at]
-        at += 1
-        value = value << 7 | b & 127
-        if b < 128:
-            break
-    return value, at
-
-
-def midi(data: bytes) -> Iterator[Chunk]:
-    at = 0
-    while at + 8 <= len(data):
-        tag, size = data[at : at + 4], _u(data, at + 4, 4, "big")
-        payload = data[at + 8 : at + 8 + size]
-        decoded: dict[str, object] = {}
-        if tag == b"MThd":
-            decoded = fields_of([("format", 0, ">H"), ("tracks", 2, ">H"), ("division", 4, ">H")], payload)
-        elif tag == b"MTrk":
-            decoded = track(payload)
-        yield printable(tag), at, size, decoded, "track goes beyond the file" if at + 8 + size > len(data) else None
-        at += 8 + size
-
-
-def track(payload: bytes) -> dict[str, object]:
-    """Counts of a track's events, its first tempo and its length in ticks."""
-    at, ticks, status, notes, events, tempo = 0, 0, 0, 0, 0, None
-    while at < len(payload):
-        delta, at = vlq(payload, at)
-        ticks += delta
-        if at >= len(payload):
-            break
-        if payload[at] >= 128:
-            status = payload[at]
-            at += 1
-        events += 1
-        if status == 0xFF:
-            kind = payload[at] if at < len(payload) else 0
-            n, at = vlq(payload, at + 1)
-            if kind == 0x51 and n == 3 and tempo is None and at + 3 <= len(payload):
-                tempo = round(60e6 / max(1, int.from_bytes(payload[at : at + 3], "big")), 3)
-            at += n
-            if kind == 0x2F:
-                break
-        elif status in (0xF0, 0xF7):
-            n, at = vlq(payload, at)
-            at += n
-        else:
-            if status & 0xF0 == 0x90 and at + 1 < len(payload) and payload[at + 1]:
-                notes += 1
-            at += 1 if status & 0xF0 in (0xC0, 0xD0) else 2
-    return {"events": events, "notes": notes, "ticks": ticks, "tempo": tempo}
-
-
-def ogg(data: bytes) -> Iterator[Chunk]:
-    at = 0
-    while at + 27 <= len(data) and data[at : at + 4] == b"OggS":
-        segments = data[at + 26]
-        body = sum(data[at + 27 : at + 27 + segments])
-        size = 27 + segments + body
-        yield "OggS", at, size, {"flags": data[at + 5], "granule": struct.unpack_from("<q", data, at + 6)[0], "serial": _u(data, at + 14, 4, "little"), "sequence": _u(data, at + 18, 4, "little")}, "page goes beyond the file" if at + size > len(data) else None
-        at += size
-
-
-def mp4(data: bytes, start: int = 0, end: int | None = None, depth: int = 0) -> Iterator[Chunk]:
-    end = len(data) if end is None else end
-    at = start
-    while at + 8 <= end:
-        size, tag, head = _u(data, at, 4, "big"), data[at + 4 : at + 8], 8
-        if size == 1:
-            size, head = _u(data, at + 8, 8, "big") or 0, 16
-        elif size == 0:
-            size = end - at
-        if size < head or at + size > end:
-            yield printable(tag), at, size, {"depth": depth}, "box goes beyond its parent"
-            return
-        yield printable(tag), at, size, {"depth": depth}, None
-        if tag in (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"udta", b"ilst", b"edts", b"dinf") and depth < 16:
-            yield from mp4(data, at + head, at + size, depth + 1)
-        elif tag == b"meta" and depth < 16:
-            yield from mp4(data, at + head + 4, at + size, depth + 1)
-        at += size
-
-
-#: Kilobits of MPEG audio by (version 1?, layer) and index, and sample rates of version 1.
-BITRATES = {
-    (True, 1): [32 * i for i in range(15)],
-    (True, 2): [0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384],
-    (True, 3): [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320],
-    (False, 1): [0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256],
-    (False, 2): [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160],
-    (False, 3): [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160],
-}
-RATES = [44100, 48000, 32000]
-
-
-def mpeg_header(b4: bytes) -> dict[str, int] | None:
-    """Fields of an MPEG audio frame's header; None where a reserved value shows that it isn't one."""
-    if len(b4) < 4 or b4[0] != 0xFF or b4[1] & 0xE0 != 0xE0:
-        return None
-    version, layer = b4[1] >> 3 & 3, 4 - (b4[1] >> 1 & 3)
-    index, rate = b4[2] >> 4, b4[2] >> 2 & 3
-    if version == 1 or layer == 4 or index in (0, 15) or rate == 3:
-        return None
-    one = version == 3
-    kbps, hz = BITRATES[one, layer][index], RATES[rate] >> (0 if one else 1 if version == 2 else 2)
-    pad = b4[2] >> 1 & 1
-    samples = 384 if layer == 1 else 576 if layer == 3 and not one else 1152
-    size = (12 * kbps * 1000 // hz + pad) * 4 if layer == 1 else samples // 8 * kbps * 1000 // hz + pad
-    return {"layer": layer, "bitrate": kbps, "sample_rate": hz, "samples": samples, "length": size, "channels": 1 if b4[3] >> 6 == 3 else 2}
-
-
-def mp3(data: bytes) -> Iterator[Chunk]:
-    at = 0
-    if data[:3] == b"ID3" and len(data) >= 10:
-        size = 0
-        for b in data[6:10]:
-            size = size << 7 | b & 127
-        yield "ID3", 0, size + 10, {"version": f"2.{data[3]}.{data[4]}"}, None
-        at = size + 10
-    frames, samples, first = 0, 0, None
-    start = at
-    while (h := mpeg_header(data[at : at + 4])) is not None and h["length"] > 0 and at + h["length"] <= len(data):
-        first = first or h
-        frames, samples, at = frames + 1, samples + h["samples"], at + h["length"]
-    if first:
-        yield "frames", start, at - start, first | {"frames": frames, "duration": round(samples / first["sample_rate"], 6)}, None
-    if data[-128:-125] == b"TAG":
-        yield "ID3v1", len(data) - 128, 128, {"title": _text(data[-125:-95]), "artist": _text(data[-95:-65])}, None
-
-
 def generic(data: bytes) -> Iterator[Chunk]:
     """A grid of [tag][size] from offset 8 or 12, in either byte order, that tiles the file to within three bytes."""
     for order in ("little", "big"):
         for start in (8, 12):
             rows, at = [], start
             while at + 8 <= len(data):
-                tag, size = data[at : at + 4], _u(data, at + 4, 4, order)
+                tag, size = data[at : at + 4], number(data, at + 4, 4, order)
                 if not size or not all(32 <= b < 127 for b in tag) or at + 8 + size > len(data) + 1:
                     break
                 rows.append((printable(tag), at, size, {"order": order}, None))
@@ -292,32 +37,35 @@ def generic(data: bytes) -> Iterator[Chunk]:
                 return
 
 
-PARSERS: dict[str, Callable[[bytes], Iterator[Chunk]]] = {"wav": wav, "rf64": wav, "rmid": lambda d: iff(d, "little"), "sf2": lambda d: iff(d, "little"), "aiff": aiff, "aifc": aiff, "8svx": lambda d: iff(d, "big", fields={}), "flac": flac, "midi": midi, "ogg": ogg, "mp4": mp4, "mp3": mp3}
+#: Parsers by format id; register() adds to them.
+PARSERS: dict[str, Callable[..., Iterator[Chunk]]] = audio.PARSERS | formats.PARSERS | containers.PARSERS
+
 
+def register(kind: str, parser: Callable[[bytes], Iterator[Chunk]]) -> None:
+    """Adds a parser for a format id, or replaces one."""
+    PARSERS[kind] = parser
 
-def sniff(head: bytes) -> str | None:
-    """Format by the first bytes; the first rule that fits."""
-    a, b = head[:4], head[8:12]
-    riff = {b"WAVE": "wav", b"sfbk": "sf2", b"RMID": "rmid"}
-    form = {b"AIFF": "aiff", b"AIFC": "aifc", b"8SVX": "8svx"}
-    if a == b"RIFF" and b in riff:
-        return riff[b]
-    if a == b"FORM" and b in form:
-        return form[b]
-    known = {b"RF64": "rf64", b"fLaC": "flac", b"OggS": "ogg", b"MThd": "midi"}
-    if a in known:
-        return known[a]
-    if head[4:8] == b"ftyp":
-        return "mp4"
-    return "mp3" if head[:3] == b"ID3" or mpeg_header(head[:4]) else None
 
+def wrapped(data: bytes) -> Iterator[Chunk]:
+    """A container behind an ID3 tag: the tag's rows, then the container's."""
+    at = 0
+    for row in audio.id3v2(data):
+        yield row
+        at = row[2] if row[0] == "ID3" else at
+    _, rows = walk_bytes(data[at:])
+    yield from ((tag, at + offset, size, fields, warning) for tag, offset, size, fields, warning in rows)
+
+
+PARSERS["id3-wrapped"] = wrapped
 
-def walk_bytes(data: bytes, forced: str | None = None) -> tuple[str | None, list[Chunk]]:
-    kind = forced or sniff(data[:12])
+
+def walk_bytes(data: bytes, forced: str | None = None, name: str = "") -> tuple[str | None, list[Chunk]]:
+    kind = forced or sniff(data, name)
+    parser = PARSERS.get(kind, generic)
     rows: list[Chunk] = []
     try:
-        rows.extend(PARSERS.get(kind, generic)(data))
-    except (struct.error, IndexError, ValueError, OverflowError) as error:
+        rows.extend(parser(data, name) if "name" in inspect.signature(parser).parameters else parser(data))
+    except (struct.error, IndexError, ValueError, OverflowError, TypeError, RecursionError) as error:
         rows.append(("warning", len(data), 0, {}, f"stopped: {error}"))
     return kind, rows
 
@@ -330,7 +78,7 @@ def walk(files: DataFrame, path: str = "path", content: str = "content", forced:
         for batch in batches:
             rows = []
             for name, value in zip(batch.column(0), batch.column(1), strict=True):
-                kind, chunks = walk_bytes(value.as_py() or b"", forced)
+                kind, chunks = walk_bytes(value.as_py() or b"", forced, name.as_py() or "")
                 for i, (tag, at, size, decoded, warning) in enumerate(chunks):
                     rows.append((name.as_py(), kind, i, tag, at, size, [(k, str(v)) for k, v in decoded.items() if v is not None], warning))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
@@ -339,10 +87,16 @@ def walk(files: DataFrame, path: str = "path", content: str = "content", forced:
 
 
 def read_files(spark, path: str, glob: str = "*", most_bytes: int = 256 << 20) -> DataFrame:
-    """Files under a path as rows; larger ones are left out, and names that systems leave behind are too."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).where(F.col("length") <= most_bytes)
-    name = F.lower(F.regexp_extract("path", r"([^/]*)$", 1))
-    return files.where(~name.startswith("._") & ~name.isin(".ds_store", "thumbs.db", "desktop.ini"))
+    """Files under a path as rows. Of larger ones the content is null, so that they are rows too; names that systems leave behind are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    files = files.where(~junk(F.regexp_extract("path", r"([^/]*)$", 1)))
+    small = files.where(F.col("length") <= most_bytes)
+    return small.unionByName(files.where(F.col("length") > most_bytes).drop("content").withColumn("content", F.lit(None).cast("binary")))
+
+
+def junk(name: F.Column) -> F.Column:
+    """Names that systems leave behind."""
+    return F.lower(name).startswith("._") | F.lower(name).isin(".ds_store", "thumbs.db", "desktop.ini")
 
 
 def flatten_fields(chunks: DataFrame) -> DataFrame:

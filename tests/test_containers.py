@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import bytes as Y
 from tessera.operators import ordered as R
+from tessera.functions.sniffing import mpeg_header
+from tessera.sources import audio
+from tessera.sources import specimens as S
 from tessera.sources import walk as K
+from tessera.sources.chunks import iff
 
 
 def wav(*chunks, form=b"WAVE"):
@@ -59,7 +63,7 @@ def test_other_formats():
     assert ids(box(b"ftyp", b"M4A ") + box(b"moov", box(b"mvhd", b"\0" * 4))) == ["ftyp", "moov", "mvhd"]
     page = b"OggS\0\2" + struct.pack("<qIIIB", 5, 7, 0, 0, 1) + b"\3abc"
     assert K.walk_bytes(page * 2)[1][1][1:3] == (31, 31)
-    assert K.mpeg_header(bytes.fromhex("fffb9064"))["length"] == 417 and K.mpeg_header(b"\xff\xff\xff\xff") is None
+    assert mpeg_header(bytes.fromhex("fffb9064"))["length"] == 417 and mpeg_header(b"\xff\xff\xff\xff") is None
     assert ids(b"XXXX" + b"\0" * 4 + b"AAAA" + struct.pack(">I", 4) + b"1234" + b"BBBB" + struct.pack(">I", 2) + b"12") == ["AAAA", "BBBB"]
 
 
@@ -94,6 +98,17 @@ def test_ordered(spark):
 def test_many_chunks():
     """Every step goes on by eight bytes or more, so no number of chunks ends a walk."""
     n = 100_003
-    assert sum(1 for _ in K.iff(b"RIFF" + bytes(8) + (b"junk" + bytes(4)) * n, "little")) == n
-    assert sum(1 for _ in K.midi((b"MThd" + struct.pack(">IHHH", 6, 1, 1, 96)) + (b"XXXX" + bytes(4)) * n)) >= n
+    assert sum(1 for _ in iff(b"RIFF" + bytes(8) + (b"junk" + bytes(4)) * n, "little")) == n
+    assert sum(1 for _ in audio.midi((b"MThd" + struct.pack(">IHHH", 6, 1, 1, 96)) + (b"XXXX" + bytes(4)) * n)) >= n
     assert sum(1 for _ in K.generic(b"GRIDxxxx" + (b"abcd" + struct.pack("<I", 2) + b"zz") * n)) == n
+
+
+@pytest.mark.parametrize("kind", sorted(S.SPECIMENS))
+def test_damaged_specimens_never_raise(kind):
+    """Whatever is cut off or overwritten, a walk ends and tells what it could read."""
+    end, build, _ = S.SPECIMENS[kind]
+    data = build(17, "a name")
+    for cut in range(0, len(data), max(1, len(data) // 25)):
+        K.walk_bytes(data[:cut], kind, "/x" + end)
+        K.walk_bytes(data[:cut] + b"\xff" * 64 + data[cut + 64 :], kind, "/x" + end)
+        K.walk_bytes(data[:cut] + bytes(64) + data[cut + 64 :], None, "/x" + end)
