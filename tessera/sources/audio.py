@@ -104,7 +104,7 @@ def rf64(data: bytes) -> Iterator[Chunk]:
     size = number(data, 16, 4, "little") or 0
     if data[12:16] == b"ds64":
         whole, in_data, samples = (number(data, 20 + 8 * i, 8, "little") for i in range(3))
-        listed = {data[48 + 12 * i : 52 + 12 * i]: number(data, 52 + 12 * i, 8, "little") for i in range(min(number(data, 44, 4, "little") or 0, max(0, size - 28) // 12))}
+        listed = {data[48 + 12 * i : 52 + 12 * i]: number(data, 52 + 12 * i, 8, "little") for i in range(min(number(data, 44, 4, "little") or 0, max(0, min(size, len(data) - 20) - 28) // 12))}
         listed[b"data"] = in_data
         at = 12
         while at + 8 <= len(data):
@@ -535,7 +535,7 @@ def sf2(data: bytes) -> Iterator[Chunk]:
                 width = SF2_RECORDS[sub]
                 fields = {"records": max(0, n // width - 1)}
                 trouble = trouble or (f"{n} bytes are no whole records" if n % width else None)
-                for i in range(n // width - 1):
+                for i in range(len(body) // width - 1):
                     r, place = body[width * i : width * (i + 1)], start + 8 + width * i
                     if sub == "shdr":
                         shdr = {"name": text_of(r[:20])} | fields_of([("start", 20, "<I"), ("end", 24, "<I"), ("loop_start", 28, "<I"), ("loop_end", 32, "<I"), ("sample_rate", 36, "<I"), ("pitch", 40, "<B"), ("correction", 41, "<b"), ("type", 44, "<H")], r)

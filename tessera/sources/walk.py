@@ -65,7 +65,7 @@ def walk_bytes(data: bytes, forced: str | None = None, name: str = "") -> tuple[
     rows: list[Chunk] = []
     try:
         rows.extend(parser(data, name) if "name" in inspect.signature(parser).parameters else parser(data))
-    except (struct.error, IndexError, ValueError, OverflowError, TypeError, RecursionError) as error:
+    except (struct.error, IndexError, KeyError, ValueError, OverflowError, TypeError, RecursionError) as error:
         rows.append(("warning", len(data), 0, {}, f"stopped: {error}"))
     return kind, rows
 
