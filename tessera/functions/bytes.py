@@ -1,14 +1,20 @@
-"""Byte-level analytics as Column expressions over binary columns."""
+"""Byte-level analytics over binary columns: Column expressions where a value is read at a place, Arrow batches where all of it is."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Widths of the typed reads.
-WIDTHS = {"u8": 1, "i8": 1, "u16": 2, "i16": 2, "u24": 3, "u32": 4, "i32": 4}
+#: Widths of the typed reads, and what numpy calls those that it has.
+WIDTHS = {"u8": 1, "i8": 1, "u16": 2, "i16": 2, "u24": 3, "i24": 3, "u32": 4, "i32": 4, "u64": 8, "i64": 8, "f32": 4, "f64": 8}
 
 
 def byte_at(data: Column, offset: Column | int) -> Column:
@@ -18,28 +24,101 @@ def byte_at(data: Column, offset: Column | int) -> Column:
 
 
 def read_typed(data: Column, offset: Column | int, kind: str, big_endian: bool = False) -> Column:
-    """An integer at an offset; null where it isn't whole."""
+    """An integer at an offset; null where it isn't whole. Of 64 bits it is a decimal."""
     n = WIDTHS[kind]
     at = F.lit(offset) if isinstance(offset, int) else offset
-    parts = [byte_at(data, at + i) for i in range(n)]
-    order = parts if big_endian else parts[::-1]
-    value = order[0]
-    for p in order[1:]:
-        value = value * 256 + p
+    digits = F.hex(F.substring(data, at + 1, F.lit(n)))
+    if not big_endian:
+        digits = F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(n))])
+    digits = F.when(F.length(digits) == 2 * n, digits)
+    wide = "decimal(20,0)" if n == 8 else "bigint"
+    value = F.conv(digits, 16, 10).cast(wide)
     if kind[0] == "i":
-        value = F.when(value >= (1 << (8 * n - 1)), value - (1 << (8 * n))).otherwise(value)
+        value = F.when(value >= F.lit(1 << (8 * n - 1)).cast(wide), value - F.lit(1 << (8 * n)).cast("decimal(20,0)" if n == 8 else "bigint")).otherwise(value)
     return value
 
 
-def byte_array(data: Column) -> Column:
-    """All bytes as integers."""
-    return F.transform(F.when(F.octet_length(data) > 0, F.sequence(F.lit(1), F.octet_length(data))).otherwise(F.array().cast("array<int>")), lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("int"))
+def numbers_of(value: bytes, kind: str, big_endian: bool = False) -> np.ndarray:
+    """All whole numbers of a kind, side by side."""
+    n = WIDTHS[kind]
+    whole = value[: len(value) // n * n]
+    if n == 3:
+        raw = np.frombuffer(whole, np.uint8).reshape(-1, 3).astype(np.int64)
+        out = raw @ np.array([65536, 256, 1] if big_endian else [1, 256, 65536])
+        return np.where(out >= 1 << 23, out - (1 << 24), out) if kind[0] == "i" else out
+    return np.frombuffer(whole, f"{'>' if big_endian else '<'}{kind[0]}{n}")
+
+
+def read_series(rows: DataFrame, key: str, data: str, offset: int, kind: str, count: int, big_endian: bool = False) -> DataFrame:
+    """``key``, ``index``, ``value`` (double): so many numbers from an offset, as far as the value goes."""
+
+    def made(value: bytes) -> Iterator[tuple]:
+        yield from enumerate(float(x) for x in numbers_of(value[offset : offset + count * WIDTHS[kind]], kind, big_endian))
+
+    return each_value(rows, [key], [data], "index int, value double", made)
+
+
+def find_value(rows: DataFrame, key: str, data: str, value: float, kind: str) -> DataFrame:
+    """``key``, ``offset``, ``order``: everywhere that a number stands as this kind, in either byte order (one row where both are alike)."""
+    packed = [(name, numbers_packed(value, kind, name == "be")) for name in ("le", "be")]
+
+    def made(data: bytes) -> Iterator[tuple]:
+        for i, (name, needle) in enumerate(packed):
+            if i and needle == packed[0][1]:
+                continue
+            at = data.find(needle)
+            while at >= 0:
+                yield at, name
+                at = data.find(needle, at + 1)
+
+    return each_value(rows, [key], [data], "offset int, `order` string", made)
+
+
+def numbers_packed(value: float, kind: str, big_endian: bool = False) -> bytes:
+    """A number's bytes as a kind."""
+    n, order = WIDTHS[kind], "big" if big_endian else "little"
+    if kind[0] == "f":
+        return np.array(value, f"{'>' if big_endian else '<'}f{n}").tobytes()
+    return int(value).to_bytes(n, order, signed=kind[0] == "i")
+
+
+def each_value(rows: DataFrame, keys: list[str], values: list[str], schema: str, made: Callable[..., Iterator[tuple]]) -> DataFrame:
+    """Rows that ``made`` yields of each row's binary values, behind its keys: one pass in Arrow batches, and no shuffle. Null counts as empty."""
+    n = len(keys)
+    types = dict(rows.dtypes)
+    whole = T._parse_datatype_string(", ".join(f"{k} {types[k]}" for k in keys) + ", " + schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(whole)
+        for batch in batches:
+            held = [batch.column(i) for i in range(n, batch.num_columns)]
+            at, out = [], []
+            for r in range(batch.num_rows):
+                for row in made(*(c[r].as_py() or b"" for c in held)):
+                    at.append(r)
+                    out.append(row)
+                if len(out) > 100_000:
+                    yield _batch(batch, n, at, out, arrow)
+                    at, out = [], []
+            yield _batch(batch, n, at, out, arrow)
+
+    return rows.select(*keys, *[F.col(v).cast("binary") for v in values]).mapInArrow(run, whole)
+
+
+def _batch(batch: pa.RecordBatch, n: int, at: list[int], out: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
+    own = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(n)]
+    columns = list(zip(*out, strict=True)) or [()] * (len(arrow) - n)
+    return pa.RecordBatch.from_arrays([*own, *(pa.array(list(c), f.type) for c, f in zip(columns, list(arrow)[n:], strict=True))], schema=arrow)
 
 
 def byte_counts(rows: DataFrame, key: str, data: str) -> DataFrame:
-    """``key``, ``byte``, ``n``: a row for each byte value that occurs, counted before the shuffle."""
-    each = rows.select(key, F.explode(byte_array(F.col(data))).alias("byte"))
-    return each.groupBy(key, "byte").agg(F.count("*").cast("bigint").alias("n"))
+    """``key``, ``byte``, ``n``: a row for each byte value that occurs in a row's value."""
+
+    def made(value: bytes) -> Iterator[tuple]:
+        counts = np.bincount(np.frombuffer(value, np.uint8), minlength=256)
+        yield from ((int(b), int(counts[b])) for b in np.flatnonzero(counts))
+
+    return each_value(rows, [key], [data], "byte int, n bigint", made)
 
 
 def entropy(counts: DataFrame, key: str) -> DataFrame:
@@ -59,16 +138,21 @@ def windows_of(rows: DataFrame, key: str, data: str, windows: int) -> DataFrame:
 
 
 def find_all(rows: DataFrame, key: str, data: str, needle: bytes) -> DataFrame:
-    """``key``, ``offset`` of every match, overlapping ones too: splitting the hex text finds them without Python."""
-    hexed, want = F.hex(data), needle.hex().upper()
-    at = F.filter(F.sequence(F.lit(0), F.octet_length(data) - len(needle)), lambda i: F.substring(hexed, i * 2 + 1, F.lit(len(want))) == want)
-    return rows.where((F.octet_length(data) >= len(needle)) & F.contains(hexed, F.lit(want))).select(key, F.explode(at).alias("offset"))
+    """``key``, ``offset`` of every match, overlapping ones too."""
+
+    def made(value: bytes) -> Iterator[tuple]:
+        at = value.find(needle)
+        while at >= 0:
+            yield (at,)
+            at = value.find(needle, at + 1)
+
+    return each_value(rows, [key], [data], "offset int", made)
 
 
 def strings(rows: DataFrame, key: str, data: str, least: int = 4) -> DataFrame:
-    """Printable runs of at least so many bytes, in order."""
-    found = F.regexp_extract_all(F.decode(F.col(data), "ISO-8859-1"), F.lit(f"[ -~]{{{least},}}"), 0)
-    return rows.select(key, F.posexplode(found).alias("ordinal", "run"))
+    """Printable runs of at least so many bytes, with their offsets."""
+    runs = re.compile(rb"[ -~]{%d,}" % least)
+    return each_value(rows, [key], [data], "offset int, run string", lambda value: ((m.start(), m.group().decode("ascii")) for m in runs.finditer(value)))
 
 
 def hexdump(rows: DataFrame, key: str, data: str) -> DataFrame:
@@ -84,11 +168,31 @@ def byte_class(b: Column) -> Column:
 
 
 def diff_ranges(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """Ranges in which two values differ over their common length: gaps and islands within each pair."""
-    n = F.least(F.octet_length(a), F.octet_length(b))
-    off = F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(F.hex(a), i * 2 + 1, F.lit(2)) != F.substring(F.hex(b), i * 2 + 1, F.lit(2)))
-    each = pairs.select(key, F.posexplode(off).alias("_i", "offset"))
-    return each.groupBy(key, (F.col("offset") - F.col("_i")).alias("_g")).agg(F.min("offset").alias("start"), (F.max("offset") + 1).alias("stop")).drop("_g")
+    """Ranges in which two values differ over their common length."""
+
+    def made(x: bytes, y: bytes) -> Iterator[tuple]:
+        n = min(len(x), len(y))
+        off = np.frombuffer(x, np.uint8, n) != np.frombuffer(y, np.uint8, n)
+        edges = np.flatnonzero(np.diff(np.r_[False, off, False].astype(np.int8)))
+        yield from zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)
+
+    return each_value(pairs, [key], [a, b], "start int, stop int", made)
+
+
+def hilbert_cells(rows: DataFrame, key: str, data: str, side_bits: int) -> DataFrame:
+    """``cell``, ``x``, ``y`` and the mean byte (a whole number) of each cell of a 2**side_bits square that a value's bytes are laid out on."""
+
+    def made(value: bytes) -> Iterator[tuple]:
+        if not value:
+            return
+        cell = np.arange(len(value)) * (1 << 2 * side_bits) // len(value)
+        size = np.bincount(cell)
+        total = np.bincount(cell, np.frombuffer(value, np.uint8))
+        yield from ((int(c), int(total[c] // size[c])) for c in np.flatnonzero(size))
+
+    cells = each_value(rows, [key], [data], "cell bigint, mean int", made)
+    x, y = hilbert_xy(side_bits, F.col("cell"))
+    return cells.select(key, "cell", x.alias("x"), y.alias("y"), "mean")
 
 
 def hilbert_xy(side_bits: int, d: Column) -> tuple[Column, Column]:

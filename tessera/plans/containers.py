@@ -24,72 +24,81 @@ def query(sql: str | None = None, *tables: str):
 
 
 def _texts(spark, d):
-    return B.table(spark, d, "benchmark").select("item_id", F.col("text").cast("binary").alias("data"))
+    return B.table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
 
 
-_T = "t AS (SELECT item_id, encode(text) AS data FROM benchmark)"
-_EACH = "each AS (SELECT item_id, i, ('0x' || substr(hex(data), (2 * i + 1)::INT, 2))::INT AS byte FROM t, unnest(range(octet_length(data))) u(i))"
+_T = "t AS (SELECT doc_id, coalesce(encode(text), ''::BLOB) AS data, hex(coalesce(encode(text), ''::BLOB)) AS h FROM documents)"
+_EACH = "each AS (SELECT doc_id, unnest(range(octet_length(data)))::INT AS i, unnest(list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::INT)) AS byte, octet_length(data) AS n FROM t)"
 
 
-@query("SELECT item_id, ('0x' || substr(hex(data), 1, 8))::BIGINT AS be, ('0x' || substr(hex(data), 7, 2) || substr(hex(data), 5, 2) || substr(hex(data), 3, 2) || substr(hex(data), 1, 2))::BIGINT AS le, ('0x' || substr(hex(data), 3, 2))::BIGINT AS second FROM t", _T)
+@query("SELECT doc_id, CASE WHEN length(h) >= 8 THEN ('0x' || substr(h, 1, 8))::BIGINT END AS be, CASE WHEN length(h) >= 8 THEN ('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::BIGINT END AS le, CASE WHEN length(h) >= 4 THEN ('0x' || substr(h, 3, 2))::BIGINT END AS second, CASE WHEN length(h) >= 16 THEN ('0x' || substr(h, 1, 16))::HUGEINT::DECIMAL(20, 0) END AS wide FROM (SELECT doc_id, hex(encode(left(coalesce(text, ''), 8))) AS h FROM documents)")
 def typed_reads(spark, d):
     x = F.col("data")
-    return _texts(spark, d).select("item_id", Y.read_typed(x, 0, "u32", True).alias("be"), Y.read_typed(x, 0, "u32").alias("le"), Y.read_typed(x, 1, "u8").alias("second"))
+    return _texts(spark, d).select("doc_id", Y.read_typed(x, 0, "u32", True).alias("be"), Y.read_typed(x, 0, "u32").alias("le"), Y.read_typed(x, 1, "u8").alias("second"), Y.read_typed(x, 0, "u64", True).alias("wide"))
 
 
-@query("SELECT item_id, byte, count(*)::BIGINT AS n FROM each GROUP BY 1, 2", _T, _EACH)
+@query("SELECT doc_id, byte, count(*)::BIGINT AS n FROM each GROUP BY 1, 2", _T, _EACH)
 def byte_histogram(spark, d):
-    return Y.byte_counts(_texts(spark, d), "item_id", "data")
+    return Y.byte_counts(_texts(spark, d), "doc_id", "data")
 
 
-@query("SELECT item_id, round(greatest(0, least(log2(sum(n)) - sum(n * log2(n)) / sum(n), log2(count(*)))), 6) AS entropy, sum(n)::BIGINT AS n_bytes FROM (SELECT item_id, byte, count(*) AS n FROM each GROUP BY 1, 2) GROUP BY 1", _T, _EACH)
+@query("SELECT doc_id, round(greatest(0, least(log2(sum(n)) - sum(n * log2(n)) / sum(n), log2(count(*)))), 6) AS entropy, sum(n)::BIGINT AS n_bytes FROM (SELECT doc_id, byte, count(*) AS n FROM each GROUP BY 1, 2) GROUP BY 1", _T, _EACH)
 def byte_entropy(spark, d):
-    return Y.entropy(Y.byte_counts(_texts(spark, d), "item_id", "data"), "item_id")
+    return Y.entropy(Y.byte_counts(_texts(spark, d), "doc_id", "data"), "doc_id")
 
 
-@query("SELECT key AS slice, round(greatest(0, least(log2(sum(n)) - sum(n * log2(n)) / sum(n), log2(count(*)))), 6) AS entropy, sum(n)::BIGINT AS n_bytes FROM (SELECT key, byte, count(*) AS n FROM (SELECT e.item_id || '/' || w.w AS key, byte FROM each e JOIN t USING (item_id) JOIN (SELECT unnest(range(8)) AS w) w ON e.i >= w.w * octet_length(data) // 8 AND e.i < (w.w + 1) * octet_length(data) // 8) GROUP BY 1, 2) GROUP BY 1", _T, _EACH)
+@query("SELECT doc_id || '/' || w AS slice, round(greatest(0, least(log2(sum(c)) - sum(c * log2(c)) / sum(c), log2(count(*)))), 6) AS entropy, sum(c)::BIGINT AS n_bytes FROM (SELECT doc_id, w, byte, count(*) AS c FROM (SELECT doc_id, byte, CASE WHEN i < n // 8 THEN 0 WHEN i < 2 * n // 8 THEN 1 WHEN i < 3 * n // 8 THEN 2 WHEN i < 4 * n // 8 THEN 3 WHEN i < 5 * n // 8 THEN 4 WHEN i < 6 * n // 8 THEN 5 WHEN i < 7 * n // 8 THEN 6 ELSE 7 END AS w FROM each) GROUP BY ALL) GROUP BY doc_id, w", _T, _EACH)
 def windowed_entropy(spark, d):
-    cut = Y.windows_of(_texts(spark, d), "item_id", "data", 8).select(F.concat("item_id", F.lit("/"), "window").alias("slice_id"), F.col("slice").alias("data"))
+    cut = Y.windows_of(_texts(spark, d), "doc_id", "data", 8).select(F.concat("doc_id", F.lit("/"), "window").alias("slice_id"), F.col("slice").alias("data"))
     return Y.entropy(Y.byte_counts(cut, "slice_id", "data"), "slice_id").withColumnRenamed("slice_id", "slice")
 
 
-@query("SELECT item_id, i::INT AS \"offset\" FROM t, unnest(range(octet_length(data) - 1)) u(i) WHERE substr(hex(data), (2 * i + 1)::INT, 4) = '7468'", _T)
+@query("SELECT doc_id, i AS \"offset\" FROM (SELECT doc_id, i, byte, lead(byte) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM each) WHERE byte = 116 AND following = 104", _T, _EACH)
 def find_bytes(spark, d):
-    return Y.find_all(_texts(spark, d), "item_id", "data", b"th")
+    return Y.find_all(_texts(spark, d), "doc_id", "data", b"th")
 
 
-@query("SELECT item_id, i::INT - 1 AS ordinal, run FROM (SELECT item_id, unnest(range(1, len(r) + 1)) AS i, unnest(r) AS run FROM (SELECT item_id, regexp_extract_all(text, '[ -~]{8,}') AS r FROM benchmark))")
+@query("SELECT doc_id, i AS \"offset\", CASE WHEN o = 'l' THEN 'le' ELSE 'be' END AS \"order\" FROM (SELECT doc_id, i, byte, lead(byte) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM each) JOIN (VALUES ('l', 101, 32), ('b', 32, 101)) v(o, x, y) ON byte = x AND following = y", _T, _EACH)
+def value_scan(spark, d):
+    """Everywhere that 0x2065 stands as 16 bits, in either byte order."""
+    return Y.find_value(_texts(spark, d), "doc_id", "data", 0x2065, "u16")
+
+
+@query("SELECT doc_id, min(i)::INT AS \"offset\", string_agg(chr(byte), '' ORDER BY i) AS run FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM each WHERE byte BETWEEN 32 AND 126) GROUP BY doc_id, g HAVING count(*) >= 8", _T, _EACH)
 def printable_runs(spark, d):
-    return Y.strings(_texts(spark, d), "item_id", "data", 8)
+    return Y.strings(_texts(spark, d), "doc_id", "data", 8)
 
 
-@query("SELECT item_id, o::INT AS \"offset\", lower(substr(hex(data), (2 * o + 1)::INT, 32)) AS hex FROM t, unnest(range(0, octet_length(data), 16)) u(o)", _T)
+@query("SELECT doc_id, (i // 16 * 16)::INT AS \"offset\", string_agg(printf('%02x', byte), '' ORDER BY i) AS hex, string_agg(CASE WHEN byte BETWEEN 32 AND 126 THEN chr(byte) ELSE '.' END, '' ORDER BY i) AS ascii FROM each GROUP BY 1, 2", _T, _EACH)
 def hexdump(spark, d):
-    return Y.hexdump(_texts(spark, d), "item_id", "data").drop("ascii")
+    return Y.hexdump(_texts(spark, d), "doc_id", "data")
 
 
-@query("SELECT item_id, class, count(*)::BIGINT AS n FROM (SELECT item_id, CASE WHEN byte = 0 THEN 'null' WHEN byte = 255 THEN 'ff' WHEN byte BETWEEN 32 AND 126 THEN 'ascii' WHEN byte < 32 OR byte = 127 THEN 'ctrl' ELSE 'high' END AS class FROM each) GROUP BY 1, 2", _T, _EACH)
+@query("SELECT doc_id, class, count(*)::BIGINT AS n FROM (SELECT doc_id, CASE WHEN byte = 0 THEN 'null' WHEN byte = 255 THEN 'ff' WHEN byte BETWEEN 32 AND 126 THEN 'ascii' WHEN byte < 32 OR byte = 127 THEN 'ctrl' ELSE 'high' END AS class FROM each) GROUP BY 1, 2", _T, _EACH)
 def byte_classes(spark, d):
-    each = _texts(spark, d).select("item_id", F.explode(Y.byte_array(F.col("data"))).alias("b"))
-    return each.groupBy("item_id", Y.byte_class(F.col("b")).alias("class")).agg(F.count("*").cast("bigint").alias("n"))
+    counts = Y.byte_counts(_texts(spark, d), "doc_id", "data")
+    return counts.groupBy("doc_id", Y.byte_class(F.col("byte")).alias("class")).agg(F.sum("n").cast("bigint").alias("n"))
 
 
-@query("SELECT a.item_id, min(a.i)::INT AS start, (max(a.i) + 1)::INT AS stop FROM (SELECT a.item_id, a.i, a.i - row_number() OVER (PARTITION BY a.item_id ORDER BY a.i) AS g FROM each a JOIN each b ON b.item_id = a.item_id + 1 AND b.i = a.i WHERE a.byte <> b.byte) a GROUP BY a.item_id, a.g", _T, _EACH)
+@query("SELECT doc_id, min(i)::INT AS start, (max(i) + 1)::INT AS stop FROM (SELECT a.doc_id, a.i, a.i - row_number() OVER (PARTITION BY a.doc_id ORDER BY a.i) AS g FROM each a JOIN each b ON b.doc_id = a.doc_id + 1 AND b.i = a.i WHERE a.byte <> b.byte) GROUP BY doc_id, g", _T, _EACH)
 def byte_diff(spark, d):
     t = _texts(spark, d)
-    pairs = t.join(t.select((F.col("item_id") - 1).alias("item_id"), F.col("data").alias("other")), "item_id")
-    return Y.diff_ranges(pairs, "item_id", "data", "other")
+    pairs = t.join(t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("data").alias("other")), "doc_id")
+    return Y.diff_ranges(pairs, "doc_id", "data", "other")
+
+
+_XY = "cell0 AS (SELECT doc_id, (i * 256 // n)::BIGINT AS cell, (sum(byte) // count(*))::INT AS mean FROM each GROUP BY 1, 2), l0 AS (SELECT doc_id, cell, mean, cell AS t, 0::BIGINT AS x, 0::BIGINT AS y FROM cell0)"
+
+
+def _level(i: int) -> str:
+    s = 1 << i
+    return f"l{i + 1} AS (SELECT doc_id, cell, mean, t >> 2 AS t, CASE WHEN ry = 0 THEN CASE WHEN rx = 1 THEN {s} - 1 - y ELSE y END ELSE x END + {s} * rx AS x, CASE WHEN ry = 0 THEN CASE WHEN rx = 1 THEN {s} - 1 - x ELSE x END ELSE y END + {s} * ry AS y FROM (SELECT *, (t >> 1) & 1 AS rx, xor(t, (t >> 1) & 1) & 1 AS ry FROM l{i}))"
 
 
-@query()
+@query("SELECT doc_id, cell, x, y, mean FROM l4", _T, _EACH, _XY, *[_level(i) for i in range(4)])
 def hilbert_cells(spark, d):
     """Mean byte of each cell of a 16 x 16 Hilbert square over each text's bytes."""
-    t = _texts(spark, d).where(F.octet_length("data") > 0)
-    n = F.octet_length("data")
-    each = t.select("item_id", n.alias("n"), F.posexplode(Y.byte_array(F.col("data"))).alias("i", "b")).withColumn("cell", F.floor(F.col("i") * 256 / F.col("n")))
-    cells = each.groupBy("item_id", "cell").agg((F.sum("b") / F.count("*")).cast("int").alias("mean"))
-    x, y = Y.hilbert_xy(4, F.col("cell"))
-    return cells.select("item_id", "cell", x.alias("x"), y.alias("y"), "mean")
+    return Y.hilbert_cells(_texts(spark, d), "doc_id", "data", 4)
 
 
 def _chunks(spark, d):
