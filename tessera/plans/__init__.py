@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogue, containers, forensics, formats, streams, values
+from . import catalogue, containers, forensics, formats, manage, streams, values
 
-QUERIES = catalogue.QUERIES | containers.QUERIES | formats.QUERIES | values.QUERIES | forensics.QUERIES | streams.QUERIES
-ORACLES = catalogue.ORACLES | containers.ORACLES | formats.ORACLES | values.ORACLES | forensics.ORACLES | streams.ORACLES
+QUERIES = catalogue.QUERIES | containers.QUERIES | formats.QUERIES | values.QUERIES | manage.QUERIES | forensics.QUERIES | streams.QUERIES
+ORACLES = catalogue.ORACLES | containers.ORACLES | formats.ORACLES | values.ORACLES | manage.ORACLES | forensics.ORACLES | streams.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

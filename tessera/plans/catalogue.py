@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import music
 from tessera.operators import catalogue as C
 from tessera.operators import search as S
+from tessera.operators import text as X
 from tessera.sources import bindings as B
 
 QUERIES, ORACLES = {}, {}
@@ -285,12 +286,23 @@ _WORDS = "w AS (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_t
 
 @query("SELECT doc_id FROM w WHERE contains(line, ' the ') AND contains(line, ' of the ')", _WORDS)
 def match_words(spark, d):
-    return C.match_text(B.table(spark, d, "documents"), 'THE "of the"').select("doc_id")
+    return X.match_text(B.table(spark, d, "documents"), 'THE "of the"').select("doc_id")
 
 
-@query("SELECT doc_id FROM w WHERE (contains(line, ' que') OR contains(line, ' und ')) AND NOT contains(line, ' en ')", _WORDS)
+@query("SELECT doc_id FROM w WHERE contains(line, ' que') OR (contains(line, ' und ') AND NOT contains(line, ' en '))", _WORDS)
 def match_prefix(spark, d):
-    return C.match_text(B.table(spark, d, "documents"), "que* OR und NOT en").select("doc_id")
+    return X.match_text(B.table(spark, d, "documents"), "que* OR und NOT en").select("doc_id")
+
+
+@query("SELECT doc_id FROM w WHERE contains(line, ' the ') AND NOT (contains(line, ' of ') AND contains(line, ' and ')) AND (contains(line, ' in ') OR contains(line, ' to '))", _WORDS)
+def match_grouped(spark, d):
+    return X.match_text(B.table(spark, d, "documents"), "the NOT of and AND (in OR to)").select("doc_id")
+
+
+@query("SELECT p_partkey FROM part WHERE p_type IN ('ECONOMY', 'MEDIUM') AND NOT regexp_matches(p_name, '(^| )small') AND regexp_matches(p_name, '(^| )(widget|bolt|gear)( |$)')")
+def match_stemmed(spark, d):
+    """Words by their stems, in one column or another."""
+    return X.match_text(B.table(spark, d, "part"), "(p_type:economies OR p_type:mediums) NOT p_name:small* AND (widgets OR bolted OR gears)", ["p_type", "p_name"], stemmed=True).select("p_partkey")
 
 
 @query("SELECT library, n, total, rank() OVER (ORDER BY n DESC, library)::INT AS place FROM (SELECT library, count(*)::BIGINT AS n, sum(count(*)) OVER ()::BIGINT AS total FROM samples WHERE lower(format) = 'wav' GROUP BY 1)", B.SAMPLES)

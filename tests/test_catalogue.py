@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessera.functions import music
 from tessera.operators import catalogue as C
 from tessera.operators import search as S
+from tessera.operators import text as X
 
 ROWS = [
     ("/a/kick_Am_128", 0, "Am", 128.0, 2.0, 4),
@@ -73,10 +74,10 @@ def test_tempo_choice(spark):
 
 def test_text_match(spark):
     df = spark.createDataFrame([(1, "Booming sub, KICK one"), (2, "closed hat"), (3, "dusty synth"), (4, None)], "id int, text string")
-    ids = lambda q: sorted(r.id for r in C.match_text(df, q).collect())
+    ids = lambda q: sorted(r.id for r in X.match_text(df, q).collect())
     assert ids("kick sub") == [1] and ids('"closed hat"') == [2] and ids("dust*") == [3] and ids("hat OR kick") == [1, 2] and ids("hat NOT closed") == []
     with pytest.raises(ValueError):
-        C.match_text(df, '"open')
+        X.match_text(df, '"open')
 
 
 def test_tags_and_upserts(spark):
@@ -87,3 +88,24 @@ def test_tags_and_upserts(spark):
     assert sorted(map(tuple, C.upsert(rows, new).collect())) == [("a", 1), ("b", 9), ("c", 3), ("d", 4)]
     added = spark.createDataFrame([("a", " punchy "), ("a", "  ")], "path string, tag string")
     assert sorted(r.tag for r in C.set_tags(tags, added, replace=True).where("path = 'a'").collect()) == ["punchy"]
+
+
+def test_stems():
+    """Words of Porter's own examples."""
+    pairs = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "conflated": "conflat", "hopping": "hop", "hissing": "hiss", "filing": "file", "happy": "happi", "relational": "relat", "conditional": "condit", "vietnamization": "vietnam", "triplicate": "triplic", "hopefulness": "hope", "revival": "reviv", "adjustable": "adjust", "adoption": "adopt", "probate": "probat", "controll": "control", "sky": "sky"}
+    assert {w: X.stem(w) for w in pairs} == pairs
+
+
+def test_query_grammar(spark):
+    rows = ["alpha", "beta", "beta gamma", "gamma alpha delta", "delta"]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, text string")
+    ids = lambda q: sorted(r.id for r in X.match_text(df, q).collect())
+    assert ids("alpha OR beta gamma") == [0, 2, 3] and ids("alpha OR beta AND gamma") == [0, 2, 3]
+    assert ids("(alpha OR beta) AND gamma") == [2, 3] and ids("gamma NOT alpha delta") == [2] and ids("gamma NOT (beta OR alpha)") == []
+    for wrong in ("NOT alpha", "alpha AND", '"open', "(alpha", "alpha )", "...", ""):
+        assert X.message(wrong)
+        with pytest.raises(X.SyntaxMessage):
+            X.match_text(df, wrong)
+    assert X.message("alpha") is None
+    with pytest.raises(X.SyntaxMessage):
+        X.match_text(df, "title:alpha")
