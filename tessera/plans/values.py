@@ -132,18 +132,20 @@ def unique_library_labels(spark, d):
     return V.unique_labels(roots).select("root", "unique_label")
 
 
-@query("SELECT event_id, list_transform(['value', 'absent', 'k'], lambda n: CASE n WHEN 'value' THEN value WHEN 'k' THEN coalesce((props::JSON->>'k')::DOUBLE, 0) ELSE 0 END) AS vector FROM events")
+@query("SELECT event_id, v[1] AS v0, v[2] AS v1, v[3] AS v2 FROM (SELECT event_id, list_transform(['value', 'absent', 'k'], lambda n: CASE n WHEN 'value' THEN value WHEN 'k' THEN coalesce((props::JSON->>'k')::DOUBLE, 0) ELSE 0 END) AS v FROM events)")
 def projected_vectors(spark, d):
     e = B.table(spark, d, "events")
     m = F.create_map(F.lit("value"), F.col("value"), F.lit("k"), F.get_json_object("props", "$.k").cast("double"), F.lit("odd"), F.lit(float("nan")))
-    return e.select("event_id", V.projected_vector(m, ["value", "absent", "k"]).alias("vector"))
+    v = e.select("event_id", V.projected_vector(m, ["value", "absent", "k"]).alias("v"))
+    return v.select("event_id", *[F.get("v", i).alias(f"v{i}") for i in range(3)])
 
 
-@query("SELECT vec_id, octet_length(unhex(repeat('00', 4 * len(embedding))))::INT AS n_bytes, embedding AS back FROM embeddings WHERE embedding IS NOT NULL")
+@query("SELECT vec_id, octet_length(unhex(repeat('00', 4 * len(embedding))))::INT AS n_bytes, embedding[1] AS first, embedding[len(embedding)] AS last FROM embeddings WHERE embedding IS NOT NULL")
 def packed_vectors(spark, d):
     t = B.table(spark, d, "embeddings").where("embedding is not null")
     raw = t.select("vec_id", V.pack_vector(F.col("embedding")).alias("raw"))
-    return raw.select("vec_id", F.octet_length("raw").alias("n_bytes"), V.unpack_vector(F.col("raw")).alias("back"))
+    back = raw.select("vec_id", F.octet_length("raw").alias("n_bytes"), V.unpack_vector(F.col("raw")).alias("back"))
+    return back.select("vec_id", "n_bytes", F.get("back", 0).alias("first"), F.element_at("back", -1).alias("last"))
 
 
 @query("SELECT doc_id, i::INT AS index, ('0x' || substr(h, 4 * i::INT + 3, 2) || substr(h, 4 * i::INT + 1, 2))::INT::DOUBLE AS value FROM (SELECT doc_id, hex(encode(left(coalesce(text, ''), 40))) AS h FROM documents), range(8) r(i) WHERE length(h) >= 4 * i + 4")
