@@ -531,3 +531,14 @@ def files(rows: DataFrame, kind: str, key: str, name: str) -> DataFrame:
     return rows.select(F.col(key).cast("bigint"), F.col(name)).mapInArrow(run, "path string, k bigint, content binary")
 
 
+
+
+def built(rows: DataFrame, key: str, name: str, build) -> DataFrame:
+    """``k`` and ``content``: what ``build`` makes of each row's number and name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ks, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array([build(k, n) for k, n in zip(ks, names, strict=True)], pa.binary())], ["k", "content"])
+
+    return rows.select(F.col(key).cast("bigint"), F.col(name)).mapInArrow(run, "k bigint, content binary")
