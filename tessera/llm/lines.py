@@ -150,3 +150,17 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, near: bool = Tru
     kept = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in own]
     made = [lines_in.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_removed")]
     return out.select(*kept, *made[: len(added)])
+
+
+def oracle() -> str:
+    """DuckDB SQL for documents' lines: every deletion of every line, joined."""
+    return """
+WITH o AS (SELECT doc_id, no, line, doc_id::HUGEINT * 2147483648 + no AS place FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents WHERE doc_id IS NOT NULL)),
+     l AS (SELECT line, min(place) AS first FROM o WHERE line <> '' GROUP BY 1),
+     v AS (SELECT line, first, 0 AS cut, line AS v FROM l WHERE length(line) >= 16 UNION ALL SELECT line, first, i, substr(line, 1, i - 1) || substr(line, i + 1) FROM l, unnest(range(1, length(line) + 1)) u(i) WHERE length(line) >= 16),
+     near AS (SELECT DISTINCT b.line FROM v a JOIN v b ON a.v = b.v AND a.first < b.first AND a.line <> b.line AND (a.cut = b.cut OR length(a.line) <> length(b.line))),
+     gone AS (SELECT doc_id, no FROM o JOIN l USING (line) WHERE place > first OR line IN (SELECT line FROM near)),
+     k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY no) AS text, count(*) AS kept FROM o WHERE (doc_id, no) NOT IN (SELECT doc_id, no FROM gone) GROUP BY 1)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines, (coalesce(len(string_split(d.text, chr(10))), 0) - coalesce(k.kept, 0))::BIGINT AS n_removed
+FROM documents d LEFT JOIN k USING (doc_id)
+    """

@@ -83,4 +83,4 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op5_lines": op5_lines, "op6_substrings": op6_substrings, "op7_toxicity": op7_toxicity, "op8_language": op8_language, "op9_ann": op9_ann, "op10_topk": op10_topk}
 
 #: DuckDB SQL for those that SQL can express; the tests hold the others against brute force.
-ORACLES: dict[str, str] = {"op2_warc": warc.oracle(), "op3_mixing": mixing.oracle()}
+ORACLES: dict[str, str] = {"op2_warc": warc.oracle(), "op3_mixing": mixing.oracle(), "op5_lines": lines.oracle(), "op6_substrings": substrings.oracle(), "op10_topk": topk.oracle()}

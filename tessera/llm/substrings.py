@@ -515,3 +515,19 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, length: int = 50
     rows = dealt.join(flags.hint("shuffle_hash"), "_id", "left").select("_id", "_text", "_flags")
     rows = rows.unionByName(docs.where("_id is null").select("_id", "_text", F.lit(None).cast("array<struct<_seat: bigint, _mask: bigint>>").alias("_flags")))
     return rows.mapInArrow(_cut(length, keep_bytes), schema).withColumnRenamed("_id", id_col)
+
+
+def oracle() -> str:
+    """DuckDB SQL for 50-byte repeats of documents, window by window."""
+    return """
+WITH b AS (SELECT doc_id, octet_length(coalesce(encode(text), ''::BLOB)) AS n, hex(coalesce(encode(text), ''::BLOB)) AS h FROM documents),
+     part AS (SELECT doc_id, q * 256 AS start, substr(h, q * 512 + 1, 610) AS h FROM (SELECT doc_id, h, unnest(range((n - 49 + 255) // 256)) AS q FROM b WHERE n >= 50)),
+     w AS (SELECT doc_id, start + i + 1 AS p, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, start, h, unnest(range(least(256, (length(h) // 2) - 49))) AS i FROM part)),
+     f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+     hit AS (SELECT doc_id, p FROM w JOIN f USING (s) WHERE doc_id > first),
+     run AS (SELECT doc_id, min(p) AS a, max(p) + 49 AS z FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM hit)) GROUP BY doc_id, g),
+     cut AS (SELECT doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans, list({'a': a, 'z': z} ORDER BY a) AS runs FROM run GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(CASE WHEN runs IS NULL THEN unhex(h) ELSE unhex(array_to_string(list_transform(range(0, len(runs) + 1), lambda i: substr(h, (2 * CASE WHEN i = 0 THEN 0 ELSE runs[i].z END + 1)::BIGINT, (2 * greatest(0, CASE WHEN i = len(runs) THEN n ELSE runs[i + 1].a - 1 END - CASE WHEN i = 0 THEN 0 ELSE runs[i].z END))::BIGINT)), '')) END) AS kept_sha256
+FROM b LEFT JOIN cut USING (doc_id)
+    """
