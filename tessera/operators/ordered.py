@@ -5,14 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import materialise
+
+
+def _dealt(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows in ranges of keys and order, ``_part`` by ``_part``: a key with very many rows has several parts, so no window holds all of them.
+
+    What a part needs of those before it is carried on by a window over parts, of which there are few.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialise(rows.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
+def _before(parts: DataFrame, keys: list[str], column: str, how) -> DataFrame:
+    """``how`` of a column over the parts before each."""
+    w = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn(column, how(F.col(column)).over(w))
+
 
 def islands(rows: DataFrame, keys: list[str], start: str, end: str, gap: Column | int) -> DataFrame:
     """Intervals of a key merged where the next starts at most ``gap`` after all before it end."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("_new", F.coalesce((F.col(start) - reach > gap).cast("int"), F.lit(1)))
-    marked = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").cast("bigint").alias("n")).drop("_island")
+    dealt = _dealt(rows, keys, [start, end])
+    order = Window.partitionBy(*keys, "_part").orderBy(start, end)
+    ends = _before(dealt.groupBy(*keys, "_part").agg(F.max(end).alias("_reached")), keys, "_reached", F.max)
+    reach = F.greatest(F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("_reached"))
+    marked = dealt.join(ends, [*keys, "_part"]).withColumn("_reach", reach).withColumn("_new", F.coalesce((F.col(start) - F.col("_reach") > gap).cast("int"), F.lit(1)))
+    marked = materialise(marked.withColumn("_own", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).select(*keys, "_part", start, end, "_new", "_own"), "marked")
+    counts = _before(marked.groupBy(*keys, "_part").agg(F.sum("_new").alias("_sofar")), keys, "_sofar", F.sum)
+    numbered = marked.join(counts, [*keys, "_part"]).withColumn("_island", F.col("_own") + F.coalesce("_sofar", F.lit(0)))
+    return numbered.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").cast("bigint").alias("n")).drop("_island")
 
 
 def absorbed(blobs: DataFrame, extents: DataFrame, keys: list[str], share: float = 0.5, cell: int = 4096) -> DataFrame:
@@ -31,17 +52,22 @@ def absorbed(blobs: DataFrame, extents: DataFrame, keys: list[str], share: float
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, value: str, forward: bool = False) -> DataFrame:
-    """Each left row with the right value at the last place not after it (or the first not before it): a union and one window, no range join."""
+    """Each left row with the right value at the last place not after it (or the first not before it): a union in order, no range join."""
     l = left.withColumns({"_at": F.col(at), "_side": F.lit(1), "_v": F.lit(None).cast(right.schema[value].dataType), "_va": F.lit(None).cast(right.schema[right_at].dataType)})  # noqa: E741
     names = [c for c in left.columns if c not in keys]
     r = right.select(*keys, *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in names], F.col(right_at).alias("_at"), F.lit(2 if forward else 0).alias("_side"), F.col(value).alias("_v"), F.col(right_at).alias("_va"))
     both = l.unionByName(r)
-    if forward:
-        w = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
-    else:
-        w = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumns({"asof_value": F.last("_v", ignorenulls=True).over(w), "asof_at": F.last("_va", ignorenulls=True).over(w)})
-    return out.where("_side = 1").drop("_at", "_side", "_v", "_va")
+    if forward:  # the same from the end: places and sides are turned round
+        both = both.withColumns({"_at": -F.col("_at"), "_side": -F.col("_side")})
+    dealt = _dealt(both, keys, ["_at", "_side"])
+    w = Window.partitionBy(*keys, "_part").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    known = dealt.where("_va is not null").groupBy(*keys, "_part").agg(F.max_by(F.struct("_v", "_va"), F.struct("_at", "_side")).alias("_last"))
+    parts = dealt.select(*keys, "_part").distinct().join(known, [*keys, "_part"], "left")
+    carried = _before(parts, keys, "_last", lambda c: F.last(c, ignorenulls=True))
+    here = F.last(F.when(F.col("_va").isNotNull(), F.struct("_v", "_va")), ignorenulls=True).over(w)
+    out = dealt.withColumn("_here", here).where(F.abs("_side") == 1).join(carried, [*keys, "_part"])
+    found = F.coalesce("_here", "_last")
+    return out.select(*left.columns, found["_v"].alias("asof_value"), found["_va"].alias("asof_at"))
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, reach: float) -> DataFrame:
@@ -85,6 +111,9 @@ def sliding(rows: DataFrame, keys: list[str], at: str, size: int, step: int) ->
 
 
 def running_offsets(rows: DataFrame, keys: list[str], order: list[str], size: str) -> DataFrame:
-    """Where each of a row of pieces starts: the sum of the sizes before it."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum(size).over(w), F.lit(0)).cast("bigint"))
+    """Where each of a row of pieces starts: the sum of the sizes before it, in its part and in all parts before that."""
+    dealt = _dealt(rows, keys, order)
+    w = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = _before(dealt.groupBy(*keys, "_part").agg(F.sum(size).alias("_sofar")), keys, "_sofar", F.sum)
+    inside = dealt.withColumn("_inside", F.coalesce(F.sum(size).over(w), F.lit(0)))
+    return inside.join(sums, [*keys, "_part"]).withColumn("offset", (F.col("_inside") + F.coalesce("_sofar", F.lit(0))).cast("bigint")).select(*rows.columns, "offset")
