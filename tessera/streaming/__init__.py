@@ -42,18 +42,32 @@ def sessions(rows: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> D
     return rows.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").cast("bigint").alias("n"))
 
 
-def upserted(stream: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key, kept as a snapshot that each micro-batch is merged into."""
-    spark, root = stream.sparkSession, path_for(stream.sparkSession, "snapshot")
-    names = {"now": None}
+def upserted(stream: DataFrame, key: str, order: str, folder: str | None = None) -> DataFrame:
+    """The last row of each key, kept as a snapshot that each micro-batch is merged into.
+
+    Batch n reads the snapshot of the batch before it, whose number the stream's checkpoint knows: a stream that is started again on the same ``folder``
+    goes on from there, and a batch that is run again writes the same snapshot.
+    """
+    spark, root = stream.sparkSession, folder or path_for(stream.sparkSession, "snapshot")
+    snapshot = lambda n: f"{root}/snapshots/batch={n}"
 
     def merge(batch: DataFrame, n: int) -> None:
-        rows = batch if names["now"] is None else batch.unionByName(spark.read.schema(stream.schema).parquet(names["now"]))
+        rows = batch if n == 0 else batch.unionByName(spark.read.schema(stream.schema).parquet(snapshot(n - 1)))
         last = rows.groupBy(key).agg(F.max_by(F.struct(*stream.columns), order).alias("r")).select("r.*")
-        path = f"{root}/{n}"
-        last.write.mode("overwrite").parquet(path)
-        names["now"] = path
+        last.write.mode("overwrite").parquet(snapshot(n))
 
-    query = stream.writeStream.option("checkpointLocation", path_for(spark, "upsert-state")).trigger(availableNow=True).foreachBatch(merge).start()
+    query = stream.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(merge).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(names["now"]) if names["now"] else spark.createDataFrame([], stream.schema)
+    last = _latest(spark, f"{root}/snapshots")
+    return spark.read.schema(stream.schema).parquet(snapshot(last)) if last is not None else spark.createDataFrame([], stream.schema)
+
+
+def _latest(spark: SparkSession, path: str) -> int | None:
+    """The number of the last batch that has a whole snapshot."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return None
+    done = [int(f.getPath().getName().partition("=")[2]) for f in system.listStatus(folder) if system.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return max(done, default=None)

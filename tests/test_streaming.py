@@ -17,3 +17,14 @@ def test_streams(spark, tmp_path):
     assert got == 80  # each event is in two windows
     last = S.upserted(S.events(spark, str(tmp_path)).select("user_id", "event_id"), "user_id", "event_id")
     assert sorted(map(tuple, last.collect())) == [(0, 39), (1, 37), (2, 38)]
+
+
+def test_upserts_go_on_after_a_restart(spark, tmp_path):
+    """A second run on the same folder reads only what is new, and keeps what the first one had."""
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    write = lambda rows: spark.createDataFrame(rows, "k long, v long").coalesce(1).write.mode("append").parquet(source)
+    write([(1, 1), (2, 1)])
+    stream = lambda: spark.readStream.schema("k long, v long").parquet(source)
+    assert sorted(map(tuple, S.upserted(stream(), "k", "v", folder).collect())) == [(1, 1), (2, 1)]
+    write([(2, 5), (3, 2)])
+    assert sorted(map(tuple, S.upserted(stream(), "k", "v", folder).collect())) == [(1, 1), (2, 5), (3, 2)]
