@@ -137,6 +137,29 @@ def windows_of(rows: DataFrame, key: str, data: str, windows: int) -> DataFrame:
     return cut.select(key, "window", F.substring("_d", start + 1, end - start).alias("slice")).where(F.octet_length("slice") > 0)
 
 
+def sampled_entropy(rows: DataFrame, key: str, data: str, windows: int = 72, sample: int = 8192, probes: int = 4) -> DataFrame:
+    """``window``, ``entropy``, ``sampled``: like windows_of() and entropy(), but of windows larger than ``sample`` only some places are read."""
+
+    def made(value: bytes) -> Iterator[tuple]:
+        n = len(value)
+        bounds = [(i * n // windows, max(i * n // windows + 1, (i + 1) * n // windows)) for i in range(windows)]
+        partly = bool(n) and max(b - a for a, b in bounds) > sample
+        for i, (a, b) in enumerate(bounds):
+            if a >= n:
+                return
+            part = value[a : min(b, n)]
+            if partly:
+                each = max(1, sample // probes)
+                stride = max(1, (b - a - each) // max(1, probes - 1))
+                part = b"".join(value[a + p * stride : min(b, a + p * stride + each)] for p in range(probes))
+            counts = np.bincount(np.frombuffer(part, np.uint8))
+            counts = counts[counts > 0]
+            h = np.log2(len(part)) - (counts * np.log2(counts)).sum() / len(part)
+            yield i, round(float(min(max(h, 0.0), np.log2(len(counts)))), 6), partly
+
+    return each_value(rows, [key], [data], "window int, entropy double, sampled boolean", made)
+
+
 def find_all(rows: DataFrame, key: str, data: str, needle: bytes) -> DataFrame:
     """``key``, ``offset`` of every match, overlapping ones too."""
 

@@ -106,10 +106,11 @@ def find_similar(features: DataFrame, target_id: int, current: int = 3, kind: st
     return out.select(id_col, "label", "similarity", F.round(100.0 * F.col("_below") / F.lit(totals["n"] or 1), 1).alias("percentile"), F.round(F.col("similarity") - F.lit(totals["mean"]), 6).alias("above_mean"))
 
 
-def estimate_key(chroma: DataFrame, group: str, pitch: str = "pc", energy: str = "energy") -> DataFrame:
+def estimate_key(chroma: DataFrame, group: str, pitch: str = "pc", energy: str = "energy", detailed: bool = False) -> DataFrame:
     """The best of 24 keys for each group's twelve pitch-class energies, and its lead over the best key of another root.
 
     Correlations with rotated profiles; a flat chroma correlates 0. Fewer than three pitch classes of at least 2 % of the peak make no key.
+    ``detailed``: a confidence from that lead (0.15 is sure), whether the relative key is nearly as good, and the next three keys.
     """
     #: The probe-tone profiles of major and minor keys from the tonic up.
     profiles = [
@@ -133,4 +134,11 @@ def estimate_key(chroma: DataFrame, group: str, pitch: str = "pc", energy: str =
     rival = F.array_max(F.filter("_scores", lambda s: s["root"] != F.col("_best.root")))
     present = F.size(F.filter(values, lambda v: v >= F.array_max(values) * 0.02))
     named = present >= 3
+    if detailed:
+        best = F.col("_best")
+        relative = F.when(best["mode"] == 0, F.pmod(best["root"] + 9, F.lit(12))).otherwise(F.pmod(best["root"] + 3, F.lit(12)))
+        twin = F.array_max(F.filter("_scores", lambda s: (s["root"] == relative) & (s["mode"] != best["mode"])))
+        names = F.transform(F.slice(F.reverse(F.array_sort("_scores")), 2, 3), lambda s: music.pitch_name(s["root"], s["mode"]))
+        margin = best["r"] - rival["r"]
+        return sums.select(group, F.when(named, music.pitch_name(best["root"], best["mode"])).alias("key"), F.when(named, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), margin / 0.15)), 6)).alias("confidence"), F.when(named, best["r"] - twin["r"] < 0.05).alias("ambiguous"), F.when(named, F.array_join(names, ",")).alias("runners_up"))
     return sums.select(group, F.when(named, music.pitch_name(F.col("_best.root"), F.col("_best.mode"))).alias("key"), F.when(named, F.col("_best.r")).alias("correlation"), F.when(named, F.round(F.col("_best.r") - rival["r"], 6)).alias("margin"))

@@ -281,6 +281,12 @@ def key_estimates(spark, d):
     return S.estimate_key(chroma, "l_suppkey")
 
 
+@query(_oracle_key().replace("SELECT b.l_suppkey, list_extract", "SELECT l_suppkey, key, round(greatest(0, least(1, margin / 0.15)), 6) AS confidence FROM (SELECT b.l_suppkey, list_extract") + ")")
+def key_details(spark, d):
+    chroma = B.table(spark, d, "lineitem").select("l_suppkey", (F.col("l_partkey") % 12).alias("pc"), F.col("l_quantity").alias("energy"))
+    return S.estimate_key(chroma, "l_suppkey", detailed=True).select("l_suppkey", "key", "confidence")
+
+
 _WORDS = "w AS (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), ' ') || ' ' AS line FROM documents)"
 
 

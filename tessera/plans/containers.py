@@ -152,6 +152,26 @@ def flat_fields(spark, d):
     return K.flatten_fields(_chunks(spark, d)).where("chunk_id = 'fmt '").select("path", "chunk_id", "field", "value")
 
 
+_SAYS = "says AS (SELECT path, unnest([{'kind': 'chunk', 'value': chunk_id}, CASE WHEN chunk_id = 'fmt ' THEN {'kind': 'format_tag', 'value': '1'} END, CASE WHEN chunk_id = 'fact' THEN {'kind': 'fact_size', 'value': '4'} END, CASE WHEN ordinal = 0 THEN {'kind': 'container', 'value': 'wav'} END, CASE WHEN size % 2 = 1 THEN {'kind': 'flag', 'value': 'odd_size'} END, CASE WHEN size = 0 THEN {'kind': 'flag', 'value': 'empty_data'} END]) AS x FROM chunks)"
+
+
+@query("SELECT x.kind AS kind, x.value AS value, count(*)::BIGINT AS n, min(path) AS first, CASE WHEN x.kind = 'flag' THEN array_to_string(list_sort(list(DISTINCT path))[1:25], ',') END AS examples FROM says WHERE x IS NOT NULL GROUP BY 1, 2", B.RIFF, _CHUNKS, _SAYS)
+def census_detail(spark, d):
+    """Empty payloads warn too, but texts aren't empty here."""
+    return K.census_of(_chunks(spark, d).where("size > 0")).where("value <> 'warning'")
+
+
+@query("SELECT 'WAVE' AS form, CASE WHEN has_fact THEN 'data,fact,fmt ' ELSE 'data,fmt ' END AS ids, count(*)::BIGINT AS files FROM riff GROUP BY 2", B.RIFF)
+def cheap_shapes(spark, d):
+    return K.cheap_shapes(B.riff_files(spark, d))
+
+
+@query("SELECT doc_id, w AS window, round(greatest(0, least(log2(sum(c)) - sum(c * log2(c)) / sum(c), log2(count(*)))), 6) AS entropy, false AS sampled FROM (SELECT doc_id, w, byte, count(*) AS c FROM (SELECT doc_id, byte, n, unnest([((i + 1) * 72 - 1) // n - 1, ((i + 1) * 72 - 1) // n])::INT AS w, i FROM each WHERE n >= 72 AND n <= 500000) WHERE w >= 0 AND i >= w * n // 72 AND i < (w + 1) * n // 72 GROUP BY ALL) GROUP BY 1, 2", _T, _EACH)
+def file_entropy(spark, d):
+    texts = _texts(spark, d).where(F.octet_length("data").between(72, 500_000))
+    return Y.sampled_entropy(texts, "doc_id", "data")
+
+
 def _spans(spark, d):
     e = B.table(spark, d, "events")
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000

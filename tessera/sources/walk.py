@@ -118,3 +118,45 @@ def shapes(chunks: DataFrame) -> DataFrame:
     """How many files have each set of chunk ids."""
     each = chunks.groupBy("path", "format").agg(F.array_join(F.array_sort(F.collect_set("chunk_id")), ",").alias("ids"))
     return each.groupBy("format", "ids").agg(F.count("*").cast("bigint").alias("files"))
+
+
+#: Examples that a census keeps of each odd thing; it counts all of them.
+EXAMPLES = 25
+
+
+def census_of(chunks: DataFrame, top: int = 40) -> DataFrame:
+    """``kind``, ``value``, ``n``, ``first``, ``examples``: the commonest of each kind of thing that a corpus' chunks say, an occurrence each.
+
+    Kinds are chunk ids, format tags, list types, fact sizes, bext versions, formats, and the flags (a fact that isn't four bytes, an empty data chunk, an odd size, a warning). Partial
+    counts are made before the shuffle; of examples no more than EXAMPLES of a value are kept, in order of their paths.
+    """
+    from pyspark.sql import Window
+
+    pair = lambda kind, value, when=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value")))
+    name, field = F.col("chunk_id"), F.col("fields")
+    told = [
+        pair("chunk", name), pair("format_tag", field["format_tag"], (name == "fmt ") & field["format_tag"].isNotNull()), pair("list_type", field["list_type"], field["list_type"].isNotNull()),
+        pair("fact_size", F.col("size"), name == "fact"), pair("bext_version", field["version"], (name == "bext") & field["version"].isNotNull()), pair("container", F.col("format"), F.col("ordinal") == 0),
+        pair("flag", F.lit("fact_not_4"), (name == "fact") & (F.col("size") != 4)), pair("flag", F.lit("empty_data"), (name == "data") & (F.col("size") == 0)), pair("flag", F.lit("odd_size"), F.col("size") % 2 == 1), pair("flag", F.lit("warning"), F.col("warning").isNotNull()),
+    ]
+    rows = chunks.select("path", F.explode(F.array_compact(F.array(*told))).alias("_t")).select("path", "_t.kind", "_t.value")
+    each = rows.groupBy("kind", "value", "path").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("kind", "value").orderBy("path")
+    shown = each.withColumn("_place", F.row_number().over(w)).where((F.col("kind") == "flag") & (F.col("_place") <= EXAMPLES)).groupBy("kind", "value").agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("examples"))
+    sums = each.groupBy("kind", "value").agg(F.sum("_n").cast("bigint").alias("n"), F.min("path").alias("first"))
+    ranked = sums.withColumn("_r", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "value"))).where(F.col("_r") <= top).drop("_r")
+    return ranked.join(shown, ["kind", "value"], "left")
+
+
+def cheap_shapes(files: DataFrame) -> DataFrame:
+    """How many RIFF and IFF files have each set of chunk ids; no fields are read."""
+    from tessera.functions.bytes import each_value
+    from tessera.sources.chunks import iff
+
+    def made(data: bytes) -> Iterator[tuple]:
+        order = {b"RIFF": "little", b"FORM": "big"}.get(data[:4])
+        if order:
+            yield printable(data[8:12]), ",".join(sorted({tag for tag, *_ in iff(data, order)}))
+
+    each = each_value(files, ["path"], ["content"], "form string, ids string", made)
+    return each.groupBy("form", "ids").agg(F.count("*").cast("bigint").alias("files"))
