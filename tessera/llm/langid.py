@@ -137,8 +137,8 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn: F.Col
 def predict(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
     """``id_col``, ``lang_pred``, ``score`` (that language's share), ``languages`` and ``shares`` of the chosen set.
 
-    Only the text is an input. A null text, or one without a letter, is ``und`` with score 0 and no languages. Repeated rows each get a
-    row; other columns are ignored; an empty table gives an empty table. No shuffle.
+    Only the text is an input. A null text, or one without a letter, is ``und`` with score 0 and no languages. Of languages with equal shares the
+    first by name counts. Repeated rows each get a row; a very long text is one value in one task; other columns are ignored; an empty table gives an empty table. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

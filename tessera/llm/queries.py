@@ -55,10 +55,12 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's toxicity, learnt from labels outside of the held-out fifth."""
+    """Every document's toxicity, learnt from labels outside of the held-out fifth, with the nearest labelled example as evidence."""
     docs, held = _read(spark, sf_dir, "documents"), toxicity.held_out("doc_id", 5, 0)
     index = toxicity.fit(docs, _read(spark, sf_dir, "labels"), "doc_id", "text", "toxic", learn=~held)
-    return toxicity.score(docs, index, "doc_id", "text").select("doc_id", held.alias("held_out"), "score", "predicted")
+    scored = toxicity.score(docs, index, "doc_id", "text", evidence=True)
+    evidence = (F.get("evidence_ids", 0).alias("nearest_id"), F.round(F.get("evidence_cosines", 0), 6).alias("nearest_cosine"), F.size("evidence_ids").alias("neighbours"))
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted", *evidence)
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

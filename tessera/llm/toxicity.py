@@ -3,7 +3,8 @@
 Examples and texts are TF-IDF vectors over words and word beginnings that tell the labels apart. The k nearest examples by
 exact cosine come from an inverted index whose postings are cut into blocks of examples; a block is skipped when the sum of its terms'
 largest weights shows that it can't hold one of the k. Their votes, weighted by similarity and by what each sampled example stands
-for, give the score, and the examples are the evidence.
+for, give a raw score, and the examples are the evidence. A monotone map, fitted on the examples themselves with each left out of its own
+neighbours, makes a probability of it.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import types as T
 
 #: Labelled rows that are learnt from, of each label: the bound of the sample.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
-#: Terms kept: seen in so many examples, with at least this log-likelihood ratio and this ratio of their rates among the labels.
-TERMS, LEAST_SEEN, LEAST_RATIO, LEAST_LIFT = 1024, 4, 15.0, 4.0
+#: Terms of the vectors: all that are seen in so many examples, with at least this log-likelihood ratio and this ratio of their rates among the labels.
+#: Others tell the labels apart no better than chance does. Their number is bounded by the sample's.
+LEAST_SEEN, LEAST_RATIO, LEAST_LIFT = 4, 15.0, 4.0
 NEIGHBOURS, BLOCK, SHRINK = 15, 64, 0.25
 #: Letters of word beginnings, counts that make a term of their own, and words whose terms a worker keeps at hand.
 BEGINNINGS, OFTEN, CACHE = (3, 4, 5, 6, 7), (2, 3, 5), 500_000
@@ -84,6 +86,32 @@ class Index:
         self.rows = [np.array([n for n, _ in p], dtype=np.int64) for p in postings]
         self.weights = [np.array([w for _, w in p]) for p in postings]
         self.cuts = [np.searchsorted(r, np.arange(blocks + 1) * BLOCK) for r in self.rows]
+        self.knots, self.levels = np.array([0.0, 1.0]), np.array([0.0, 1.0])
+        self.reliability = self._calibrate([r[3:] for r in rows], empty, shares)
+
+    def _calibrate(self, vectors: list, empty: list, shares: tuple[float, float]) -> list[tuple[float, float, float]]:
+        """Fits the map from raw scores to probabilities: the monotone one of least squares over all examples, weighted by what they stand for.
+
+        Returns its steps: (mean raw score, rate of label 1, weight).
+        """
+        raw = [self._raw(ids, weights, n)[0] for n, (ids, weights) in enumerate(vectors)] + [self.without] * len(empty)
+        labels = np.r_[self.labels, [float(r[2]) for r in empty]]
+        worth = np.where(labels > 0, shares[1], shares[0])
+        if not len(raw) or not worth.sum():
+            return []
+        order = np.argsort(raw, kind="stable")
+        pools: list[list[float]] = []  # weight, weighted labels, weighted scores
+        for x, y, w in zip(np.array(raw)[order], labels[order], worth[order], strict=True):
+            pools.append([w, w * y, w * x])
+            while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+                last = pools.pop()
+                pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+        self.knots = np.array([p[2] / p[0] for p in pools])
+        self.levels = np.array([p[1] / p[0] for p in pools])
+        return [(float(x), float(y), p[0]) for x, y, p in zip(self.knots, self.levels, pools, strict=True)]
+
+    def calibrated(self, raw: float) -> float:
+        return float(np.interp(raw, self.knots, self.levels))
 
     def terms(self, text: str) -> Counter:
         """terms() of a text, but only those that the index may hold."""
@@ -104,8 +132,8 @@ class Index:
         weights = (1 + np.log(np.array([n for _, n in known], dtype=np.float64))) * self.idf[ids]
         return ids, weights / (np.sqrt((weights * weights).sum()) or 1.0)
 
-    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples that share a term (positions, cosines): exact, ties to the smaller position."""
+    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest examples that share a term (positions, cosines): exact, ties to the smaller position. ``but``: one that doesn't count."""
         bound = weights @ self.top[ids]
         found, scores, least = np.empty(0, np.int64), np.empty(0), 0.0
         for b in np.argsort(-bound, kind="stable"):
@@ -116,6 +144,8 @@ class Index:
                 lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
                 if hi > lo:
                     block[self.rows[t][lo:hi] - b * BLOCK] += w * self.weights[t][lo:hi]
+            if b * BLOCK <= but < (b + 1) * BLOCK:
+                block[but - b * BLOCK] = 0
             hits = np.flatnonzero(block > 0)
             found, scores = np.concatenate([found, hits + b * BLOCK]), np.concatenate([scores, block[hits]])
             order = np.lexsort((found, -scores))[:k]
@@ -123,18 +153,22 @@ class Index:
             least = scores[-1] if len(scores) else 0.0
         return found, scores
 
-    def score(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
-        """Score, and the positions and cosines of the examples that it rests on."""
-        ids, weights = self.vector(self.terms(text))
+    def _raw(self, ids: np.ndarray, weights: np.ndarray, but: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+        """Votes of the nearest examples before they are calibrated, and the examples."""
         if not len(ids):
             return self.without, np.empty(0, np.int64), np.empty(0)
-        found, cosines = self.nearest(ids, weights)
+        found, cosines = self.nearest(ids, weights, but=but)
         if not len(found):
             return self.without, found, cosines
         votes = cosines * cosines * self.worth[found]
         scale = SHRINK * float(self.worth.min())
         return float((votes @ self.labels[found] + scale * self.without) / (votes.sum() + scale)), found, cosines
 
+    def score(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
+        """Probability, and the positions and cosines of the examples that it rests on."""
+        raw, found, cosines = self._raw(*self.vector(self.terms(text)))
+        return self.calibrated(raw), found, cosines
+
 
 def held_out(id_col: str, parts: int, fold: int) -> F.Column:
     """Whether the id's CRC-32 leaves this remainder; a null id isn't held out."""
@@ -175,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     ratio = 2 * (b * F.log((b + 0.5) / expected) + a * F.log((a + 0.5) / (a + b - expected)))
     lift = ((b + 0.5) / total[1]) / ((a + 0.5) / total[0])
     good = seen.where(a + b >= LEAST_SEEN).withColumn("_ratio", ratio).where((F.col("_ratio") >= LEAST_RATIO) & (lift >= LEAST_LIFT))
-    kept = good.orderBy(F.desc("_ratio"), "_term").limit(TERMS).collect()
+    kept = good.orderBy(F.desc("_ratio"), "_term").collect()
     vocabulary = {r["_term"]: float(np.log(1 + sum(total.values()) / (r["_clean"] + r["_toxic"]))) for r in kept}
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +226,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 def score(docs: DataFrame, index: Index, id_col: str, text_col: str, evidence: bool = False, keep_columns: bool = False, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """``id_col`` (with ``keep_columns`` all columns but any of the new names), the score (0 to 1) and prediction under ``names`` and, with ``evidence``, the examples' ids and cosines.
 
-    Only the text is an input. Null counts as empty; a text without known terms gets the rate of such examples. Repeated rows
-    each get a row. An empty table gives an empty table. No shuffle: the index is bounded and broadcast.
+    Only the text is an input. Null counts as empty; a text without known terms gets the rate of such examples, calibrated. Of examples that are
+    as near, those that come first in the index count; the prediction is 1 from a score of 0.5 on. Repeated rows each get a row. A very long text is one
+    value in one task, of which words are counted. An empty table gives an empty table. No shuffle: the index is bounded and broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
     rows = docs.drop(*names, *(["evidence_ids", "evidence_cosines"] if evidence else [])) if keep_columns else docs.select(id_col)

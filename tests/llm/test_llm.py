@@ -431,6 +431,47 @@ def test_toxicity_learns_and_holds_out(spark):
     assert {r.predicted for r in toxicity.score(df, none, "doc_id", "text").collect()} == {0}
 
 
+def test_toxicity_votes_against_brute_force():
+    """Raw scores from all cosines in order, and the monotone map from all examples with each left out."""
+    rng = np.random.default_rng(5)
+    vocabulary = {f"t{i}": float(rng.uniform(0.5, 4)) for i in range(40)}
+    examples = [(i, int(rng.random() < 0.3), {f"t{j}": int(rng.integers(1, 4)) for j in rng.choice(40, int(rng.integers(0, 7)), replace=False)}) for i in range(300)]
+    examples += [(1000 + i, i % 2, examples[7][2]) for i in range(20)]  # equal vectors with both labels
+    shares = (1.5, 2.5)
+    index = toxicity.Index(vocabulary, examples, shares)
+    at = {k: i for i, k in enumerate(index.keys.tolist())}
+    dense = np.zeros((len(at), 40))
+    label = np.zeros(len(at))
+    for key, y, counts in examples:
+        if key in at:
+            ids, weights = index.vector(counts)
+            dense[at[key], ids], label[at[key]] = weights, y
+
+    def brute(v, but=-1):
+        cosines = dense @ v
+        order = [n for n in np.lexsort((np.arange(len(cosines)), -np.round(cosines, 12))) if cosines[n] > 1e-12 and n != but][: toxicity.NEIGHBOURS]
+        if not order:
+            return index.without
+        worth = np.where(label[order] > 0, shares[1], shares[0]) / shares[0]
+        votes = cosines[order] ** 2 * worth
+        scale = toxicity.SHRINK * float(index.worth.min())
+        return float((votes @ label[order] + scale * index.without) / (votes.sum() + scale))
+
+    for _ in range(60):
+        ids, weights = index.vector({f"t{j}": int(rng.integers(1, 4)) for j in rng.choice(40, 5, replace=False)})
+        v = np.zeros(40)
+        v[ids] = weights
+        assert index._raw(ids, weights)[0] == pytest.approx(brute(v), abs=1e-9)
+    levels = [y for _, y, _ in index.reliability]
+    assert levels == sorted(levels) and all(0 <= y <= 1 for y in levels)
+    raw = np.r_[[brute(dense[n], n) for n in range(len(dense))], [index.without] * (len(examples) - len(dense))]
+    worth = np.r_[np.where(label > 0, shares[1], shares[0]), [shares[y] for _, y, c in examples if not c]]
+    truth = np.r_[label, [y for _, y, c in examples if not c]]
+    got = np.array([index.calibrated(x) for x in raw])
+    assert (got * worth).sum() == pytest.approx((truth * worth).sum(), rel=0.1)  # calibrated in the large
+    assert (worth * (got - truth) ** 2).sum() <= (worth * (raw - truth) ** 2).sum()
+
+
 # Languages
 
 
@@ -451,6 +492,28 @@ def test_languages(spark):
     assert {r.lang_pred for r in langid.predict(df, nothing, "doc_id", "text").collect()} == {"und"}
 
 
+def test_language_sets_against_all_subsets(spark):
+    """The chosen set has the best penalised likelihood of all sets; ties, repeats and a very long text."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(6)
+    letters = {"aa": list("abcdx"), "bb": list("cdefx"), "cc": list("efghx")}
+    word = lambda g: "".join(rng.choice(letters[g], 6))
+    rows = [(i, " ".join(word(g) for _ in range(40)), g) for i, g in enumerate(["aa", "bb", "cc"] * 40)]
+    rows += [(1000, " ".join(word("aa") for _ in range(60_000)), None), (1001, rows[0][1], None), (1001, rows[0][1], None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(df, "doc_id", "text", "lang")
+    texts = [" ".join([word("aa")] * a + [word("bb") for _ in range(b)] + [word("cc") for _ in range(c)]) for a, b, c in rng.integers(0, 25, (40, 3)) if a + b + c]
+    same = 0
+    for text in texts:
+        words = model.words(text)
+        best = max((model.mixture(words[:, list(s)])[1] - langid.PENALTY * (len(s) - 1) * np.log(1 + len(words)), s) for n in (1, 2, 3) for s in combinations(range(3), n))
+        same += sorted(model.infer(text)[0]) == sorted(model.languages[i] for i in best[1])
+    assert same >= len(texts) - 1
+    got = langid.predict(df, model, "doc_id", "text").collect()
+    assert [r.lang_pred for r in got if r.doc_id == 1000] == ["aa"] and len([r for r in got if r.doc_id == 1001]) == 2
+
+
 # Vectors
 
 
