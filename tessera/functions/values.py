@@ -192,7 +192,7 @@ def csv_name(path: Column) -> Column:
 
 def safe_fourcc(raw: Column) -> Column:
     text = F.decode(raw, "ISO-8859-1")
-    return F.when(text.rlike("^[ -~]*$"), text).otherwise(F.concat(F.lit("hex:"), F.lower(F.hex(raw))))
+    return F.when(text.rlike(r"\A[ -~]*\z"), text).otherwise(F.concat(F.lit("hex:"), F.lower(F.hex(raw))))
 
 
 def unique_labels(libraries: DataFrame, base: str = "label", root: str = "root") -> DataFrame:

@@ -119,8 +119,11 @@ def from_adx(data: bytes) -> Iterator[Sample]:
 def from_snes(data: bytes, least_blocks: int = 16, coherent: float = 0.8) -> Iterator[Sample]:
     """BRR sounds of a ROM: runs of blocks with valid ranges up to an end flag that decode to something smooth."""
     raw = np.frombuffer(data, np.uint8)
-    at, n = 0, len(raw)
-    while at + 9 * least_blocks <= n:
+    stop_at = 0
+    # A sound begins with a range that isn't 0 and doesn't end in its first block.
+    for at in np.flatnonzero((raw >> 4 > 0) & (raw >> 4 <= 12) & (raw & 1 == 0)).tolist():
+        if at < stop_at or at + 9 * least_blocks > len(raw):
+            continue
         heads = raw[at : at + 9 * 2048 : 9]
         stop = np.flatnonzero((heads >> 4 > 12) | (heads & 1 == 1))
         blocks = int(stop[0]) + 1 if len(stop) and heads[stop[0]] >> 4 <= 12 else 0
@@ -129,9 +132,7 @@ def from_snes(data: bytes, least_blocks: int = 16, coherent: float = 0.8) -> Ite
             r, _, level = signals.coherence(numbers_of(body, "i16"), 200)
             if r >= coherent and level >= 100:
                 yield f"{at:06x}", 32_000, body
-                at += 9 * blocks
-                continue
-        at += 1
+                stop_at = at + 9 * blocks
 
 
 def from_n64(data: bytes, least: int = 512, coherent: float = 0.8) -> Iterator[Sample]:

@@ -209,3 +209,41 @@ def streamed_census(spark, d):
     sums = rows.groupBy((F.col("l_suppkey") % 5).alias("library")).agg(F.count("*").cast("bigint").alias("files"), F.sum("l_orderkey").cast("bigint").alias("bytes"))
     return streaming.drained(sums, "complete", "census")
 
+
+
+def _wave_nibbles(n: int) -> list[int]:
+    import math
+
+    return [round(6 * math.sin(2 * math.pi * i / 64)) & 15 for i in range(n)]
+
+
+def _snes(k: int, name: str) -> bytes:
+    """A ROM with one sound of k % 5 + 20 blocks at 0x1000."""
+    rom = bytearray(S.snesrom(k, name))
+    blocks = k % 5 + 20
+    codes = _wave_nibbles(16 * blocks)
+    for b in range(blocks):
+        head = (9 if b % 2 else 10) << 4 | (1 if b == blocks - 1 else 0)
+        part = codes[16 * b : 16 * b + 16]
+        rom[0x1000 + 9 * b : 0x1009 + 9 * b] = bytes([head]) + bytes(part[2 * i] << 4 | part[2 * i + 1] for i in range(8))
+    return bytes(rom)
+
+
+def _n64(k: int, name: str) -> bytes:
+    """A ROM with a codebook of two predictors, the first of them empty, and k % 5 + 40 frames behind it."""
+    frames = k % 5 + 40
+    codes = _wave_nibbles(16 * frames)
+    body = b"".join(bytes([11 << 4]) + bytes(codes[16 * f + 2 * i] << 4 | codes[16 * f + 2 * i + 1] for i in range(8)) for f in range(frames))
+    return S.n64rom(k, name) + bytes(36) + struct.pack(">II", 2, 2) + bytes(32) + b"\0\1" * 16 + body + b"\xff" * 64
+
+
+@query(f"SELECT k, 'snes' AS rom, '001000' AS name, 16 * (k % 5 + 20) AS samples FROM (SELECT n_nationkey::BIGINT AS k FROM nation) UNION ALL SELECT k, 'n64', printf('%06x', 68 + 36 + 8 + 64), 16 * (k % 5 + 40) FROM (SELECT n_nationkey::BIGINT AS k FROM nation)")
+def ripped_samples(spark, d):
+    """Sounds that nothing in a ROM points at."""
+    out = None
+    for rom, build, end in (("snes", _snes, ".sfc"), ("n64", _n64, ".z64")):
+        rows = S.built(B.table(spark, d, "nation"), "n_nationkey", "n_name", build)
+        files = rows.select(F.concat(F.lit(f"/{rom}/"), "k", F.lit(end)).alias("path"), "content")
+        found = E.samples(files).select(F.regexp_extract("path", r"/(\d+)\.", 1).cast("bigint").alias("k"), F.lit(rom).alias("rom"), "name", (F.octet_length("pcm") / 2).cast("bigint").alias("samples"))
+        out = found if out is None else out.unionByName(found)
+    return out

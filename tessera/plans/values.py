@@ -152,3 +152,80 @@ def packed_vectors(spark, d):
 def read_series(spark, d):
     t = B.table(spark, d, "documents").select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("data"))
     return Y.read_series(t, "doc_id", "data", 0, "u16", 8)
+
+
+@query(f"SELECT p_partkey, list_sort(list_distinct(list_transform(range(0, 1), lambda i: {music.PITCHES}[(p_partkey % 12 + 1)::INT])))[1] AS name, [1, 2, 1, 2, 2, 1, 2, 1, 2, 1, 2, 2][(p_partkey % 12 + 1)::INT] AS spellings FROM part")
+def enharmonic_names(spark, d):
+    """How many spellings each pitch class has, with flats for the sharps and for B and E."""
+    t = B.table(spark, d, "part").withColumn("name", F.get(F.array(*map(F.lit, music.PITCHES)), (F.col("p_partkey") % 12).cast("int")))
+    return t.select("p_partkey", "name", F.size(music.enharmonics(F.col("name"))).alias("spellings"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN b <= 0 THEN NULL WHEN l_returnflag <> 'A' THEN b WHEN abs(b * 60.0 / 120 - l_quantity) <= 0.15 * l_quantity THEN b END AS beats FROM (SELECT *, l_partkey % 64 AS b FROM lineitem)")
+def vetted_beats(spark, d):
+    t = B.table(spark, d, "lineitem")
+    beats = music.effective_beats(F.col("l_partkey") % 64, F.col("l_returnflag") == "A", F.lit(120.0), F.col("l_quantity"))
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", beats.alias("beats"))
+
+
+_SIGNATURES = ["Cb", "Gb", "Db", "Ab", "Eb", "Bb", "F", "C", "G", "D", "A", "E", "B", "F#", "C#", "Abm", "Ebm", "Bbm", "Fm", "Cm", "Gm", "Dm", "Am", "Em", "Bm", "F#m", "C#m", "G#m", "D#m", "A#m"]
+
+
+@query(f"SELECT s::INT AS sharps, m::INT AS minor, {_SIGNATURES}[(s + 8 + 15 * m)::INT] AS name FROM range(-7, 8) r(s), range(2) q(m), (SELECT 1 FROM region LIMIT 1)")
+def key_signatures(spark, d):
+    s = B.table(spark, d, "region").limit(1).select(F.explode(F.sequence(F.lit(-7), F.lit(7))).alias("sharps")).select("sharps", F.explode(F.array(F.lit(0), F.lit(1))).alias("minor"))
+    return s.select("sharps", "minor", music.key_signature(F.col("sharps"), F.col("minor")).alias("name"))
+
+
+@query("SELECT o_orderkey, (o_orderkey & 127) + ((o_orderkey >> 8) & 127) * 128 + ((o_orderkey >> 16) & 127) * 16384 + ((o_orderkey >> 24) & 127) * 2097152 AS value FROM orders")
+def synchsafe_reads(spark, d):
+    return B.table(spark, d, "orders").select("o_orderkey", Y.synchsafe(V.encode_value(F.col("o_orderkey"), "u32", True), 0).alias("value"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 256 BETWEEN 32 AND 126 THEN 'abc' || chr((o_orderkey % 256)::INT) ELSE 'hex:616263' || printf('%02x', o_orderkey % 256) END AS tag FROM orders")
+def safe_fourccs(spark, d):
+    raw = F.concat(F.encode(F.lit("abc"), "UTF-8"), V.encode_value(F.col("o_orderkey") % 256, "u8"))
+    return B.table(spark, d, "orders").select("o_orderkey", V.safe_fourcc(raw).alias("tag"))
+
+
+_QUERIES = {"alpha beta": True, "alpha AND": False, '"open': False, "(a OR b) c*": True, "NOT a": False, "title:x": True, "...": False, "a )": False}
+
+
+@query("SELECT q, ok FROM (VALUES " + ", ".join("('" + q.replace("'", "''") + f"', {str(ok).lower()})" for q, ok in _QUERIES.items()) + ") v(q, ok), (SELECT 1 FROM region LIMIT 1)")
+def syntax_messages(spark, d):
+    from tessera.operators import text
+
+    one = B.table(spark, d, "region").limit(1)
+    return one.select(F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.lit(text.message(q) is None).alias("ok")) for q in _QUERIES])).alias("r")).select("r.*")
+
+
+@query("SELECT n_nationkey, n_nationkey || ',' || n_name AS line FROM nation")
+def csv_lines(spark, d):
+    t = B.table(spark, d, "nation")
+    return t.select("n_nationkey", F.to_csv(F.struct("n_nationkey", "n_name")).alias("line"))
+
+
+@query("SELECT c_custkey, c_name || repeat(c_name[1:4], 3) AS text FROM customer")
+def unpacked_texts(spark, d):
+    """Literals and a match of the name's beginning, unpacked."""
+    from tessera.sources.formats import fastlz
+
+    def packed(k: int, name: str) -> bytes:
+        raw = name.encode()
+        # Literals in runs of up to 32, then a match of nine bytes and three literals; a match repeats four letters three times.
+        out = bytes([len(raw) - 1]) + raw
+        far = len(raw)
+        return out + bytes([2 << 5 | (far - 1) >> 8, far - 1 & 255]) + bytes([6 << 5, 3])
+
+    from tessera.sources import specimens as S
+
+    rows = S.built(B.table(spark, d, "customer"), "c_custkey", "c_name", packed)
+    return Y.each_value(rows, ["k"], ["content"], "text string", lambda x: iter([(fastlz(x).decode(),)])).select(F.col("k").alias("c_custkey"), "text")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, NOT (lower(n) LIKE '._%' ESCAPE '!' OR lower(n) IN ('.ds_store', 'thumbs.db', 'desktop.ini')) AS kept FROM (SELECT *, ['._a.wav', '.DS_Store', 'Thumbs.db', 'a.wav', 'b_.wav'][l_partkey % 5 + 1] AS n FROM lineitem)")
+def junk_names(spark, d):
+    from tessera.sources import walk
+
+    name = F.get(F.array(*map(F.lit, ["._a.wav", ".DS_Store", "Thumbs.db", "a.wav", "b_.wav"])), (F.col("l_partkey") % 5).cast("int"))
+    return B.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (~walk.junk(name)).alias("kept"))
