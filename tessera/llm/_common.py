@@ -71,6 +71,18 @@ def salted_lookup(left: DataFrame, right: DataFrame, key: str | list[str], salt_
     return salted.join(spread.hint("shuffle_merge") if grows else spread, [*([key] if isinstance(key, str) else key), "_salt"], "left").drop("_salt")
 
 
+def measured_lookup(left: DataFrame, right: DataFrame, key: str, salt_from: Column, share: int = 2000) -> DataFrame:
+    """Inner join on ``key`` with wide rows of ``right``, at most one a key: only keys of more than ``share`` rows of ``left`` are salted, by their counts.
+
+    ``left`` is read twice, so it should be a written table. There are at most as many such keys as ``left`` has rows by ``share``.
+    """
+    common = left.groupBy(key).agg(F.count("*").alias("_c")).where(F.col("_c") > share).select(key, F.ceil(F.col("_c") / share).cast("int").alias("_salts"))
+    one = F.coalesce("_salts", F.lit(1))
+    spread = right.join(common, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_salts")
+    salted = left.join(common, key, "left").withColumn("_salt", F.pmod(F.xxhash64(salt_from), one).cast("int")).drop("_salts")
+    return salted.join(spread.hint("shuffle_merge"), [key, "_salt"]).drop("_salt")
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes that the planner expects ``df`` to have, 0 where it doesn't know; used only to choose numbers of partitions."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, salted_lookup
+from ._common import materialise, measured_lookup
+
+
+#: Edges of a file.
+ROWS = 200_000
 
 
 def _stars(edges: DataFrame, by: str, other: str) -> DataFrame:
     """``by``, ``other``, ``m``: each row with the least of its key's others and the key itself."""
     least = edges.groupBy(by).agg(F.min(other).alias("_m"))
-    return salted_lookup(edges, least, by, F.col(other)).select(F.col(by).alias("_by"), F.col(other).alias("_other"), F.least(by, "_m").alias("_least"))
+    return measured_lookup(edges, least, by, F.col(other), 50_000).select(F.col(by).alias("_by"), F.col(other).alias("_other"), F.least(by, "_m").alias("_least"))
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -35,13 +39,16 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     the longest chain.
     """
     now = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
+    files = lambda rows: max(1, rows // ROWS)
 
     def print_of(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     seen = print_of(now)
     while seen[0]:
-        now = materialise(_small(_large(now)), "edges")
+        # As many files as the rows need: most rounds have few.
+        both = materialise(_large(now).coalesce(files(2 * seen[0])), "edges")
+        now = materialise(_small(both).coalesce(files(seen[0])), "edges")
         after = print_of(now)
         if after == seen:
             break

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, parallelism, salted_lookup
+from ._common import materialise, measured_lookup, parallelism, salted_lookup
 from ._graph import components
 
 #: Members from which a bucket is cut up again; members up to which pairs are compared by offsets.
@@ -31,8 +31,8 @@ BUCKET, SMALL = 4096, 8
 #: Cuts at most. With four groups each, 21 of 64 bits are free after four, so that no bucket can have more than two million different members.
 DEPTH = 4
 REFERENCES = 16
-#: Documents sampled for common shingles, and how many of these are put last.
-SAMPLE, HOT = 2048, 50_000
+#: Keys of a set of shingles, least hashes of a key, lowest hashes that a set is held by, and deviations of a share of equal ones that are allowed for.
+BANDS, ROWS, KEPT, SHY = 24, 4, 512, 4.3
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -221,66 +221,102 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int = 3,
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.coalesce("_component", "_id").alias("component_id"))
 
 
-def _sets(words: int, hot: np.ndarray, ratio: tuple[int, int]):
-    """Each document's set of shingles: its digest, its size and its least shingles, of which two similar sets share one."""
-    over, under = ratio
+def bands(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """A key for each band of a set's least hashes, and the lowest byte of each.
+
+    Sets of similarity s share a key with probability 1 - (1 - s**ROWS)**BANDS, and each byte with s or a little more.
+    """
+    least = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    shifts, factors = references(2 * BANDS * ROWS).reshape(2, -1)
+    for i in range(0, len(shingles), 2048):
+        x = (shingles[i : i + 2048, None] ^ shifts) * (factors | np.uint64(1))
+        np.minimum(least, x.min(axis=0), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(_MIX)
+    for j in range(ROWS):
+        key = (key ^ rows[:, j]) * np.uint64(0xBF58476D1CE4E5B9)
+        key ^= key >> np.uint64(31)
+    return key.view(np.int64), (least & np.uint64(255)).astype(np.uint8).tobytes()
+
+
+def _sets(words: int):
+    """Each document's set of shingles: its digest, fingerprint, size and bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, prints, sizes, keys = [], [], [], []
+            digests, prints, sizes, keys, marks = [], [], [], [], []
             for x in batch.column(1):
                 listed = hashes(x.as_py() or "", words)
                 shingles = np.unique(listed)
-                n = len(shingles)
                 digests.append(xxhash.xxh64_intdigest(shingles.tobytes(), 7))
                 prints.append(_majority(listed))
-                sizes.append(n)
-                # Any order that is the same for all sets will do; that common shingles come last keeps groups small.
-                late = hot[np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)] == shingles if len(hot) else np.zeros(n, bool)
-                order = np.concatenate([shingles[~late], shingles[late]])
-                keys.append(order[: n - -(-over * n // under) + 1 if n else 0].view(np.int64))
-            offsets = np.cumsum([0, *map(len, keys)])
+                sizes.append(len(shingles))
+                key, mark = bands(shingles)
+                keys.append(key)
+                marks.append(mark)
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             arrays = [np.array(digests, np.uint64).view(np.int64), np.array(prints, np.uint64).view(np.int64), np.array(sizes, np.int32)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, arrays), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["_id", "_set", "_fp", "_n", "_keys"])
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * BANDS, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, arrays), listed, pa.array(marks, pa.binary())], ["_id", "_set", "_fp", "_n", "_keys", "_marks"])
 
     return run
 
 
-def _hot(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles that several documents of a sample have; they decide the order of shingles only, never what is found."""
-    n = docs.count()
+def _lowest(words: int):
+    """The lowest halves of a set's hashes, sorted, KEPT of them at most: all of a small set, a sketch of a large one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.unique(hashes(x.as_py() or "", words)) for x in batch.column(0)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["_key"])
+        for key, shingles in _shingles(batches, words):
+            low = np.unique(shingles.astype(np.uint32))[:KEPT]
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([low.tobytes()], pa.binary())], ["_set", "_low"])
 
-    part = max(1, n // SAMPLE)
-    found = docs.where(F.pmod(F.xxhash64("_id"), F.lit(part)) == 0).select("_text").mapInArrow(run, "_key bigint")
-    rows = found.groupBy("_key").count().where("count > 2").orderBy(F.desc("count"), "_key").limit(HOT).select("_key").collect()
-    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+    return run
 
 
 def _cross(ratio: tuple[int, int]):
-    """Pairs of a shingle's documents that no links join yet and whose sizes and places of the shingle allow the similarity."""
-    over, under = ratio
+    """Pairs of a band's documents that no links join yet and that may be similar, each at the first band that the two share.
 
-    def pairs(keys: np.ndarray, sets: np.ndarray, sizes: np.ndarray, places: np.ndarray, roots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    Sizes must allow it; then the share of equal marks, of which there are BANDS * ROWS, and of equal lowest hashes may fall short of it by SHY deviations
+    of such a share. Of sets that have all their hashes among the lowest, that share is the similarity itself and may not fall short.
+    """
+    over, under = ratio
+    wanted = over / under
+
+    def allowed(size):
+        return wanted - SHY * np.sqrt(wanted * (1 - wanted) / size)
+
+    def alike(low: list[np.ndarray], i: int, j: np.ndarray) -> np.ndarray:
+        """Which of the sets have enough of the lowest hashes in common with set i."""
+        mine, good = low[i], np.zeros(len(j), bool)
+        for at, other in enumerate(j.tolist()):
+            theirs = low[other]
+            cut = min((x[-1] for x in (mine, theirs) if len(x) == KEPT), default=None)
+            a, b = (mine, theirs) if cut is None else (mine[mine <= cut], theirs[theirs <= cut])
+            place = np.searchsorted(a, b)
+            both = int((a[np.minimum(place, len(a) - 1)] == b).sum()) if len(a) and len(b) else 0
+            whole = len(a) + len(b) - both
+            good[at] = under * both >= over * whole if cut is None else both >= allowed(whole) * whole
+        return good
+
+    def pairs(keys, sets, sizes, roots, marks, bands_, low) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         ones, twos, held = [], [], 0
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
             order = a + np.argsort(sizes[a:b], kind="stable")
-            n, root, rest, name = sizes[order], roots[order], sizes[order] - places[order], sets[order]
+            n, root = sizes[order], roots[order]
             for i in range(len(order) - 1):
-                end = int(np.searchsorted(n, n[i] * under // over, "right"))
-                # If this is the first shingle that two sets share, no more than what follows it is shared.
-                j = np.arange(i + 1, end)
-                j = j[(root[j] != root[i]) & ((over + under) * np.minimum(rest[j], rest[i]) >= over * (n[j] + n[i]))]
+                j = np.arange(i + 1, int(np.searchsorted(n, n[i] * under // over, "right")))
+                j = order[j[root[j] != root[i]]]
+                if len(j):
+                    shared = bands_[j] == bands_[order[i]]
+                    j = j[bands_[order[i]][shared.argmax(axis=1)] == keys[a]]
+                if len(j):
+                    j = j[(marks[j] == marks[order[i]]).mean(axis=1) >= allowed(BANDS * ROWS)]
                 if len(j):
-                    ones.append(np.minimum(name[j], name[i]))
-                    twos.append(np.maximum(name[j], name[i]))
+                    j = j[alike(low, order[i], j)]
+                if len(j):
+                    ones.append(np.minimum(sets[j], sets[order[i]]))
+                    twos.append(np.maximum(sets[j], sets[order[i]]))
                     held += len(j)
                 if held > 1 << 16:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ones, twos)], ["a", "b"])
@@ -288,14 +324,21 @@ def _cross(ratio: tuple[int, int]):
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ones, twos)], ["a", "b"])
 
+    def read(batch: pa.RecordBatch) -> list:
+        now = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
+        now.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(batch.num_rows, -1))
+        now.append(batch.column(5).flatten().to_numpy().reshape(batch.num_rows, -1))
+        return [*now, [np.frombuffer(x, np.uint32) for x in batch.column(6).to_pylist()]]
+
+    def joined(x, y):
+        return x + y if isinstance(x, list) else np.concatenate([x, y])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last shingle's documents may go on in the next batch
+        held = None  # the last band's documents may go on in the next batch
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            now = read(batch) if held is None else [joined(x, y) for x, y in zip(held, read(batch), strict=True)]
             new = np.flatnonzero(now[0][1:] != now[0][:-1])
             cut = int(new[-1]) + 1 if len(new) else 0
             if cut:
@@ -307,25 +350,36 @@ def _cross(ratio: tuple[int, int]):
     return run
 
 
+def _shingles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Digest and shingles of each row's text (digest, text); other texts of the same id have other sets and are passed over."""
+    for batch in batches:
+        for key, x in zip(batch.column(0), batch.column(1), strict=True):
+            shingles = np.unique(hashes(x.as_py() or "", words))
+            if xxhash.xxh64_intdigest(shingles.tobytes(), 7) == key.as_py() % (1 << 64):
+                yield key.as_py(), shingles
+
+
+def _texts_of(wanted: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
+    """``_set`` and ``_text`` of sets, from the documents that they were first seen in."""
+    return wanted.join(firsts, "_set").select("_set", F.col("_first").alias("_id")).join(docs, "_id").select("_set", "_text")
+
+
 def _similar(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, words: int, ratio: tuple[int, int]) -> DataFrame:
     """Those of the pairs ``a``, ``b`` of sets that have the Jaccard similarity, counted on the sets themselves."""
     over, under = ratio
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, x in zip(batch.column(0), batch.column(1), strict=True):
-                shingles = np.unique(hashes(x.as_py() or "", words))
-                # Other texts of the same id have other sets.
-                if xxhash.xxh64_intdigest(shingles.tobytes(), 7) == key.as_py() % (1 << 64):
-                    flat = pa.ListArray.from_arrays(pa.array([0, len(shingles)], pa.int32()), pa.array(shingles.view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], pa.int64()), flat], ["_set", "_all"])
+        for key, shingles in _shingles(batches, words):
+            flat = pa.ListArray.from_arrays(pa.array([0, len(shingles)], pa.int32()), pa.array(shingles.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), flat], ["_set", "_all"])
 
     pairs = materialise(pairs.distinct(), "candidates")
     wanted = pairs.select(F.col("a").alias("_set")).unionByName(pairs.select(F.col("b").alias("_set"))).distinct()
-    texts = wanted.join(firsts, "_set").select("_set", F.col("_first").alias("_id")).join(docs, "_id").select("_set", "_text")
-    sets = materialise(texts.mapInArrow(run, "_set bigint, _all array<bigint>").dropDuplicates(["_set"]), "sets")
-    one = salted_lookup(pairs, sets.select(F.col("_set").alias("a"), F.col("_all").alias("_a")), "a", F.col("b"))
-    both = salted_lookup(one, sets.select(F.col("_set").alias("b"), F.col("_all").alias("_b")), "b", F.col("a"))
+    sets = materialise(_texts_of(wanted, firsts, docs).mapInArrow(run, "_set bigint, _all array<bigint>").dropDuplicates(["_set"]), "sets")
+    # The lesser set of a pair may be in many pairs, the other one too; their shingles are joined to each pair where it is.
+    one = sets.select(F.col("_set").alias("a"), F.col("_all").alias("_a"))
+    two = sets.select(F.col("_set").alias("b"), F.col("_all").alias("_b"))
+    both = measured_lookup(pairs, one, "a", F.col("b")).join(two.hint("shuffle_merge"), "b")
     both = both.withColumn("_c", F.size(F.array_intersect("_a", "_b")))
     return both.where(under * F.col("_c") >= over * (F.size("_a") + F.size("_b") - F.col("_c"))).select("a", "b")
 
@@ -333,39 +387,46 @@ def _similar(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, words: int, r
 def similar_documents(docs: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: str = "0.8", radius: int = 3) -> DataFrame:
     """``id_col`` and ``component_id`` (least id reachable over links): linked are documents whose sets of shingles have a Jaccard similarity of at least ``similarity``.
 
-    Fingerprints within ``radius`` bits propose pairs, but fingerprints alone miss most copies that differ. So each set also stands
-    under the first n - ceil(similarity * n) + 1 of its n shingles in one order of all: two similar sets share one of these. Every shingle's
-    sets meet the least of them first; then all pairs that no link joins yet. All proposed pairs are verified, so the components are exactly
-    those of all pairs (of 64-bit hashes). Texts without words are alike. Rows with a null id are left out.
+    Fingerprints within ``radius`` bits propose pairs, but fingerprints alone miss most copies that differ. So each set also has BANDS keys
+    made of ROWS least hashes each: two sets at 0.8 share one of them with a probability of 0.999997, more alike ones with a greater one. Every key's
+    sets are held against one of them first; then all pairs that no link joins yet are, but those whose least hashes show that they are less alike
+    (of pairs at 0.8, this leaves out one in 100,000). All proposed pairs are verified by counting their (64-bit hashed) shingles. Texts without words are alike. Rows with a null id are left out. A very long text is one value in one task.
     """
     part = Fraction(similarity)
     ratio = over, under = part.numerator, part.denominator
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_id is not null")
     kind = dict(docs.dtypes)["_id"]
-    scanned = materialise(docs.mapInArrow(_sets(words, _hot(docs, words), ratio), f"_id {kind}, _set bigint, _fp bigint, _n int, _keys array<bigint>"), "shingle-sets")
-    reps = materialise(scanned.groupBy("_set").agg(F.min("_id").alias("_first"), F.first("_fp").alias("_fp"), F.first("_n").alias("_n"), F.first("_keys").alias("_keys")), "distinct-sets")
+    scanned = materialise(docs.mapInArrow(_sets(words), f"_id {kind}, _set bigint, _fp bigint, _n int, _keys array<bigint>, _marks binary"), "shingle-sets")
+    reps = materialise(scanned.groupBy("_set").agg(F.min("_id").alias("_first"), F.first("_fp").alias("_fp"), F.first("_n").alias("_n"), F.first("_keys").alias("_keys"), F.first("_marks").alias("_marks")), "distinct-sets")
     firsts = reps.select("_set", "_first")
-    # What fingerprints propose: the sets of one class of fingerprints with the least of them.
-    found = components(links(materialise(with_table(reps.select("_fp").distinct()), "distinct"), radius), "a", "b").select(F.col("node").alias("_fp"), F.col("root").alias("_root"))
-    classes = reps.select("_set", "_fp", "_n").join(found, "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
-    least = classes.groupBy("_root").agg(F.min("_set").alias("_least"))
-    near = salted_lookup(classes, least, "_root", F.col("_set")).where("_set <> _least").select(F.col("_least").alias("a"), F.col("_set").alias("b"))
-    # What shingles propose.
-    seats = reps.select("_set", "_n", F.posexplode("_keys").alias("_pos", "_key"))
-    shared = seats.groupBy("_key").agg(F.count("*").alias("_c"), F.min(F.struct("_set", "_n")).alias("_least")).where("_c > 1").select("_key", "_least")
-    groups = materialise(salted_lookup(seats, shared, "_key", F.col("_set")).where("_least is not null").select("_key", "_set", "_n", "_pos", "_least"), "shared-shingles")
-    fits = under * F.least("_n", "_least._n") >= over * F.greatest("_n", "_least._n")
-    stars = groups.where((F.col("_set") != F.col("_least._set")) & fits).select(F.col("_least._set").alias("a"), F.col("_set").alias("b"))
-    linked = materialise(_similar(near.unionByName(stars), firsts, docs, words, ratio), "similar")
-    joined = components(linked, "a", "b").select(F.col("node").alias("_set"), F.col("root").alias("_root"))
-    now = salted_lookup(groups.drop("_least"), joined, "_set", F.col("_key")).withColumn("_root", F.coalesce("_root", "_set"))
-    now = materialise(now, "shingle-groups")
+    # What fingerprints propose: sets of one fingerprint with the least of them, and the least ones of linked fingerprints.
+    prints = materialise(with_table(reps.groupBy("_fp").agg(F.min("_set").alias("_least"))), "distinct")
+    one, two = (prints.select(F.col("_fp").alias(x), F.col("_least").alias(f"_{x}")) for x in "ab")
+    near = links(prints.select("_fp", "_table"), radius).join(one, "a").join(two, "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    same = salted_lookup(reps.select("_set", "_fp"), prints.select("_fp", "_least"), "_fp", F.col("_set")).where("_set <> _least").select(F.col("_least").alias("a"), F.col("_set").alias("b"))
+    # What bands propose.
+    seats = reps.select("_set", "_n", F.explode("_keys").alias("_key"))
+    # One member of each key, drawn by a hash, is the hub that all others are held against; other keys of the same sets have other ones.
+    drawn = F.struct(F.xxhash64("_key", "_set").alias("h"), "_set", "_n")
+    shared = seats.groupBy("_key").agg(F.count("*").alias("_c"), F.min(drawn).alias("_hub")).where("_c > 1").select("_key", "_hub")
+    groups = materialise(salted_lookup(seats, shared, "_key", F.col("_set")).where("_hub is not null").select("_key", "_set", "_n", "_hub"), "shared-bands")
+    fits = under * F.least("_n", "_hub._n") >= over * F.greatest("_n", "_hub._n")
+    stars = groups.where((F.col("_set") != F.col("_hub._set")) & fits).select(F.least("_hub._set", "_set").alias("a"), F.greatest("_hub._set", "_set").alias("b"))
+    linked = materialise(_similar(near.unionByName(same).unionByName(stars), firsts, docs, words, ratio), "similar")
+    joined = materialise(components(linked, "a", "b").select(F.col("node").alias("_set"), F.col("root").alias("_root")), "joined")
+    now = salted_lookup(groups.drop("_hub"), joined, "_set", F.col("_key")).withColumn("_root", F.coalesce("_root", "_set"))
+    now = materialise(now, "band-groups")
     apart = now.groupBy("_key").agg(F.min("_root").alias("_u"), F.max("_root").alias("_v")).where("_u <> _v").select("_key")
-    rows = now.join(apart, "_key", "left_semi").select("_key", "_set", "_n", "_pos", "_root")
+    rows = materialise(now.join(apart, "_key", "left_semi").select("_key", "_set", "_n", "_root"), "apart")
+    low = materialise(_texts_of(rows.select("_set").distinct(), firsts, docs).mapInArrow(_lowest(words), "_set bigint, _low binary").dropDuplicates(["_set"]), "lowest")
+    rows = rows.join(reps.select("_set", "_marks", "_keys"), "_set").join(low, "_set").select("_key", "_set", "_n", "_root", "_marks", "_keys", "_low")
     dealt = rows.repartition(parallelism(now, 4 << 20), "_key").sortWithinPartitions("_key")
     rest = _similar(dealt.mapInArrow(_cross(ratio), "a bigint, b bigint"), firsts, docs, words, ratio)
-    whole = components(linked.unionByName(rest), "a", "b").select(F.col("node").alias("_set"), F.col("root").alias("_root"))
-    named = firsts.join(whole, "_set", "left").withColumn("_root", F.coalesce("_root", "_set"))
+    # What is linked late joins components that are known: the graph of their roots is all that is left.
+    root = lambda side: joined.select(F.col("_set").alias(side), F.col("_root").alias(f"_{side}"))
+    late = rest.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    above = components(late, "a", "b").select(F.col("node").alias("_root"), F.col("root").alias("_top"))
+    named = firsts.join(joined, "_set", "left").withColumn("_root", F.coalesce("_root", "_set")).join(above, "_root", "left").withColumn("_root", F.coalesce("_top", "_root"))
     ids = named.groupBy("_root").agg(F.min("_first").alias("_component"))
     named = materialise(salted_lookup(named, ids, "_root", F.col("_set")).select("_set", "_component"), "classes")
     out = salted_lookup(scanned.select("_id", "_set"), named, "_set", F.col("_id"))

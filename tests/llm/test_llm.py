@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tessera.llm import ann, bpe, langid, lines, mixing, simhash, substrings, topk, toxicity, warc
-from tessera.llm._common import scratch_path
+from tessera.llm._common import measured_lookup, scratch_path, shared_dir
 from tessera.llm._graph import components
 
 LONG = "lorem ipsum dolor sit amet " * 8000
@@ -585,3 +585,30 @@ def test_index_prunes(monkeypatch):
         found = set(zip(q.tolist(), ids.tolist(), strict=True))
         assert sum((i, int(j)) in found for i, row in enumerate(best) for j in row) >= 0.9 * best.size
         assert work < most * n * len(asked)
+
+
+# Shared helpers
+
+
+def test_measured_lookup_is_a_join(spark):
+    """A key with most of the rows, and keys that are missing on either side."""
+    left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(3000)], "k bigint, v bigint")
+    right = spark.createDataFrame([(i, f"r{i}") for i in range(0, 3000, 2)] + [(1, "r1")], "k bigint, r string")
+    want = rows_of(left.join(right, "k").select("k", "v", "r"))
+    assert rows_of(measured_lookup(left, right, "k", F.col("v"), 50).select("k", "v", "r")) == want and len(want) > 1500
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace as Made
+
+    def session(master, named=None, told=None):
+        checkpoint = Made(isDefined=lambda: told is not None, get=lambda: told)
+        context = Made(getConf=lambda: Made(get=lambda key, none=None: named), _jsc=Made(sc=lambda: Made(getCheckpointDir=lambda: checkpoint)), master=master, applicationId="test")
+        return Made(sparkContext=context, conf=Made(get=lambda key, none=None: None))
+
+    assert shared_dir(session("spark://x", "file:///shared")) == "file:///shared"
+    assert shared_dir(session("spark://x", None, "hdfs://told")) == "hdfs://told"
+    for master in ("spark://x", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master))
+    assert shared_dir(session("local[2]")).startswith("/")
