@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,18 +87,24 @@ class Index:
         self.weights = [np.array([w for _, w in p]) for p in postings]
         self.cuts = [np.searchsorted(r, np.arange(blocks + 1) * BLOCK) for r in self.rows]
         self.knots, self.levels = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-        self.reliability = self._calibrate([r[3:] for r in rows], empty, shares)
+        self.vectors, self.empty, self.shares = [r[3:] for r in rows], [float(r[2]) for r in empty], shares
+        self.reliability: list[tuple[float, float, float]] = []
 
-    def _calibrate(self, vectors: list, empty: list, shares: tuple[float, float]) -> list[tuple[float, float, float]]:
+    def left_out(self, n: int) -> float:
+        """The raw score of an example, itself left out of its neighbours."""
+        return self._raw(*self.vectors[n], n)[0]
+
+    def calibrate(self, left_out: list[float]) -> None:
         """Fits the map from raw scores to probabilities: the monotone one of least squares over all examples, weighted by what they stand for.
 
-        Returns its steps: (mean raw score, rate of label 1, weight).
+        left_out: left_out() of each example. ``reliability`` then has the steps: (mean raw score, rate of label 1, weight).
         """
-        raw = [self._raw(ids, weights, n)[0] for n, (ids, weights) in enumerate(vectors)] + [self.without] * len(empty)
-        labels = np.r_[self.labels, [float(r[2]) for r in empty]]
+        empty, shares = self.empty, self.shares
+        raw = [*left_out] + [self.without] * len(empty)
+        labels = np.r_[self.labels, empty]
         worth = np.where(labels > 0, shares[1], shares[0])
         if not len(raw) or not worth.sum():
-            return []
+            return
         order = np.argsort(raw, kind="stable")
         pools: list[list[float]] = []  # weight, weighted labels, weighted scores
         for x, y, w in zip(np.array(raw)[order], labels[order], worth[order], strict=True):
@@ -108,7 +114,8 @@ class Index:
                 pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
         self.knots = np.array([p[2] / p[0] for p in pools])
         self.levels = np.array([p[1] / p[0] for p in pools])
-        return [(float(x), float(y), p[0]) for x, y, p in zip(self.knots, self.levels, pools, strict=True)]
+        self.reliability = [(float(x), float(y), p[0]) for x, y, p in zip(self.knots, self.levels, pools, strict=True)]
+        self.vectors = []
 
     def calibrated(self, raw: float) -> float:
         return float(np.interp(raw, self.knots, self.levels))
@@ -220,7 +227,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     rows = sample.mapInArrow(project, f"_id {dict(sample.dtypes)['_id']}, _label int, _terms array<string>, _counts array<int>").collect()
     rows.sort(key=lambda r: r["_id"])
     examples = [(r["_id"], r["_label"], dict(zip(r["_terms"], r["_counts"], strict=True))) for r in rows]
-    return Index(vocabulary, examples, (counts.get(0, 0) / max(1, total[0] - 1), counts.get(1, 0) / max(1, total[1] - 1)))
+    index = Index(vocabulary, examples, (counts.get(0, 0) / max(1, total[0] - 1), counts.get(1, 0) / max(1, total[1] - 1)))
+    index.calibrate(_left_out(docs.sparkSession, index))
+    return index
+
+
+def _left_out(spark: SparkSession, index: Index) -> list[float]:
+    """left_out() of all examples, whose number is the sample's, worked out by the executors."""
+    shared = spark.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shared.value.left_out(n) for n in batch.column(0).to_pylist()], pa.float64())], ["id", "raw"])
+
+    n = len(index.vectors)
+    rows = spark.range(0, n, 1, max(1, n // 250)).mapInArrow(run, "id bigint, raw double").collect()
+    return [r["raw"] for r in sorted(rows)]
 
 
 def score(docs: DataFrame, index: Index, id_col: str, text_col: str, evidence: bool = False, keep_columns: bool = False, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:

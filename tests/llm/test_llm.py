@@ -439,6 +439,7 @@ def test_toxicity_votes_against_brute_force():
     examples += [(1000 + i, i % 2, examples[7][2]) for i in range(20)]  # equal vectors with both labels
     shares = (1.5, 2.5)
     index = toxicity.Index(vocabulary, examples, shares)
+    index.calibrate([index.left_out(n) for n in range(len(index.vectors))])
     at = {k: i for i, k in enumerate(index.keys.tolist())}
     dense = np.zeros((len(at), 40))
     label = np.zeros(len(at))
