@@ -27,12 +27,12 @@ def read_typed(data: Column, offset: Column | int, kind: str, big_endian: bool =
     """An integer at an offset; null where it isn't whole. Of 64 bits it is a decimal."""
     n = WIDTHS[kind]
     at = F.lit(offset) if isinstance(offset, int) else offset
+    # Each step names the one before it once, so that the data's expression isn't repeated for every byte.
     digits = F.hex(F.substring(data, at + 1, F.lit(n)))
-    if not big_endian:
-        digits = F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(n))])
-    digits = F.when(F.length(digits) == 2 * n, digits)
+    if not big_endian and n > 1:
+        digits = F.array_join(F.reverse(F.regexp_extract_all(digits, F.lit("(..)"), 1)), "")
     wide = "decimal(20,0)" if n == 8 else "bigint"
-    value = F.conv(digits, 16, 10).cast(wide)
+    value = F.conv(F.regexp_extract(digits, f"^.{{{2 * n}}}$", 0), 16, 10).cast(wide)
     if kind[0] == "i":
         value = F.when(value >= F.lit(1 << (8 * n - 1)).cast(wide), value - F.lit(1 << (8 * n)).cast("decimal(20,0)" if n == 8 else "bigint")).otherwise(value)
     return value
