@@ -19,6 +19,7 @@ from tessera.functions.values import crc8, crc16, runs_of
 from tessera.operators import signals
 from tessera.sources import audio, walk
 from tessera.sources.chunks import number, printable
+from tessera.sources.scratch import materialise
 
 #: Magics that are swept for, formats that count, and how far a header may be from its audio.
 MAGICS = (b"RIFF", b"RF64", b"FORM", b"fLaC", b"OggS", b"ID3", b"MThd")
@@ -162,7 +163,8 @@ def located(rows: DataFrame, key: str, data: str, mode: str = "normal") -> DataF
     """Regions of audio in each image: containers, streams and blobs; blobs and streams that lie in a container for a half or more go, near blobs are one."""
     from tessera.operators import ordered
 
-    records = each_value(rows, [key], [data], FOUND, found_in)
+    # Images are read once; what is found in them is small.
+    records = materialise(each_value(rows, [key], [data], FOUND, found_in), "found")
     solid = records.where("kind = 'container'")
     rest = records.where("kind <> 'container'")
     blobs, runs = rest.where("kind = 'blob'"), rest.where("kind = 'stream'")

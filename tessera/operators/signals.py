@@ -32,8 +32,7 @@ def lag_correlations(x: np.ndarray, lags: tuple[int, ...] = LAGS) -> np.ndarray:
 
 def _entropies(windows: np.ndarray) -> np.ndarray:
     n, size = windows.shape
-    counts = np.zeros((n, 256))
-    np.add.at(counts, (np.repeat(np.arange(n), size), windows.ravel()), 1)
+    counts = np.bincount((np.arange(n)[:, None] * 256 + windows).ravel(), minlength=256 * n).reshape(n, 256).astype(np.float64)
     log = np.log2(np.where(counts > 0, counts, 1))
     kinds = (counts > 0).sum(axis=1)
     return np.clip(np.log2(size) - (counts * log).sum(axis=1) / size, 0, np.log2(kinds))
