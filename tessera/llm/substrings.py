@@ -31,7 +31,9 @@ from ._common import materialise, parallelism, salted_lookup
 #: Bytes of a K-gram. A window has length - K + 1 of them.
 K = 20
 #: Anchors that a task gathers before it passes them on, bytes of text that are laid side by side, and positions worked on at once.
-GATHER, PIECE, STRETCH = 400_000, 2 << 20, 1 << 16
+GATHER, PIECE, STRETCH = 300_000, 1 << 20, 1 << 16
+#: Rows of texts that are unpacked at once.
+SLICE = 512
 #: Contexts of a K-gram in one gathering that make it a common one; and contexts of a K-gram whose suffixes are sorted in one task at most.
 MARK, HOT = 256, 4096
 #: Values of _salt: a mark of a common K-gram, an ordinary row, parts of a common K-gram from 1 on, and settled rows.
@@ -131,6 +133,13 @@ def _bytes(value) -> bytes:
     return x if isinstance(x, bytes) else (x or "").encode("utf-8", "surrogatepass")
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of SLICE rows at most, so that few texts are unpacked at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE):
+            yield batch.slice(i, SLICE)
+
+
 def _pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     """Runs of texts of about PIECE bytes: (from, to)."""
     start = held = 0
@@ -184,7 +193,7 @@ def _scan(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        for batch in batches:
+        for batch in _sliced(batches):
             ids, texts = batch.column(0).to_numpy(), [_bytes(x) for x in batch.column(1)]
             for i, j in _pieces(texts):
                 flat = Flat(texts[i:j], length)
@@ -328,7 +337,7 @@ def _contexts(length: int):
     reach = 2 * length - K
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             ids, texts = batch.column(0).to_numpy(), [_bytes(x) for x in batch.column(1)]
             seats = batch.column(2).flatten().to_numpy()
             ends = np.r_[0, np.cumsum(batch.column(2).value_lengths().to_numpy())]
@@ -446,7 +455,7 @@ def _cut(length: int, keep: bool):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             texts = [_bytes(x) for x in batch.column(1)]
             flags = batch.column(2)
             sizes = np.array([0 if x is None else x for x in flags.value_lengths().to_pylist()], np.int64)
@@ -498,15 +507,17 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, length: int = 50
     # Texts are dealt to documents once; each join below and the last one read the same shuffle.
     dealt = known.repartition(n, "_id")
 
-    def contexts(rows: DataFrame) -> DataFrame:
+    def contexts(rows: DataFrame, made=_contexts(length), schema: str = _CONTEXTS) -> DataFrame:
         wanted = rows.groupBy(F.col("_doc").alias("_id")).agg(F.collect_list("_seat").alias("_open"))
-        return dealt.join(wanted.hint("shuffle_hash"), "_id").select("_id", "_text", "_open").mapInArrow(_contexts(length), _CONTEXTS)
+        return dealt.join(wanted.hint("shuffle_hash"), "_id").select("_id", "_text", "_open").mapInArrow(made, schema)
 
     flags = grouped.where("not _open").select("_doc", "_seat", F.lit(-1).cast("bigint").alias("_mask"))
     if not hot.isEmpty():
         looked = materialise(salted_lookup(is_open, hot, "_gram", F.col("_ctx"), grows=False).select("_doc", "_seat", "_gram", "_hot"), "open")
         is_open = looked.where("_hot is null")
-        spread = contexts(looked.where("_hot")).mapInArrow(_spread(length), "_window binary, _doc bigint, _mask bigint, _seats array<bigint>")
+        found, spreading = _contexts(length), _spread(length)
+        # One after the other in one worker: two workers a task would hold twice the memory.
+        spread = contexts(looked.where("_hot"), lambda batches: spreading(found(batches)), "_window binary, _doc bigint, _mask bigint, _seats array<bigint>")
         least = spread.groupBy("_window").agg(F.min("_doc").alias("_least"), F.max("_doc").alias("_most")).where("_least < _most").select("_window", "_least")
         flags = flags.unionByName(salted_lookup(spread, least, "_window", F.col("_doc")).where("_doc > _least").select("_doc", F.explode("_seats").alias("_seat"), "_mask"))
     compared = contexts(is_open).repartition(n, "_gram").sortWithinPartitions("_gram").mapInArrow(_compare(length), _HITS)
