@@ -49,14 +49,23 @@ def clear(spark: SparkSession) -> int:
     return done
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, passing: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
 
     Lost executors cost nothing afterwards, and unlike a checkpointed RDD the table keeps exact
-    sizes for the join planner, column pruning and compression.
+    sizes for the join planner, column pruning and compression. What is shuffled stays on disk until
+    the driver happens to collect garbage; where it is ``passing`` it goes as soon as the table is written.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    if passing:
+        conf.set(name, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if passing:
+            conf.unset(name) if before is None else conf.set(name, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,12 +7,16 @@ content alone (the least hash of the K-grams in it), so equal windows pick the s
 1. Where documents are read, anchors are listed: hash of the K-gram, and of the context, which is all that the windows that may pick the
    anchor can reach. Anchors of equal context have equal windows, so all but those of the smallest document are repeated whole.
    What a task sees of them is settled there. Contexts count as equal by 96 bits of hash (besides the 64 of the K-gram): a billion
-   different contexts of one K-gram clash with a probability of about 1e-11.
-2. Spark sorts the rest by K-gram and context, and each task settles what it reads in passing. Anchors of a K-gram with one
-   context only are done; of the others, contexts' bytes are fetched, once for each context and document.
+   different contexts of one K-gram clash with a probability of about 1e-11. Anchors are listed in ROUNDS, a share of the K-grams each,
+   and what a round has shuffled goes before the next one.
+2. Spark sorts the rest by K-gram and context, and each task settles what it reads in passing. Two contexts of a K-gram that have a
+   window in common agree on about half of the window's other bytes right before the K-gram or right after it; hashes of both sides are
+   listed, and anchors that no other document agrees with on either are done. (K-grams meet by chance the oftener the larger the input
+   is.) Of the others, contexts' bytes are fetched, once for each context and document.
 3. Within each K-gram, the suffixes that start at the windows are sorted by their bytes. The previous and the next position of a smaller
    document in that order give the longest previous factor, which is measured on the bytes. Where a K-gram has more than HOT contexts,
-   its suffixes aren't sorted in one task: Spark groups them by their bytes and finds each group's smallest document.
+   its windows are grouped by the side whose bytes they hold too; where even such a group has more, its suffixes aren't sorted in one
+   task: Spark groups them by their bytes and finds each group's smallest document.
 4. Each document's repeated windows are merged into runs and cut out.
 """
 
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +35,8 @@ from ._common import materialise, parallelism, salted_lookup
 
 #: Bytes of a K-gram. A window has length - K + 1 of them.
 K = 20
+#: Rounds that the anchors are listed in: so much less is shuffled at a time, and texts are read so often.
+ROUNDS = 2
 #: Anchors that a task gathers before it passes them on, bytes of text that are laid side by side, and positions worked on at once.
 GATHER, PIECE, STRETCH = 300_000, 1 << 20, 1 << 16
 #: Rows of texts that are unpacked at once.
@@ -122,6 +129,18 @@ class Flat:
         b = (b ^ (b >> np.uint64(32))) * _FACTORS[1]
         return a ^ (a >> np.uint64(32)), b >> np.uint64(32)
 
+    def sides(self, at: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        """32 bits of hash each of the K-gram with the bytes before it, and with those after it: every window of the anchor has the ones or the others."""
+        left = self.before // 2
+        right = self.before - left + 1
+        a, b = gram.copy(), gram.copy()
+        for x, offsets in ((a, range(-left, 0, 8)), (b, range(K + right - 8, K - 8, -8))):  # a word may reach into the K-gram
+            for j in offsets:
+                x ^= self.words[at + j]
+                x *= _FACTORS[2]
+                x ^= x >> np.uint64(31)
+        return (a & ~_LOW) | (b >> np.uint64(32))
+
     def seats(self, at: np.ndarray, owner: np.ndarray):
         """Hash of the context, and the seat: the anchor's place in its text and 32 more bits of its context's hash."""
         context, check = self.contexts(at, owner)
@@ -152,12 +171,12 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-_LISTED = "_gram bigint, _salt int, _ctx bigint, _doc bigint, _seat bigint"
+_LISTED = "_gram bigint, _salt int, _ctx bigint, _doc bigint, _seat bigint, _sides bigint"
 
 
-def _rows(gram, salt, ctx, doc, seat) -> pa.RecordBatch:
-    arrays = [pa.array(gram.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(ctx.view(np.int64)), pa.array(doc), pa.array(seat)]
-    return pa.RecordBatch.from_arrays(arrays, ["_gram", "_salt", "_ctx", "_doc", "_seat"])
+def _rows(gram, salt, ctx, doc, seat, sides) -> pa.RecordBatch:
+    arrays = [pa.array(gram.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(ctx.view(np.int64)), pa.array(doc), pa.array(seat), pa.array(sides.view(np.int64))]
+    return pa.RecordBatch.from_arrays(arrays, ["_gram", "_salt", "_ctx", "_doc", "_seat", "_sides"])
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -173,14 +192,14 @@ def _last_start(first: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
 
 
-def _scan(length: int):
-    """Step 1: documents in, listed anchors out; of equal contexts in one gathering only the smallest document's stay listed."""
+def _scan(length: int, part: int):
+    """Step 1: documents in, a round's listed anchors out; of equal contexts in one gathering only the smallest document's stay listed."""
 
     def passed(parts) -> pa.RecordBatch:
-        doc, gram, ctx, seat = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        doc, gram, ctx, seat, sides = (np.concatenate([p[i] for p in parts]) for i in range(5))
         order = np.argsort(doc, kind="stable")
         order = order[np.argsort(((gram & ~_LOW) | (ctx >> np.uint64(32)))[order], kind="stable")]
-        doc, gram, ctx, seat = doc[order], gram[order], ctx[order], seat[order]
+        doc, gram, ctx, seat, sides = doc[order], gram[order], ctx[order], seat[order], sides[order]
         first = _starts(gram, ctx, seat & np.int64(0xFFFFFFFF))
         own = doc == doc[_last_start(first)]
         run = np.cumsum(_starts(gram)) - 1
@@ -189,7 +208,7 @@ def _scan(length: int):
         salt[~own] = SETTLED + doc[~own] % PARTS
         marks = np.unique(gram[common[run]])
         none = np.zeros(len(marks), np.int64)
-        return _rows(np.r_[marks, gram], np.r_[none + MARKED, salt], np.r_[none.view(np.uint64), ctx], np.r_[none, doc], np.r_[none, seat])
+        return _rows(np.r_[marks, gram], np.r_[none + MARKED, salt], np.r_[none.view(np.uint64), ctx], np.r_[none, doc], np.r_[none, seat], np.r_[none.view(np.uint64), sides])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -198,9 +217,11 @@ def _scan(length: int):
             for i, j in _pieces(texts):
                 flat = Flat(texts[i:j], length)
                 at, gram, _, _ = flat.anchors()
+                now = gram % np.uint64(ROUNDS) == part
+                at, gram = at[now], gram[now]
                 owner = flat.owners(at)
                 ctx, seat = flat.seats(at, owner)
-                parts.append((ids[i:j][owner], gram, ctx, seat))
+                parts.append((ids[i:j][owner], gram, ctx, seat, flat.sides(at, gram)))
                 held += len(at)
                 if held >= GATHER:
                     yield passed(parts)
@@ -223,25 +244,28 @@ def _group():
 
     def whole(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         """All rows of some K-grams."""
-        gram, salt, ctx, doc, seat = columns
+        gram, salt, ctx, doc, seat, sides = columns
         late = salt >= SETTLED
         yield out(doc[late], seat[late], None, None, False)
-        gram, salt, ctx, doc, seat = (x[~late] for x in columns)
+        gram, salt, ctx, doc, seat, sides = (x[~late] for x in columns)
         if not len(gram):
             return
         run = np.cumsum(_starts(gram)) - 1
         common = np.bincount(run, salt == MARKED) > 0
         real = salt != MARKED
-        run, gram, salt, ctx, doc, seat = run[real], gram[real], salt[real], ctx[real], doc[real], seat[real]
+        run, gram, salt, ctx, doc, seat, sides = run[real], gram[real], salt[real], ctx[real], doc[real], seat[real], sides[real]
         first = _starts(run, salt, ctx, seat & np.int64(0xFFFFFFFF))
         own = doc == doc[_last_start(first)]
         yield out(doc[~own], seat[~own], None, None, False)
-        # A K-gram of several contexts, not all in one document.
-        starts = np.flatnonzero(_starts(run))
-        several = np.zeros(len(common), bool)
-        if len(starts):
-            several[run[starts]] = (np.bincount(run[first], minlength=len(common)) > 1)[run[starts]] & (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts))
-        is_open = own & ((salt > PLAIN) | common[run] | several[run])
+        # A K-gram of several contexts, of which some that agree on a side aren't all in one document.
+        several = own & (np.bincount(run[first], minlength=len(common)) > 1)[run]
+        is_open = own & ((salt > PLAIN) | common[run])
+        some = np.flatnonzero(several & ~is_open)
+        for side in (sides >> np.int64(32), sides & np.int64(0xFFFFFFFF)):
+            order = some[np.lexsort((side[some], run[some]))]
+            if len(new := np.flatnonzero(_starts(run[order], side[order]))):
+                apart = np.minimum.reduceat(doc[order], new) != np.maximum.reduceat(doc[order], new)
+                is_open[order] |= np.repeat(apart, np.diff(np.r_[new, len(order)]))
         yield out(doc[is_open], seat[is_open], gram[is_open], ctx[is_open], True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,6 +396,14 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
+def _halves(rows: DataFrame, length: int) -> DataFrame:
+    """Each context twice: with the windows that hold the side before the anchor, and with those that hold the side after it; ``_gram`` is made of the side too."""
+    left = (length - K) // 2
+    before = F.struct(F.xxhash64("_gram", F.lit(0), F.substring("_text", length - K - left + 1, left)).alias("_gram"), F.greatest("_low", F.lit(left)).alias("_low"), "_high")
+    after = F.struct(F.xxhash64("_gram", F.lit(1), F.substring("_text", length + 1, length - K - left + 1)).alias("_gram"), "_low", F.least("_high", F.lit(left - 1)).alias("_high"))
+    return rows.withColumn("_half", F.explode(F.array(before, after))).select("_half.*", "_doc", "_text", "_seats").where("_low <= _high")
+
+
 _HITS = "_doc bigint, _seat bigint, _mask bigint"
 
 
@@ -388,6 +420,8 @@ def _compare(length: int):
     def whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(parts)
         low, high, doc = (rows[c].to_numpy().astype(np.int64) for c in ("_low", "_high", "_doc"))
+        if doc.min() == doc.max():
+            return _hits(rows, np.empty(0, np.int64), np.empty(0, np.uint64))
         masks = previous_factors(_matrix(rows["_text"], 2 * length - K), low, high, doc, length)
         return _hits(rows, np.flatnonzero(masks), masks)
 
@@ -495,32 +529,38 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, length: int = 50
     if not K + 8 <= length <= K + 63:
         raise ValueError(f"length must be {K + 8} to {K + 63}")
     n = parallelism(docs, 6 << 20)
+    each = max(1, -(-n // ROUNDS))
     docs = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
     known = docs.where("_id is not null")
-    listed = known.mapInArrow(_scan(length), _LISTED)
     # Rows of a K-gram meet, but for parts of common ones and settled rows, which are dealt by their salt too.
     dealt_by = F.greatest("_salt", F.lit(PLAIN))
-    grouped = listed.repartition(n, "_gram", dealt_by).sortWithinPartitions("_gram", "_salt", "_ctx", "_doc").mapInArrow(_group(), _GROUPED)
-    grouped = materialise(grouped, "anchors")
+
+    def anchors(part: int) -> DataFrame:
+        listed = known.mapInArrow(_scan(length, part), _LISTED)
+        return materialise(listed.repartition(each, "_gram", dealt_by).sortWithinPartitions("_gram", "_salt", "_ctx", "_doc").mapInArrow(_group(), _GROUPED), "anchors", passing=True)
+
+    grouped = reduce(DataFrame.unionByName, map(anchors, range(ROUNDS)))
     is_open = grouped.where("_open")
-    hot = materialise(is_open.groupBy("_gram").count().where(F.col("count") > HOT).select("_gram", F.lit(True).alias("_hot")), "common")
+    hot = materialise(is_open.groupBy("_gram").count().where(F.col("count") > HOT).select("_gram", F.lit(True).alias("_hot")), "common", passing=True)
     # Texts are dealt to documents once; each join below and the last one read the same shuffle.
     dealt = known.repartition(n, "_id")
 
-    def contexts(rows: DataFrame, made=_contexts(length), schema: str = _CONTEXTS) -> DataFrame:
+    def contexts(rows: DataFrame) -> DataFrame:
         wanted = rows.groupBy(F.col("_doc").alias("_id")).agg(F.collect_list("_seat").alias("_open"))
-        return dealt.join(wanted.hint("shuffle_hash"), "_id").select("_id", "_text", "_open").mapInArrow(made, schema)
+        return dealt.join(wanted.hint("shuffle_hash"), "_id").select("_id", "_text", "_open").mapInArrow(_contexts(length), _CONTEXTS)
 
     flags = grouped.where("not _open").select("_doc", "_seat", F.lit(-1).cast("bigint").alias("_mask"))
+    compared = contexts(is_open)
     if not hot.isEmpty():
-        looked = materialise(salted_lookup(is_open, hot, "_gram", F.col("_ctx"), grows=False).select("_doc", "_seat", "_gram", "_hot"), "open")
-        is_open = looked.where("_hot is null")
-        found, spreading = _contexts(length), _spread(length)
-        # One after the other in one worker: two workers a task would hold twice the memory.
-        spread = contexts(looked.where("_hot"), lambda batches: spreading(found(batches)), "_window binary, _doc bigint, _mask bigint, _seats array<bigint>")
+        looked = materialise(salted_lookup(is_open, hot, "_gram", F.col("_ctx"), grows=False).select("_doc", "_seat", "_gram", "_hot"), "open", passing=True)
+        halves = materialise(_halves(contexts(looked.where("_hot")), length), "halves", passing=True)
+        hotter = materialise(halves.groupBy("_gram").count().where(F.col("count") > HOT).select("_gram", F.lit(True).alias("_hot")), "hotter", passing=True)
+        halves = salted_lookup(halves, hotter, "_gram", F.col("_doc"), grows=False)
+        compared = contexts(looked.where("_hot is null")).unionByName(halves.where("_hot is null").drop("_hot"))
+        spread = halves.where("_hot").select("_doc", "_low", "_high", "_text", "_seats").mapInArrow(_spread(length), "_window binary, _doc bigint, _mask bigint, _seats array<bigint>")
         least = spread.groupBy("_window").agg(F.min("_doc").alias("_least"), F.max("_doc").alias("_most")).where("_least < _most").select("_window", "_least")
         flags = flags.unionByName(salted_lookup(spread, least, "_window", F.col("_doc")).where("_doc > _least").select("_doc", F.explode("_seats").alias("_seat"), "_mask"))
-    compared = contexts(is_open).repartition(n, "_gram").sortWithinPartitions("_gram").mapInArrow(_compare(length), _HITS)
+    compared = compared.repartition(n, "_gram").sortWithinPartitions("_gram").mapInArrow(_compare(length), _HITS)
     flags = flags.unionByName(compared).groupBy(F.col("_doc").alias("_id")).agg(F.collect_list(F.struct("_seat", "_mask")).alias("_flags"))
     schema = "_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep_bytes
     rows = dealt.join(flags.hint("shuffle_hash"), "_id", "left").select("_id", "_text", "_flags")

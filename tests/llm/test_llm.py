@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tessera.llm import ann, bpe, langid, lines, mixing, simhash, substrings, topk, toxicity, warc
-from tessera.llm._common import measured_lookup, scratch_path, shared_dir
+from tessera.llm._common import materialise, measured_lookup, scratch_path, shared_dir
 from tessera.llm._graph import components
 
 LONG = "lorem ipsum dolor sit amet " * 8000
@@ -366,6 +367,41 @@ def test_substrings_of_one_phrase_in_many_contexts(spark, monkeypatch):
     assert got == [(1, 0), (1, 0), (2, 58)]
 
 
+def test_substrings_leave_no_shuffle_and_open_no_chance_meeting(spark, monkeypatch):
+    """A phrase of 30 bytes between other neighbours is no repeat, so no context of it is fetched; what the anchors were shuffled in is gone before the last step."""
+    made = []
+    monkeypatch.setattr(substrings, "materialise", lambda df, label, **how: made.append((label, materialise(df, label, **how))) or made[-1][1])
+    rng = np.random.default_rng(15)
+    noise = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    phrase, passage = noise(30), noise(90)
+    rows = [(i, noise(60) + (passage if i in (7, 30) else phrase) + noise(60)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {x for x in map(str, (disk.getAllFiles().apply(i).getName() for i in range(disk.getAllFiles().size()))) if x.startswith("shuffle_")}
+    before = shuffled()
+    got = substrings.remove_repeats(df, "doc_id", "text")
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    opened = {r._doc for label, x in made if label == "anchors" for r in x.where("_open").collect()}
+    assert opened == {7, 30}
+    assert rows_of(got) == brute_cut([(i, t.encode()) for i, t in rows], 50)
+
+
+@pytest.mark.parametrize(("length", "hot"), [(28, 4096), (28, 3), (51, 3), (83, 4096), (83, 3)])
+def test_substrings_of_other_lengths(spark, monkeypatch, length, hot):
+    """Windows of the least and of the greatest length, which differ from each other by a byte more or less on either side."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    rng = np.random.default_rng(length)
+    noise = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    passages = [noise(length + n) for n in (-1, 0, 1, 9, 40)]
+    rows = [(i, noise(int(rng.integers(0, 70))) + passages[i % 5] + noise(int(rng.integers(0, 70)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert rows_of(substrings.remove_repeats(df, "doc_id", "text", length=length)) == brute_cut([(i, t.encode()) for i, t in rows], length)
+
+
 def test_anchors_do_not_depend_on_stretches(monkeypatch):
     texts = [("ab" * 400 + LONG[:3000]).encode(), b"", b"x" * 49, b"y" * 50, LONG[:777].encode()]
     whole = substrings.Flat(texts, 50).anchors()
