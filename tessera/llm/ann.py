@@ -2,7 +2,8 @@
 
 Vectors are dealt to shards by id. In a shard, centroids come from a balanced clustering of a bounded sample; every vector is then put on a
 list, and one near a boundary on those of several clusters. A query finds its nearest centroids by best-first search in a graph of
-centroids kept in memory, and reads the lists whose centroid is at most a given ratio farther than its nearest one. Every shard answers every
+centroids kept in memory, and reads the lists whose centroid is at most a given ratio farther than its nearest one, which is fitted on a
+bounded sample of the whole table. Every shard answers every
 query, so the number of lists grows with the table, and no task holds more than a shard.
 """
 
@@ -24,10 +25,10 @@ SHARD, MOST, SAMPLE = 32_768, 262_144, 65_536
 LIST = 24
 #: A vector joins lists up to this ratio beyond its nearest centroid's distance, at most COPIES lists (the nearest first).
 SPREAD, COPIES = 1.005, 2
-#: A query reads lists up to a ratio beyond its nearest centroid's distance. Each shard fits the ratio on so many of its vectors, to this recall of as many
-#: nearest neighbours as a shard has of all those asked for. A query of another shard is farther from its nearest centroid than one that the centroids
-#: were fitted on, and so reads more; with several shards a lower recall of the tried ones is enough (measured: 0.93 and more of all).
-TRIED, RECALL, SHARED_RECALL = 512, 0.93, 0.87
+#: A query reads lists up to a ratio beyond its nearest centroid's distance. Each shard fits the ratio on about so many vectors of the whole table, to this
+#: recall of their nearest neighbours in the shard. Most of many shards' vectors are strangers to each, and farther from its centroids than those that the
+#: centroids were fitted on, as most queries are; so one rule holds for any number of shards.
+TRIED, RECALL = 512, 0.93
 GRAPH = 24
 
 
@@ -85,7 +86,7 @@ class Graph:
 class Lists:
     """A shard's index. Rows with one vector are one entry, which lists their ids; all others are entries of their own."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, neighbours: int = 5, recall: float = RECALL):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, neighbours: int = 5, tried: np.ndarray | None = None):
         order = np.argsort(ids, kind="stable")
         _, first, entry = np.unique(np.ascontiguousarray(vectors[order]).view(f"V{vectors.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
         by = np.argsort(entry, kind="stable")
@@ -106,25 +107,27 @@ class Lists:
             lists.append(top[rows, cols])
             entries.append(rows + i)
         lists, entries = np.concatenate(lists), np.concatenate(entries)
-        self.ratio = self._fitted(lists, entries, neighbours, recall)
+        self.ratio = self._fitted(lists, entries, neighbours, tried)
         self.entries = entries[np.argsort(lists, kind="stable")]
         self.starts = np.r_[0, np.cumsum(np.bincount(lists, minlength=len(self.graph.centres)))]
 
-    def _fitted(self, lists: np.ndarray, entries: np.ndarray, neighbours: int, recall: float) -> float:
-        """The ratio within which the lists of this share of the tried vectors' nearest neighbours are."""
+    def _fitted(self, lists: np.ndarray, entries: np.ndarray, neighbours: int, tried: np.ndarray | None) -> float:
+        """The ratio within which the lists of a share RECALL of the tried vectors' nearest neighbours are. Where fewer than TRIED come, own ones fill up."""
         n = len(self.units)
-        tried = np.unique(np.linspace(0, n - 1, TRIED).astype(int))
         k = min(neighbours, n - 1)
         if not k:
             return 1.0
-        like = self.units[tried] @ self.units.T
-        like[np.arange(len(tried)), tried] = -2
+        asks = np.empty((0, self.units.shape[1])) if tried is None else tried / lengths(tried)[:, None]
+        if len(asks) < TRIED:
+            asks = np.vstack([asks, self.units[np.unique(np.linspace(0, n - 1, TRIED - len(asks)).astype(int))]])
+        like = asks @ self.units.T
+        like[like >= 1 - 1e-12] = -2  # itself
         best = np.argpartition(-like, k - 1, axis=1)[:, :k]
-        d = np.sqrt(np.maximum(0.0, 2 - 2 * (self.units[tried] @ self.graph.centres.T)))
+        d = np.sqrt(np.maximum(0.0, 2 - 2 * (asks @ self.graph.centres.T)))
         d /= np.maximum(d.min(axis=1, keepdims=True), 1e-12)
         first = np.searchsorted(entries, best)  # entries come in order, each on one list or more
         needed = np.minimum.reduce([np.where(entries[at := np.minimum(first + c, len(entries) - 1)] == best, np.take_along_axis(d, lists[at], axis=1), np.inf) for c in range(COPIES)])
-        return float(np.quantile(needed, recall, method="higher"))
+        return float(np.quantile(needed, RECALL, method="higher"))
 
     def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
         """(query's position, id, exact cosine) of each query's k nearest on the lists that it reads, and the cosines that were worked out."""
@@ -199,6 +202,16 @@ def _search(k: int):
     return search
 
 
+def _tried(points: DataFrame, rows: int) -> dict[int, np.ndarray]:
+    """About TRIED vectors of the whole table, by their length: those with the least remainder of a hash, each once."""
+    share = F.xxhash64("_id", "_v")
+    found = points.select("_v", share.alias("_h")).where(F.pmod("_h", F.lit(max(1, rows))) < TRIED).dropDuplicates(["_h"]).orderBy("_h").collect()
+    by: dict[int, list[list[float]]] = {}
+    for r in found:
+        by.setdefault(len(r._v), []).append(r._v)
+    return {dims: np.array(x) for dims, x in by.items()}
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = 5) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: the k nearest found by cosine in double precision.
 
@@ -214,10 +227,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str
         return df.where(finite(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), v.alias("_v"), F.size(vector_col).alias("_dims")).where(length > 0)
 
     points, asked = shape(vectors), shape(queries).dropDuplicates(["_id"])
-    shards = shards_of(points.count(), SHARD, MOST)
+    rows = points.count()
+    shards = shards_of(rows, SHARD, MOST)
+    tried = _tried(points, rows)
     points = points.withColumn("_shard", F.pmod(F.xxhash64("_id"), F.lit(shards)).cast("int"))
     asked = asked.select("*", F.lit(None).cast("double").alias("_bound"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_shard"))
-    each = max(1, k // shards)
-    found = materialise(meet(points, asked, lambda ids, x: Lists(ids, x, each, RECALL if shards == 1 else SHARED_RECALL), _search(k), "query_id bigint, vec_id bigint, score double", shards), "found")
+    found = materialise(meet(points, asked, lambda ids, x: Lists(ids, x, k, tried.get(x.shape[1])), _search(k), "query_id bigint, vec_id bigint, score double", shards), "found")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

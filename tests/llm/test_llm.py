@@ -604,6 +604,26 @@ def test_nearest(vectors):
     assert ann.nearest(df.where("false"), df, "vec_id", "embedding").count() == 0
 
 
+def test_reach_does_not_depend_on_the_number_of_shards(spark, monkeypatch):
+    """The same vectors get the same reach, and all queries a recall of 0.9, whether the table has one shard or several."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(2400, 16))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>").repartition(3)
+    met, ratios, meet = [], [], ann.meet
+    monkeypatch.setattr(ann, "meet", lambda points, asked, build, *rest: met.append(rest[-1]) or ratios.append(build(np.arange(800), x[:800]).ratio) or meet(points, asked, build, *rest))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for shard in (4000, 1200, 400):
+        monkeypatch.setattr(ann, "SHARD", shard)
+        got = ann.nearest(df, df.where("vec_id % 5 = 0"), "vec_id", "embedding").collect()
+        hits = 0
+        for q in range(0, 2400, 5):
+            like = unit @ unit[q]
+            like[q] = -2
+            hits += len(set(np.argsort(-like)[:5].tolist()) & {r.vec_id for r in got if r.query_id == q})
+        assert hits >= 0.9 * 480 * 5
+    assert met == [1, 2, 6] and len(set(ratios)) == 1
+
+
 def test_index_prunes(monkeypatch):
     """Recall and cosines worked out, with a real number of lists: on clusters under a tenth of all, on isotropic vectors about half."""
     rng = np.random.default_rng(7)
