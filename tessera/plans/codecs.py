@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.functions import codecs as C
 from tessera.sources import bindings as B
+from tessera.sources import specimens as S
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -91,13 +91,8 @@ CASES["impulse"] = (_impulse, "impulse", 18, "SELECT k, i, ((t + 128) % 256 + 25
 def _decoded(case: str) -> Callable:
     build, codec, count, _ = CASES[case]
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ks, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array([build(k, n) for k, n in zip(ks, names, strict=True)], pa.binary())], ["k", "content"])
-
     def run(spark, d):
-        files = B.table(spark, d, "customer").select("c_custkey", "c_name").mapInArrow(made, "k bigint, content binary")
+        files = S.built(B.table(spark, d, "customer"), "c_custkey", "c_name", build)
         rows = files.select("k", F.posexplode(C.samples_of(C.decoded(F.col("content"), codec))).alias("i", "sample"))
         return rows.where(F.col("i") < count).select("k", F.col("i").cast("bigint").alias("i"), F.col("sample").cast("bigint").alias("sample"))
 

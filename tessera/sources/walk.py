@@ -6,6 +6,7 @@ read stands, and the trouble is told in a row of kind ``warning``. Sizes that a
 
 from __future__ import annotations
 
+import functools
 import inspect
 import struct
 from collections.abc import Callable, Iterator
@@ -59,12 +60,17 @@ def wrapped(data: bytes) -> Iterator[Chunk]:
 PARSERS["id3-wrapped"] = wrapped
 
 
+@functools.cache
+def _takes_name(parser: Callable[..., Iterator[Chunk]]) -> bool:
+    return "name" in inspect.signature(parser).parameters
+
+
 def walk_bytes(data: bytes, forced: str | None = None, name: str = "") -> tuple[str | None, list[Chunk]]:
     kind = forced or sniff(data, name)
     parser = PARSERS.get(kind, generic)
     rows: list[Chunk] = []
     try:
-        rows.extend(parser(data, name) if "name" in inspect.signature(parser).parameters else parser(data))
+        rows.extend(parser(data, name) if _takes_name(parser) else parser(data))
     except (struct.error, IndexError, KeyError, ValueError, OverflowError, TypeError, RecursionError) as error:
         rows.append(("warning", len(data), 0, {}, f"stopped: {error}"))
     return kind, rows
@@ -75,13 +81,20 @@ def walk(files: DataFrame, path: str = "path", content: str = "content", forced:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("path", pa.string()), ("format", pa.string()), ("ordinal", pa.int32()), ("chunk_id", pa.string()), ("offset", pa.int64()), ("size", pa.int64()), ("fields", pa.map_(pa.string(), pa.string())), ("warning", pa.string())])
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+
         for batch in batches:
             rows = []
             for name, value in zip(batch.column(0), batch.column(1), strict=True):
                 kind, chunks = walk_bytes(value.as_py() or b"", forced, name.as_py() or "")
+                path = name.as_py()
                 for i, (tag, at, size, decoded, warning) in enumerate(chunks):
-                    rows.append((name.as_py(), kind, i, tag, at, size, [(k, str(v)) for k, v in decoded.items() if v is not None], warning))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+                    rows.append((path, kind, i, tag, at, size, [(k, str(v)) for k, v in decoded.items() if v is not None], warning))
+                if len(rows) > 100_000:
+                    yield made(rows)
+                    rows = []
+            yield made(rows)
 
     return files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInArrow(run, SCHEMA)
 
