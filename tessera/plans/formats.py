@@ -48,12 +48,9 @@ _BY_HEAD = [k for k in S.SPECIMENS if k not in ("als", "adg", "adv", "agr", "alc
 
 def sniff_heads(spark, d) -> DataFrame:
     """Files of each format that its first bytes tell, by the Column expression."""
-    out = None
-    for kind in _BY_HEAD:
-        files = S.files(B.table(spark, d, "supplier"), kind, "s_suppkey", "s_name")
-        found = files.select(F.lit(kind).alias("made"), sniffed_column(F.col("content")).alias("format"))
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy("made", "format").agg(F.count("*").cast("bigint").alias("n"))
+    files = S.files_of(B.table(spark, d, "supplier"), _BY_HEAD, "s_suppkey", "s_name")
+    found = files.select(F.col("kind").alias("made"), sniffed_column(F.col("content")).alias("format"))
+    return found.groupBy("made", "format").agg(F.count("*").cast("bigint").alias("n"))
 
 
 QUERIES["sniff_heads"] = sniff_heads

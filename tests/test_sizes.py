@@ -1,5 +1,7 @@
 """What larger tables and odd inputs ask of made files, parsers and windows."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.sources import specimens as S
@@ -23,6 +25,14 @@ def _counted(batch):
     return pa.RecordBatch.from_arrays([pa.array([sum(len(v.as_py()) for v in batch.column(1))])], ["n"])
 
 
+@pytest.mark.parametrize("k", [21_845, 21_846, 65_535, 65_536, 5_400_000, 1 << 40])
+def test_numbers_beyond_two_bytes(k):
+    fields = lambda kind, build: {t: f for t, _, _, f, _ in K.walk_bytes(build(k, "name"))[1]}
+    smus, okt = fields("smus", S.smus), fields("okt", S.okt)
+    assert (smus["SHDR"]["tempo"], smus["SHDR"]["volume"], smus["SHDR"]["tracks"], smus["NAME"]["text"]) == (3 * k, 100, k % 5, "name")
+    assert okt["SLEN"]["value"] == k and okt["CMOD"]["voices"] == 5 + k % 2
+
+
 def test_odd_files_do_not_grow_with_their_numbers(spark):
     from tessera.operators import anomalies as A
     from tessera.plans import signals as P
