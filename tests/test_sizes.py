@@ -39,3 +39,21 @@ def test_odd_files_do_not_grow_with_their_numbers(spark):
 
     assert max(len(P._odd(16 * 340_000 + i, "name")) for i in range(16)) < 8192
     assert any(rule == "mp4_mdat_coverage" for rule, *_ in A.findings(P._odd(16 * 340_000 + 13, "name"), "1.x"))
+
+
+def test_tracker_claims_are_bounded_by_the_file():
+    head = bytearray(S.it(3, "name"))
+    head[36:38] = b"\xff\xff"
+    rows = K.walk_bytes(bytes(head), "it")[1]
+    assert len(rows) < len(head) // 4 + 3 and rows[-1][4].startswith("sample table claims 65535 entries")
+    assert len(K.walk_bytes(bytes(4096), "it")[1]) == 1
+
+
+@pytest.mark.parametrize("tail", [b"", b"\x40", bytes(3), b"\x40\0\0\0", b"\xf0" + bytes(7)])
+def test_packets_are_whole(tail):
+    from tessera.sources.formats import packets
+
+    data = S.midi2(3, "name")[8:]
+    got = list(packets(data + tail))
+    assert [w for _, words in got[: len(list(packets(data)))] for w in words] == [int.from_bytes(data[i : i + 4], "big") for i in range(0, len(data), 4)]
+    assert len(got) == len(list(packets(data)))
