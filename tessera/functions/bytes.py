@@ -105,6 +105,37 @@ def each_value(rows: DataFrame, keys: list[str], values: list[str], schema: str,
     return rows.select(*keys, *[F.col(v).cast("binary") for v in values]).mapInArrow(run, whole)
 
 
+def each_arrays(rows: DataFrame, keys: list[str], values: list[str], schema: str, made: Callable[..., tuple[np.ndarray, ...]]) -> DataFrame:
+    """each_value() of columns instead of rows: ``made`` gives equally long arrays of numbers, so that no row is an object."""
+    n = len(keys)
+    types = dict(rows.dtypes)
+    whole = T._parse_datatype_string(", ".join(f"{k} {types[k]}" for k in keys) + ", " + schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(whole)
+
+        def filled(batch: pa.RecordBatch, at: list[int], out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            places = np.repeat(np.array(at, np.int64), [len(a[0]) for a in out])
+            own = [batch.column(i).take(pa.array(places)) for i in range(n)]
+            return pa.RecordBatch.from_arrays([*own, *(pa.array(np.concatenate(c), pa.from_numpy_dtype(c[0].dtype)).cast(f.type) for c, f in zip(zip(*out, strict=True), list(arrow)[n:], strict=True))], schema=arrow)
+
+        for batch in batches:
+            held = [batch.column(i) for i in range(n, batch.num_columns)]
+            at, out, size = [], [], 0
+            for r in range(batch.num_rows):
+                found = made(*(c[r].as_py() or b"" for c in held))
+                at.append(r)
+                out.append(found)
+                size += len(found[0])
+                if size > 100_000:
+                    yield filled(batch, at, out)
+                    at, out, size = [], [], 0
+            if out:
+                yield filled(batch, at, out)
+
+    return rows.select(*keys, *[F.col(v).cast("binary") for v in values]).mapInArrow(run, whole)
+
+
 def _batch(batch: pa.RecordBatch, n: int, at: list[int], out: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     own = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(n)]
     columns = list(zip(*out, strict=True)) or [()] * (len(arrow) - n)
@@ -205,17 +236,30 @@ def diff_ranges(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
 def hilbert_cells(rows: DataFrame, key: str, data: str, side_bits: int) -> DataFrame:
     """``cell``, ``x``, ``y`` and the mean byte (a whole number) of each cell of a 2**side_bits square that a value's bytes are laid out on."""
 
-    def made(value: bytes) -> Iterator[tuple]:
-        if not value:
-            return
-        cell = np.arange(len(value)) * (1 << 2 * side_bits) // len(value)
-        size = np.bincount(cell)
-        total = np.bincount(cell, np.frombuffer(value, np.uint8))
-        yield from ((int(c), int(total[c] // size[c])) for c in np.flatnonzero(size))
-
-    cells = each_value(rows, [key], [data], "cell bigint, mean int", made)
-    x, y = hilbert_xy(side_bits, F.col("cell"))
-    return cells.select(key, "cell", x.alias("x"), y.alias("y"), "mean")
+    cells = 1 << 2 * side_bits
+
+    def made(value: bytes) -> tuple[np.ndarray, ...]:
+        n = len(value)
+        cell = np.arange(cells) if n >= cells else np.arange(n) * cells // max(1, n)
+        starts = -(-cell * n // cells)
+        total = np.add.reduceat(np.frombuffer(value, np.uint8), starts, dtype=np.int64) if n else np.empty(0, np.int64)
+        return cell, *hilbert_places(side_bits, cell), total // np.diff(np.append(starts, n))
+
+    return each_arrays(rows, [key], [data], "cell bigint, x bigint, y bigint, mean int", made)
+
+
+def hilbert_places(side_bits: int, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """hilbert_xy() of numbers at hand."""
+    x, y = np.zeros_like(t), np.zeros_like(t)
+    for i in range(side_bits):
+        s = 1 << i
+        rx = t >> 1 & 1
+        ry = (t ^ rx) & 1
+        flip = (ry == 0) & (rx == 1)
+        fx, fy = np.where(flip, s - 1 - x, x), np.where(flip, s - 1 - y, y)
+        x, y = np.where(ry == 0, fy, fx) + s * rx, np.where(ry == 0, fx, fy) + s * ry
+        t = t >> 2
+    return x, y
 
 
 def hilbert_xy(side_bits: int, d: Column) -> tuple[Column, Column]:

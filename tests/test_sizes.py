@@ -116,3 +116,18 @@ def test_geometry_skips_only_readings_that_cannot_be():
         assert (width, order, is_float) == (int(kind[2]) * 8, "le" if kind[0] == "<" else "be", True) and confidence > 0.9
     assert G.geometry((9000 * wave).astype(">i2").tobytes())[:4] == (16, 1, "be", False)
     assert G.geometry(b"")[:5] == (8, 1, None, False, 0.0) and G.geometry(bytes(64))[4] == 0.0
+
+
+@pytest.mark.parametrize("bits", [1, 4])
+def test_hilbert_cells_equal_those_byte_by_byte(spark, bits):
+    from tessera.functions import bytes as Y
+
+    rng = np.random.default_rng(3)
+    values = {i: rng.integers(0, 256, n, dtype=np.uint8).tobytes() for i, n in enumerate([0, 1, 3, 4, 255, 256, 257, 1000, 40_001])} | {99: None}
+    got = {(r.k, r.cell): (r.x, r.y, r["mean"]) for r in Y.hilbert_cells(spark.createDataFrame(list(values.items()), "k bigint, data binary"), "k", "data", bits).collect()}
+    xy = spark.range(1 << 2 * bits).select("id", *[c.alias(n) for c, n in zip(Y.hilbert_xy(bits, F.col("id")), "xy", strict=True)]).collect()
+    places, sums = {r.id: (r.x, r.y) for r in xy}, {}
+    for k, value in values.items():
+        for i, b in enumerate(value or b""):
+            sums.setdefault((k, i * (1 << 2 * bits) // len(value)), []).append(b)
+    assert got == {(k, c): (*places[c], sum(v) // len(v)) for (k, c), v in sums.items()}
