@@ -82,8 +82,11 @@ def numbers_packed(value: float, kind: str, big_endian: bool = False) -> bytes:
     return int(value).to_bytes(n, order, signed=kind[0] == "i")
 
 
-def each_value(rows: DataFrame, keys: list[str], values: list[str], schema: str, made: Callable[..., Iterator[tuple]]) -> DataFrame:
-    """Rows that ``made`` yields of each row's binary values, behind its keys: one pass in Arrow batches, and no shuffle. Null counts as empty."""
+def each_value(rows: DataFrame, keys: list[str], values: list[str], schema: str, made: Callable[..., Iterator[tuple]], ahead: Callable[[list[bytes]], list] | None = None) -> DataFrame:
+    """Rows that ``made`` yields of each row's binary values, behind its keys: one pass in Arrow batches, and no shuffle. Null counts as empty.
+
+    What ``ahead`` says of several first values at once, ``made`` gets as one more argument.
+    """
     n = len(keys)
     types = dict(rows.dtypes)
     whole = T._parse_datatype_string(", ".join(f"{k} {types[k]}" for k in keys) + ", " + schema)
@@ -93,8 +96,8 @@ def each_value(rows: DataFrame, keys: list[str], values: list[str], schema: str,
         for batch in batches:
             held = [batch.column(i) for i in range(n, batch.num_columns)]
             at, out = [], []
-            for r in range(batch.num_rows):
-                for row in made(*(c[r].as_py() or b"" for c in held)):
+            for r, given in _given(held, batch.num_rows, ahead):
+                for row in made(*given):
                     at.append(r)
                     out.append(row)
                 if len(out) > 100_000:
@@ -105,6 +108,25 @@ def each_value(rows: DataFrame, keys: list[str], values: list[str], schema: str,
     return rows.select(*keys, *[F.col(v).cast("binary") for v in values]).mapInArrow(run, whole)
 
 
+#: Fixed value: bytes of values that are looked at ahead together.
+AHEAD = 256 << 10
+
+
+def _given(held: list[pa.Array], n: int, ahead: Callable[[list[bytes]], list] | None) -> Iterator[tuple[int, tuple]]:
+    """The number of each row and what is made from."""
+    group, size = [], 0
+    for r in range(n):
+        values = tuple(c[r].as_py() or b"" for c in held)
+        if ahead is None:
+            yield r, values
+            continue
+        group.append((r, values))
+        size += len(values[0])
+        if size >= AHEAD or r == n - 1:
+            yield from ((place, (*v, more)) for (place, v), more in zip(group, ahead([v[0] for _, v in group]), strict=True))
+            group, size = [], 0
+
+
 def each_arrays(rows: DataFrame, keys: list[str], values: list[str], schema: str, made: Callable[..., tuple[np.ndarray, ...]]) -> DataFrame:
     """each_value() of columns instead of rows: ``made`` gives equally long arrays of numbers, so that no row is an object."""
     n = len(keys)

@@ -69,8 +69,13 @@ def confirmed(data: bytes, at: int, kind: str) -> bool:
 
 def sweep(data: bytes) -> Iterator[tuple[str, int, int | None]]:
     """(format, offset, end or None) of every container by its signature; pages of one Ogg stream are one."""
-    places = sorted({m.start() for magic in MAGICS for m in re.finditer(re.escape(magic), data)})
-    inside = 0
+    places, inside = [], 0
+    for magic in MAGICS:
+        at = data.find(magic)
+        while at >= 0:
+            places.append(at)
+            at = data.find(magic, at + 1)
+    places.sort()
     for at in places:
         kind = sniff_bytes(data[at : at + HEAD])
         if kind not in CONTAINERS or not confirmed(data, at, kind) or (kind == "ogg" and at < inside):
@@ -85,10 +90,11 @@ def mpeg_streams(data: bytes, least: int = FRAMES) -> Iterator[tuple[int, int, i
     raw = np.frombuffer(data, np.uint8)
     if len(raw) < 4:
         return
-    a, b, c = raw[:-3], raw[1:-2], raw[2:-1]
-    fits = (a == 255) & (b >= 0xE0) & (b >> 3 & 3 != 1) & (b >> 1 & 3 != 0) & (c >> 4 != 0) & (c >> 4 != 15) & (c >> 2 & 3 != 3)
+    syncs = np.flatnonzero(raw[:-3] == 255)
+    b, c = raw[syncs + 1], raw[syncs + 2]
+    fits = (b >= 0xE0) & (b >> 3 & 3 != 1) & (b >> 1 & 3 != 0) & (c >> 4 != 0) & (c >> 4 != 15) & (c >> 2 & 3 != 3)
     stop = 0
-    for at in np.flatnonzero(fits).tolist():
+    for at in syncs[fits].tolist():
         if at < stop:
             continue
         end, frames = at, 0
@@ -102,18 +108,17 @@ def mpeg_streams(data: bytes, least: int = FRAMES) -> Iterator[tuple[int, int, i
 FOUND = "kind string, format string, start bigint, stop bigint, confidence double, provisional boolean"
 
 
-def found_in(data: bytes) -> Iterator[tuple]:
-    """Containers, streams and blobs of one image. A container without a trustworthy end goes to the next container or the end."""
+def found_in(data: bytes, scores: np.ndarray | None = None) -> Iterator[tuple]:
+    """Containers, streams and blobs of one image, its windows' scores at hand or not. A container without a trustworthy end goes to the next container or the end."""
     containers = list(sweep(data))
     for i, (kind, at, end) in enumerate(containers):
         yield "container", kind, at, end or (containers[i + 1][1] if i + 1 < len(containers) else len(data)), CONTAINER_CONFIDENCE, end is None
     for a, b, _, confidence in mpeg_streams(data):
         yield "stream", "mp3", a, b, confidence, False
     hits: list[list[float]] = []
-    for start, entropy, *rest in signals.window_features(data):
-        score = _score(entropy, *rest)
-        if score < signals.MIN_SCORE:
-            continue
+    scores = signals.window_scores([data])[0] if scores is None else scores
+    places = np.flatnonzero(scores >= signals.MIN_SCORE)
+    for start, score in zip((places * signals.STEP).tolist(), scores[places].tolist(), strict=True):
         if hits and start - hits[-1][1] <= (signals.MERGE_GAP + 1) * signals.STEP:
             hits[-1][1] = start
             hits[-1].append(score)
@@ -123,20 +128,6 @@ def found_in(data: bytes) -> Iterator[tuple]:
         yield "blob", "raw-pcm", int(first), int(last) + signals.WINDOW, round(sum(values) / len(values) * BLOB_SCALE, 4), False
 
 
-def _score(entropy, lag1, lag2, lag4, lag8, peak, structure, printable_, spread, is_float) -> float:
-    """signals.audio_score() of numbers at hand."""
-    unit = lambda x: max(0.0, min(1.0, x))
-    if entropy < signals.ENTROPY_FLOOR:
-        return 0.0
-    if is_float:
-        return peak
-    if entropy > signals.ENTROPY_CEIL:
-        return 0.0
-    text = unit((signals.PRINTABLE_HIGH - printable_) / (signals.PRINTABLE_HIGH - signals.PRINTABLE_LOW))
-    live = signals.LIVE_MIN + (1 - signals.LIVE_MIN) * unit((spread - signals.LIVE_FLOOR) / (signals.LIVE_FULL - signals.LIVE_FLOOR))
-    return unit((peak - signals.PEAK_FLOOR) / signals.PEAK_SPAN) * unit(structure / signals.STRUCTURE) * text * live
-
-
 def swept(rows: DataFrame, key: str, data: str) -> DataFrame:
     return each_value(rows, [key], [data], "format string, start bigint, stop bigint", sweep)
 
@@ -164,7 +155,7 @@ def located(rows: DataFrame, key: str, data: str, mode: str = "normal") -> DataF
     from tessera.operators import ordered
 
     # Images are read once; what is found in them is small.
-    records = materialise(each_value(rows, [key], [data], FOUND, found_in), "found")
+    records = materialise(each_value(rows, [key], [data], FOUND, found_in, signals.window_scores), "found")
     solid = records.where("kind = 'container'")
     rest = records.where("kind <> 'container'")
     blobs, runs = rest.where("kind = 'blob'"), rest.where("kind = 'stream'")

@@ -131,3 +131,20 @@ def test_hilbert_cells_equal_those_byte_by_byte(spark, bits):
         for i, b in enumerate(value or b""):
             sums.setdefault((k, i * (1 << 2 * bits) // len(value)), []).append(b)
     assert got == {(k, c): (*places[c], sum(v) // len(v)) for (k, c), v in sums.items()}
+
+
+def test_images_measured_together_are_found_as_one_by_one(spark):
+    from tessera.operators import locate as L
+    from tessera.operators import signals as G
+    from tessera.plans import signals as P
+
+    wave = np.sin(np.arange(1500) / 9).astype("<f4").tobytes()
+    images = {i: P._image(i, "name") for i in range(30)} | {30: b"", 31: None, 32: b"RIFFORM" + bytes(1100), 33: wave * 400, 34: bytes(700) + wave + bytes(9000), 35: b"\xff" * 1023}
+    apart = {k: [s for s, *_ in [(round(x, 12),) for x in G.window_scores([v or b""])[0]]] for k, v in images.items()}
+    together = G.window_scores([v or b"" for v in images.values()])
+    assert apart == {k: [round(x, 12) for x in s] for k, s in zip(images, together, strict=True)} and len(together[33]) > 2048
+    rows = spark.createDataFrame(list(images.items()), "k bigint, content binary")
+    got = sorted((r.k, r.kind, r.format, r.start, r.stop) for r in L.located(rows, "k", "content", "aggressive").collect())
+    assert {(k, "stream", "mp3") for k in range(30)} <= {r[:3] for r in got} and any(r[:2] == (33, "blob") for r in got)
+    seen = G.scores(G.features_of(rows, "k", "content")).select("k", "start", "score").collect()
+    assert sorted((r.k, r.start, r.score) for r in seen) == sorted((k, i * G.STEP, round(float(x), 6)) for k, s in zip(images, together, strict=True) for i, x in enumerate(s))
