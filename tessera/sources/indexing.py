@@ -37,6 +37,9 @@ PLACES = {
     "category": [("vital", "preset_style"), ("meta", "device_category"), ("multisample.xml", "category")],
     "product": [("json", "product"), ("NISI", "product"), ("expansion", "title")],
 }
+#: For each place, the columns that it may fill and how early it stands among their places.
+_RANKS = {p: [(i, places.index(p)) for i, places in enumerate(PLACES.values()) if p in places] for p in {p for places in PLACES.values() for p in places}}
+_TAGS = {tag for tag, _ in _RANKS}
 NUMBERS = {"duration": "double", "bpm": "double", "sample_rate": "int", "channels": "int", "bits_per_sample": "int", "root_note": "int", "acid_beats": "bigint"}
 _SCHEMA = "format string, chunks string, " + ", ".join(f"{c} string" for c in PLACES)
 
@@ -49,13 +52,16 @@ def metadata(files: DataFrame) -> DataFrame:
 
     def made(data: bytes, name: bytes) -> Iterator[tuple]:
         kind, rows = walk.walk_bytes(data, None, name.decode("utf-8", "replace"))
-        told: dict[tuple[str, str], str] = {}
+        told: list[str | None] = [None] * len(PLACES)
+        ranks = [len(_RANKS)] * len(PLACES)
         for tag, _, _, fields, _ in rows:
-            for k, v in fields.items():
-                if v is not None and str(v) != "":
-                    told.setdefault((tag, k), str(v))
+            if tag in _TAGS:
+                for k, v in fields.items():
+                    for column, rank in _RANKS.get((tag, k), ()):
+                        if rank < ranks[column] and v is not None and (text := str(v)) != "":
+                            told[column], ranks[column] = text, rank
         ids = ",".join(dict.fromkeys(tag.strip() for tag, *_ in rows if tag != "warning"))
-        yield kind, ids, *(next((told[p] for p in places if p in told), None) for places in PLACES.values())
+        yield kind, ids, *told
 
     rows = files.select("path", "content", F.encode("path", "UTF-8").alias("_name"))
     out = each_value(rows, ["path"], ["content", "_name"], _SCHEMA, made)
